@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, minhash, mixing, toxicity
+from brindle.llm import bpe, minhash, mixing, pii, toxicity
 from brindle.llm.common import table
 
 
@@ -22,6 +22,17 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Stands for the secret that a real run reads from its own store.
+PSEUDONYM_KEY = "brindle pseudonyms"
+
+
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced by pseudonyms, and how many of each kind were found."""
+    done = pii.pseudonymise(table(spark, sf_dir, "documents"), PSEUDONYM_KEY, findings=True)
+    counts = [F.expr(f"cast(size(filter(findings, f -> f.kind = '{k}')) as long)").alias(f"n_{k}") for k in pii.KINDS]
+    return done.select("doc_id", "text", F.size("findings").cast("long").alias("n_found"), *counts)
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=75)
@@ -72,6 +83,7 @@ FROM summed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_pseudonyms": op5_pseudonyms,
     "op8_minhash": op8_minhash,
     "op9_toxicity": op9_toxicity,
     "op10_source_mixing": op10_source_mixing,
