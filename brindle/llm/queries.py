@@ -2,13 +2,36 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, minhash, mixing, pii, toxicity
-from brindle.llm.common import table
+from brindle.llm import bpe, minhash, mixing, pii, toxicity, warc
+from brindle.llm.common import shared_dir, table
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, written as archives to the shared folder and read back."""
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = folder if "://" in folder or not folder.startswith("file:") else folder.replace("file:", "file://", 1)
+    archives = warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(spark, archives, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = r"""
+WITH rows AS (SELECT page_id, COALESCE(html, '') AS html FROM pages),
+digests AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(html) AS hex, max(page_id) OVER (PARTITION BY sha1(html)) AS last FROM rows),
+bits AS (
+    SELECT *, list_reduce(list_transform(range(40), lambda i: lpad(bin(('0x' || hex[i + 1])::INT), 4, '0')), lambda a, b: a || b) AS bits FROM digests
+)
+SELECT page_id, payload_bytes,
+       list_reduce(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + list_reduce(list_transform(range(5), lambda j: (bits[i * 5 + j + 1])::INT), lambda a, b: a * 2 + b)]), lambda a, b: a || b) AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to
+FROM bits
+"""
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +105,7 @@ FROM summed
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": op2_warc,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_pseudonyms": op5_pseudonyms,
     "op8_minhash": op8_minhash,
@@ -89,4 +113,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_source_mixing": op10_source_mixing,
 }
 
-ORACLE: dict[str, str] = {"op10_source_mixing": OP10_SQL}
+ORACLE: dict[str, str] = {"op2_warc": OP2_SQL, "op10_source_mixing": OP10_SQL}
