@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, minhash, mixing, pii, toxicity, warc
+from brindle.llm import bpe, embeddings, minhash, mixing, pii, toxicity, warc
 from brindle.llm.common import shared_dir, table
 
 
@@ -34,6 +34,29 @@ FROM bits
 """
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.98."""
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
+OP3_SQL = r"""
+WITH RECURSIVE usable AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE label IS NOT NULL AND len(embedding) > 0 AND list_count(embedding) = len(embedding)
+      AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.98
+), reach AS (
+    SELECT vec_id, vec_id AS seen FROM embeddings
+    UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.seen = l.a
+), components AS (SELECT vec_id, min(seen) AS component_id FROM reach GROUP BY vec_id),
+counts AS (SELECT a AS vec_id, count(*)::BIGINT AS n_links FROM links GROUP BY a)
+SELECT vec_id, COALESCE(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM components LEFT JOIN counts USING (vec_id)
+"""
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded bytes of every document, as digests."""
     import public_tokenizers
@@ -106,6 +129,7 @@ FROM summed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
+    "op3_embeddings": op3_embeddings,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_pseudonyms": op5_pseudonyms,
     "op8_minhash": op8_minhash,
@@ -113,4 +137,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_source_mixing": op10_source_mixing,
 }
 
-ORACLE: dict[str, str] = {"op2_warc": OP2_SQL, "op10_source_mixing": OP10_SQL}
+ORACLE: dict[str, str] = {"op2_warc": OP2_SQL, "op3_embeddings": OP3_SQL, "op10_source_mixing": OP10_SQL}
