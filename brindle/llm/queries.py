@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, embeddings, minhash, mixing, pii, toxicity, warc
+from brindle.llm import bpe, embeddings, minhash, mixing, pii, toxicity, unigram, warc
 from brindle.llm.common import shared_dir, table
 
 
@@ -79,6 +79,13 @@ def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", F.size("findings").cast("long").alias("n_found"), *counts)
 
 
+def op6_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and unigram tokens of every document."""
+    import public_tokenizers
+
+    return unigram.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=75)
@@ -132,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_embeddings": op3_embeddings,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_pseudonyms": op5_pseudonyms,
+    "op6_unigram_counts": op6_unigram_counts,
     "op8_minhash": op8_minhash,
     "op9_toxicity": op9_toxicity,
     "op10_source_mixing": op10_source_mixing,
