@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, embeddings, minhash, mixing, pii, toxicity, unigram, warc
+from brindle.llm import bpe, embeddings, licenses, minhash, mixing, pii, toxicity, unigram, warc
 from brindle.llm.common import shared_dir, table
 
 
@@ -86,6 +86,13 @@ def op6_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families of every document and the number of notices."""
+    docs = table(spark, sf_dir, "documents")
+    found = licenses.document_families(docs, licenses.fit(docs))
+    return found.select("doc_id", F.array_join("families", ",").alias("families"), "n_notices")
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=75)
@@ -140,6 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_pseudonyms": op5_pseudonyms,
     "op6_unigram_counts": op6_unigram_counts,
+    "op7_licenses": op7_licenses,
     "op8_minhash": op8_minhash,
     "op9_toxicity": op9_toxicity,
     "op10_source_mixing": op10_source_mixing,
