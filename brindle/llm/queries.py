@@ -8,10 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, embeddings, licenses, minhash, mixing, pii, toxicity, unigram, warc
+from brindle.llm import bpe, embeddings, fingerprints, licenses, minhash, mixing, pii, toxicity, unigram, warc
 from brindle.llm.common import shared_dir, table
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    return fingerprints.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages, written as archives to the shared folder and read back."""
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
@@ -142,6 +147,7 @@ FROM summed
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_warc": op2_warc,
     "op3_embeddings": op3_embeddings,
     "op4_byte_bpe": op4_byte_bpe,
