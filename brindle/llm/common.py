@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def kept_table(df: DataFrame) -> DataFrame:
+    """df, written as compressed Parquet below the shared folder and read from there; for wide rows that are read again."""
+    folder = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def bounded_batches(spark: SparkSession, megabytes: int = 4) -> None:
     """Arrow batches for Python workers hold so many bytes at most, however long single texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")

@@ -2,14 +2,15 @@
 
 1. Each text becomes the sequence of its words (A-Z in lower case) and the set of its distinct 5-word shingles; texts with the
    same sequence form one class, so exact copies cost nothing further.
-2. A class has 128 minima of hashed shingles. Bands of four minima give 32 keys; the low four bits of all minima are packed
-   into eight longs.
-3. Classes that share a key are candidates. In a bucket each class is held against the bucket's smallest class, never
-   against all others. Candidates whose bit counts put the collision-corrected similarity under a floor six standard
-   deviations below the threshold are dropped; the others are confirmed on their full sets.
-4. Confirmed links join classes into components. Buckets that still hold several components are looked at once more, this
-   time every pair of classes from different components whose bits are alike; so no link that could join two components is
-   left out, and large groups of near copies never become all their pairs.
+2. A class has 256 minima of hashed shingles. Bands of four of the first 128 give 32 keys; the low four bits of all minima are
+   packed into 16 longs.
+3. Classes that share a key are candidates. In a bucket each class is held against one head, never against all others.
+   Candidates whose bit counts put the collision-corrected similarity under a floor five standard deviations below the
+   threshold are dropped; of the others each class has its likeliest few confirmed on their full sets. Confirmed links join
+   classes into components, and rounds with other heads follow in the buckets that still hold several components.
+4. What several components still share after these rounds is looked at whole: every pair of classes from different
+   components that share a key and have like bits is confirmed; so no link that could join two components is left out, and
+   large groups of near copies never become all their pairs.
 
 At the threshold of 0.75, two sets share none of the 32 keys with probability 5e-6.
 
@@ -28,14 +29,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from brindle.llm.common import WORD, bounded_batches, cut
+from brindle.llm.common import WORD, bounded_batches, cut, kept_table
 from brindle.llm.graph import connected
 
-WIDTH, HASHES, ROWS, BITS = 5, 128, 4, 4
-BANDS = HASHES // ROWS
-#: Candidates are confirmed if their estimated similarity is threshold - MARGIN or more: six standard deviations of the estimate.
-MARGIN = 0.24
+WIDTH, HASHES, BANDS, ROWS, BITS = 5, 256, 32, 4, 4
+#: Candidates are confirmed if their estimated similarity is threshold - MARGIN or more: five standard deviations of the estimate.
+MARGIN = 0.14
+#: Rounds of one head a bucket, and how many of a class's candidates a round confirms; the last look is over all that is left.
+HEAD_ROUNDS, LIKELIEST = 4, 3
 CHUNK = 1 << 20
 
 _rng = np.random.default_rng(20240229)
@@ -118,11 +121,11 @@ def shingle_sets(texts: list[str | None], width: int = WIDTH) -> list[tuple[byte
 
 
 def minima(found: np.ndarray) -> np.ndarray:
-    """The 128 minima of a set of hashed shingles."""
+    """The minima of a set of hashed shingles."""
     x = (found >> np.uint64(32)).astype(np.uint32)
     low = np.full(HASHES, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(x), 2048):
-        h = x[None, at : at + 2048] * _SLOPES[:, None] + _SHIFTS[:, None]
+    for at in range(0, len(x), 1024):
+        h = x[None, at : at + 1024] * _SLOPES[:, None] + _SHIFTS[:, None]
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x2C1B3C6D)
         h ^= h >> np.uint32(12)
@@ -132,7 +135,7 @@ def minima(found: np.ndarray) -> np.ndarray:
 
 def band_keys(low: np.ndarray) -> np.ndarray:
     """One 64-bit key a band of each row of minima."""
-    rows = low.reshape(len(low), BANDS, ROWS).astype(np.uint64)
+    rows = low[:, : BANDS * ROWS].reshape(len(low), BANDS, ROWS).astype(np.uint64)
     key = np.arange(BANDS, dtype=np.uint64)[None, :] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1)
     for j in range(ROWS):
         key = _mix(key ^ (rows[:, :, j] * _PLACES[j]))
@@ -190,12 +193,12 @@ def full_set(text: str) -> set:
     return set(zip(*(words[j:] for j in range(WIDTH)), strict=False))
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, names: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """The pairs (a, b) of class keys whose full sets have 100 * intersection >= percent * union.
+def class_texts(keys: DataFrame, docs: DataFrame, names: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """key and text of the classes in keys (key). names has a class's key and one id.
 
-    names has a class's key and one id; texts are fetched by id and told apart by key, so ids need not be unique.
+    Texts are fetched by id and told apart by key, so ids need not be unique. Kept in the shared folder, for all rounds.
     """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(names, "key")
+    wanted = keys.distinct().join(names, "key")
     fetched = docs.select(F.col(id_col).alias("id__"), F.col(text_col).alias("text")).join(wanted, F.col("id__").eqNullSafe(F.col("id")))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,8 +207,11 @@ def confirm(pairs: DataFrame, docs: DataFrame, names: DataFrame, id_col: str, te
             mask = pa.array([k == s[0] for k, s in zip(keys, shingle_sets(texts), strict=True)], pa.bool_())
             yield batch.filter(mask)
 
-    texts = fetched.select("key", "text").mapInArrow(own, "key binary, text string").dropDuplicates(["key"])
-    left, right = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
+    return kept_table(fetched.select("key", "text").mapInArrow(own, "key binary, text string").dropDuplicates(["key"]))
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of class keys whose full sets have 100 * intersection >= percent * union."""
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,45 +222,56 @@ def confirm(pairs: DataFrame, docs: DataFrame, names: DataFrame, id_col: str, te
                 keep.append(100 * common >= percent * (len(s) + len(t) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(alike, "a binary, b binary")
+    both = pairs.select("a", "b").join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+    return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(alike, "a binary, b binary"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id (the smallest id reachable by links, itself included) and kept (id = component_id)."""
     floor = percent / 100 - MARGIN
+    like = estimate(F.col("bits_x"), F.col("bits_y"))
     rows = cut(signatures(docs, id_col, text_col))
-    names = rows.filter("n_shingles > 0").groupBy("key").agg(F.min(id_col).alias("id"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
-    classes = cut(names)
-    bits = classes.select("key", "bits")
+    classes = cut(
+        rows.filter("n_shingles > 0").groupBy("key").agg(F.min(id_col).alias("id"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+    )
     keyed = classes.select(F.explode("bands").alias("band"), "key")
-    heads = keyed.groupBy("band").agg(F.min("key").alias("head"), F.max("key").alias("last")).filter("head != last").select("band", "head")
-    members = cut(keyed.join(heads, "band"))
-
-    def like(pairs: DataFrame) -> DataFrame:
-        with_bits = pairs.join(bits.toDF("a", "bits_a"), "a").join(bits.toDF("b", "bits_b"), "b")
-        return cut(with_bits.filter(estimate(F.col("bits_a"), F.col("bits_b")) >= floor).select("a", "b"))
-
-    ids = classes.select("key", "id")
-    stars = like(members.filter("key != head").select(F.col("key").alias("a"), F.col("head").alias("b")).distinct())
-    links = cut(confirm(stars, docs, ids, id_col, text_col, percent))
-    parts = cut(connected(links))
-
-    placed = members.select("band", "key").join(parts.withColumnRenamed("node", "key"), "key", "left")
-    placed = placed.select("band", "key", F.coalesce("component", "key").alias("part"))
-    mixed = placed.groupBy("band").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least != most").select("band")
-    inside = cut(placed.join(mixed, "band").join(bits, "key"))
+    shared = keyed.groupBy("band").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least != most").select("band")
+    members = cut(keyed.join(shared, "band"))
+    bits = cut(classes.select("key", "bits").join(members.select("key").distinct(), "key"))
+    texts = class_texts(members.select("key"), docs, classes.select("key", "id"), id_col, text_col)
+    parts = None
+
+    def placed() -> DataFrame:
+        """Members of the buckets that hold several components, with theirs."""
+        if parts is None:
+            return members.withColumn("part", F.col("key"))
+        own = members.join(parts.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("component", "key").alias("part"))
+        several = own.groupBy("band").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least != most").select("band")
+        return cut(own.join(several, "band"))
+
+    def joined(links: DataFrame) -> DataFrame:
+        known = links if parts is None else links.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        return connected(known)
+
+    for k in range(HEAD_ROUNDS):
+        now = placed()
+        heads = now.groupBy("band").agg(F.min(F.struct(F.xxhash64(F.lit(k), "key").alias("order"), "key", "part")).alias("head"))
+        held = now.join(heads, "band").filter(F.col("part") != F.col("head.part")).select(F.col("key").alias("a"), F.col("head.key").alias("b")).distinct()
+        near = held.join(bits.toDF("a", "bits_x"), "a").join(bits.toDF("b", "bits_y"), "b").select("a", "b", like.alias("like")).filter(F.col("like") >= floor)
+        best = Window.partitionBy("a").orderBy(F.col("like").desc(), "b")
+        links = confirm(near.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= LIKELIEST), texts, percent)
+        if links.isEmpty():
+            break
+        parts = joined(links)
+    inside = cut(placed().join(bits, "key"))
     x, y = inside.toDF(*[f"{c}_x" for c in inside.columns]), inside.toDF(*[f"{c}_y" for c in inside.columns])
-    across = (F.col("band_x") == F.col("band_y")) & (F.col("part_x") < F.col("part_y")) & (estimate(F.col("bits_x"), F.col("bits_y")) >= floor)
-    others = x.join(y, across).select(F.greatest("key_x", "key_y").alias("a"), F.least("key_x", "key_y").alias("b")).distinct()
-    fresh = cut(others.join(stars, ["a", "b"], "left_anti"))
-    if not fresh.isEmpty():
-        more = confirm(fresh, docs, ids, id_col, text_col, percent)
-        parts = cut(connected(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
-
-    group = F.coalesce(F.col("component"), F.col("key"))
+    across = (F.col("band_x") == F.col("band_y")) & (F.col("part_x") < F.col("part_y")) & (like >= floor)
+    rest = confirm(x.join(y, across).select(F.col("key_x").alias("a"), F.col("key_y").alias("b")).distinct(), texts, percent)
+    if parts is None or not rest.isEmpty():
+        parts = joined(rest)
+
     grouped = rows.select(F.col(id_col).alias("id"), "key", "n_shingles").join(parts.withColumnRenamed("node", "key"), "key", "left")
-    grouped = grouped.withColumn("group", group)
+    grouped = grouped.withColumn("group", F.coalesce(F.col("component"), F.col("key")))
     least = grouped.filter("n_shingles > 0").groupBy("group").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     done = grouped.join(least, "group", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     return done.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
