@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from brindle.llm.common import bounded_batches
 
 #: Distinct pre-tokens that a task remembers between blocks; it starts anew beyond that, which bounds its memory.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
+#: Pairs of tokens whose rank a task remembers.
+PAIRS = 500_000
 
 
 @lru_cache(maxsize=2)
@@ -45,61 +47,88 @@ def load_tokens(path: str) -> list[bytes]:
     return tokens
 
 
-def replay(words: list[bytes], ranks: dict[bytes, int], tokens: list[bytes]) -> list[list[int]]:
-    """Ids of each word, by replaying the merges over all of them at once."""
-    flat = b"".join(words)
-    byte_rank = [ranks.get(bytes([b]), -1) for b in range(256)]
-    tok = [byte_rank[b] for b in flat]
+@lru_cache(maxsize=2)
+def byte_pair_ranks(path: str) -> np.ndarray:
+    """Rank of the token that each two bytes form, at first * 256 + second; -1 for none."""
+    ranks = load_ranks(path)
+    return _byte_pairs(ranks)
+
+
+def _byte_pairs(ranks: dict[bytes, int]) -> np.ndarray:
+    out = np.full(1 << 16, -1, np.int64)
+    for token, rank in ranks.items():
+        if len(token) == 2:
+            out[token[0] << 8 | token[1]] = rank
+    return out
+
+
+def replay(words: list[bytes], ranks: dict[bytes, int], tokens: list[bytes], byte_pairs: np.ndarray | None = None, formed: dict[int, int] | None = None) -> list[list[int]]:
+    """Ids of each word, by replaying the merges over all of them at once. formed remembers the ranks of pairs between calls."""
+    byte_pairs = _byte_pairs(ranks) if byte_pairs is None else byte_pairs
+    formed = {} if formed is None else formed
+    flat = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
     size = len(flat)
-    left, right = list(range(-1, size - 1)), list(range(1, size + 1))
-    starts, at = [], 0
-    for w in words:
-        starts.append(at)
-        if w:
-            left[at] = -1
-            at += len(w)
-            right[at - 1] = -1
-    get = ranks.get
-    forms = [-1] * size  # rank of the token that a position and its right neighbour form; -1 for none
-    index: dict[int, list[int]] = {}
-    for p in range(size):
-        q = right[p]
-        if q >= 0 and (r := get(flat[p : q + 1], -1)) >= 0:
-            forms[p] = r
-            index.setdefault(r, []).append(p)
+    sizes = np.array([len(w) for w in words], np.int64)
+    stops = np.cumsum(sizes)
+    last = stops[sizes > 0] - 1
+    tok = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)[flat].tolist()
+    left, right = np.arange(-1, size - 1), np.arange(1, size + 1)
+    left[stops[sizes > 0] - sizes[sizes > 0]] = -1
+    right[last] = -1
+    pairs = np.full(size, -1, np.int64)
+    if size:
+        pairs[:-1] = byte_pairs[flat[:-1] << 8 | flat[1:]]
+        pairs[last] = -1
+    index: dict[int, list[int]] = {}  # rank of the token that a pair forms: positions of such pairs
+    places = np.argsort(pairs, kind="stable")[int((pairs < 0).sum()) :]
+    edges = np.flatnonzero(np.diff(pairs[places], prepend=-1))
+    for own in np.split(places, edges[1:]) if len(places) else []:
+        index[int(pairs[own[0]])] = own.tolist()
+    forms, left, right = pairs.tolist(), left.tolist(), right.tolist()
     order = list(index)
     heapify(order)
+    known, find = formed.get, ranks.get
     while order:
         r = heappop(order)
         places = index.pop(r, None)
         if not places:
             continue
         places.sort()
+        mine, shifted = tokens[r], r << 17
         for k, p in enumerate(places):
             if forms[p] != r:
                 continue
             q = right[p]
-            after = right[q]
-            tok[p], right[p], forms[q], lower = r, after, -1, False
+            after, before, lower = right[q], left[p], False
+            tok[p], right[p], forms[q] = r, after, -1
             if after >= 0:
                 left[after] = p
-                new = forms[p] = get(tokens[r] + tokens[tok[after]], -1)
+                pair = shifted | tok[after]
+                new = known(pair)
+                if new is None:
+                    new = formed[pair] = find(mine + tokens[tok[after]], -1)
+                forms[p] = new
                 if new >= 0:
-                    if new not in index:
-                        index[new] = []
+                    if new in index:
+                        index[new].append(p)
+                    else:
+                        index[new] = [p]
                         heappush(order, new)
-                    index[new].append(p)
                     lower = new < r
             else:
                 forms[p] = -1
-            before = left[p]
             if before >= 0:
-                new = forms[before] = get(tokens[tok[before]] + tokens[r], -1)
+                pair = tok[before] << 17 | r
+                new = known(pair)
+                if new is None:
+                    new = formed[pair] = find(tokens[tok[before]] + mine, -1)
+                forms[before] = new
                 if new >= 0:
-                    if new not in index:
-                        index[new] = []
+                    if new in index:
+                        index[new].append(before)
+                    else:
+                        index[new] = [before]
                         heappush(order, new)
-                    index[new].append(before)
                     lower = lower or new < r
             if lower:  # the rest waits until the lower rank is done
                 if r in index:
@@ -109,8 +138,8 @@ def replay(words: list[bytes], ranks: dict[bytes, int], tokens: list[bytes]) ->
                     heappush(order, r)
                 break
     out = []
-    for s, w in zip(starts, words, strict=True):
-        ids, p = [], s if w else -1
+    for s, n in zip((stops - sizes).tolist(), sizes.tolist(), strict=True):
+        ids, p = [], s if n else -1
         while p >= 0:
             ids.append(tok[p])
             p = right[p]
@@ -126,11 +155,14 @@ class Encoder:
 
         self.ranks, self.tokens = load_ranks(path), load_tokens(path)
         self.split = regex.compile(pattern).findall
+        self.byte_pairs, self.formed = byte_pair_ranks(path), {}
         self.known: dict[str, bytes] = {}
 
     def learn(self, words: set[str]) -> None:
         if len(self.known) + len(words) > REMEMBERED:
             self.known = {}
+        if len(self.formed) > PAIRS:
+            self.formed = {}
         pending, ranks = [], self.ranks
         for w in words - self.known.keys():
             b = w.encode()
@@ -138,8 +170,12 @@ class Encoder:
                 self.known[w] = np.array([ranks[b]], "<u4").tobytes()
             else:
                 pending.append((w, b))
-        for (w, _), ids in zip(pending, replay([b for _, b in pending], ranks, self.tokens), strict=True):
-            self.known[w] = np.array(ids, "<u4").tobytes()
+        found = replay([b for _, b in pending], ranks, self.tokens, self.byte_pairs, self.formed)
+        sizes = [len(ids) for ids in found]
+        flat, at = np.array([i for ids in found for i in ids], "<u4").tobytes(), 0
+        for (w, _), n in zip(pending, sizes, strict=True):
+            self.known[w] = flat[at : at + 4 * n]
+            at += 4 * n
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""

@@ -8,9 +8,10 @@
    Candidates whose bit counts put the collision-corrected similarity under a floor five standard deviations below the
    threshold are dropped; of the others each class has its likeliest few confirmed on their full sets. Confirmed links join
    classes into components, and rounds with other heads follow in the buckets that still hold several components.
-4. What several components still share after these rounds is looked at whole: every pair of classes from different
-   components that share a key and have like bits is confirmed; so no link that could join two components is left out, and
-   large groups of near copies never become all their pairs.
+4. What several components still share after these rounds is looked at whole, so that no link that could join two components
+   is left out. Classes of large buckets form groups (buckets that share a class belong together), cut into blocks; a task
+   gets the texts of one pair of blocks, confirms the pairs from different components with like bits, and returns a spanning
+   forest of the links. In small buckets such pairs are joined and confirmed. Pairs of a large group are never emitted.
 
 At the threshold of 0.75, two sets share none of the 32 keys with probability 5e-6.
 
@@ -38,7 +39,9 @@ WIDTH, HASHES, BANDS, ROWS, BITS = 5, 256, 32, 4, 4
 #: Candidates are confirmed if their estimated similarity is threshold - MARGIN or more: five standard deviations of the estimate.
 MARGIN = 0.14
 #: Rounds of one head a bucket, and how many of a class's candidates a round confirms; the last look is over all that is left.
-HEAD_ROUNDS, LIKELIEST = 4, 3
+HEAD_ROUNDS, LIKELIEST = 3, 3
+#: A bucket of more classes is large; classes of a group in one block.
+LARGE, BLOCK = 48, 384
 CHUNK = 1 << 20
 
 _rng = np.random.default_rng(20240229)
@@ -226,6 +229,82 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(alike, "a binary, b binary"))
 
 
+def _alike(a: np.ndarray, b: np.ndarray, floor: float) -> np.ndarray:
+    """Which rows of packed bits a are like which of b, by the estimate."""
+    out = np.empty((len(a), len(b)), bool)
+    ones = np.uint64(0x1111111111111111)
+    for at in range(0, len(a), 64):
+        x = a[at : at + 64, None, :] ^ b[None, :, :]
+        x |= x >> np.uint64(1)
+        x |= x >> np.uint64(2)
+        same = HASHES - np.bitwise_count(x & ones).sum(axis=2, dtype=np.int64)
+        chance = 1 / (1 << BITS)
+        out[at : at + 64] = (same / HASHES - chance) / (1 - chance) >= floor
+    return out
+
+
+def _cell_links(rows: list[tuple], percent: int, floor: float) -> list[tuple[bytes, bytes]]:
+    """A spanning forest of the links between classes (second block, key, part, bits, text) of different components."""
+    one = [r for r in rows if not r[0]]
+    two = [r for r in rows if r[0]] or one
+    sets = {r[1]: set(s.tolist()) for r, (_, s) in zip(rows, shingle_sets([r[4] for r in rows]), strict=True)}
+    near = _alike(*(np.array([r[3] for r in b], np.int64).view(np.uint64).reshape(len(b), -1) for b in (one, two)), floor)
+    parent: dict[bytes, bytes] = {}
+
+    def root(k: bytes) -> bytes:
+        while parent.get(k, k) != k:
+            k = parent[k]
+        return k
+
+    links = []
+    for i, j in np.argwhere(near).tolist():
+        a, b = one[i], two[j]
+        if a[2] == b[2] or (two is one and j <= i):
+            continue
+        x, y = root(a[2]), root(b[2])  # components that this cell has joined already need no further link
+        if x == y:
+            continue
+        s, t = sets[a[1]], sets[b[1]]
+        common = len(s & t)
+        if 100 * common >= percent * (len(s) + len(t) - common):
+            parent[y] = x
+            links.append((max(a[1], b[1]), min(a[1], b[1])))
+    return links
+
+
+def group_links(large: DataFrame, bits: DataFrame, texts: DataFrame, percent: int, floor: float) -> DataFrame:
+    """Links (a, b) between components within the groups of large buckets (band, key, part)."""
+    least = large.groupBy("band").agg(F.min("key").alias("head"))
+    groups = connected(large.join(least, "band").select(F.col("key").alias("a"), F.col("head").alias("b")).distinct()).toDF("key", "group")
+    sizes = groups.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = groups.join(sizes, "group").withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = ["group", "low", "high"]
+    dealt = dealt.select("group", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), (F.col("mine") > F.col("other")).alias("second"), "key")
+    full = dealt.join(large.select("key", "part").distinct(), "key").join(bits, "key").join(texts, "key").select(*cell, "second", "key", "part", "bits", "text")
+    spread = max(1, int(large.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    full = full.repartition(spread, *cell).sortWithinPartitions(*cell, "second", "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def done(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            links = _cell_links([r[3:] for r in rows], percent, floor)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in links], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[-1][:3] != row[:3]:
+                    yield from done(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield from done(held)
+
+    return cut(full.mapInArrow(run, "a binary, b binary"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id (the smallest id reachable by links, itself included) and kept (id = component_id)."""
     floor = percent / 100 - MARGIN
@@ -263,7 +342,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         if links.isEmpty():
             break
         parts = joined(links)
-    inside = cut(placed().join(bits, "key"))
+    now = placed()
+    crowded = now.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LARGE).select("band")
+    large = cut(now.join(crowded, "band"))
+    if not large.isEmpty():
+        links = group_links(large, bits, texts, percent, floor)
+        if not links.isEmpty():
+            parts = joined(links)
+            now = placed()
+    inside = cut(now.join(large.select("band").distinct(), "band", "left_anti").join(bits, "key"))
     x, y = inside.toDF(*[f"{c}_x" for c in inside.columns]), inside.toDF(*[f"{c}_y" for c in inside.columns])
     across = (F.col("band_x") == F.col("band_y")) & (F.col("part_x") < F.col("part_y")) & (like >= floor)
     rest = confirm(x.join(y, across).select(F.col("key_x").alias("a"), F.col("key_y").alias("b")).distinct(), texts, percent)

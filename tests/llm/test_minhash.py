@@ -76,6 +76,21 @@ def test_large_group_of_near_copies(spark):
     check(spark, list(enumerate(texts)))
 
 
+def test_groups_of_large_buckets_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "LARGE", 4)
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "HEAD_ROUNDS", 1)
+    rng = np.random.default_rng(8)
+    base = [f"t{i}" for i in range(90)]
+    texts = []
+    for k in range(120):
+        own = list(base)
+        for j in rng.choice(90, int(rng.integers(1, 9)), replace=False):
+            own[j] = f"v{rng.integers(40)}"
+        texts.append(" ".join(own))
+    check(spark, list(enumerate(texts)))
+
+
 def test_repeated_rows_null_ids_and_other_columns(spark):
     rows = [(1, "a b c d e f", 7), (1, "a b c d e f", 7), (None, "a b c d e f", 7), (None, None, 7), (3, "q", 7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, key long")
