@@ -114,8 +114,10 @@ def test_estimate_is_near_the_similarity(spark):
         assert r.e == pytest.approx(r.j, abs=0.2)
 
 
-def test_components_of_a_long_path(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
+@pytest.mark.parametrize("local", [7, 200_000])
+def test_components_of_a_long_path(spark, monkeypatch, local):
+    monkeypatch.setattr(graph, "LOCAL", local)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (100, 101), (5, 5)], "a long, b long")
     got = {r.node: r.component for r in graph.connected(edges).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
     assert graph.connected(edges.limit(0)).count() == 0
