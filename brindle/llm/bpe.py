@@ -187,7 +187,7 @@ class Encoder:
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens and ids (binary: little-endian unsigned 32-bit) of every text, as the ranks file at path gives them."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, 1)  # lists of all positions of new pre-tokens are many times the size of their texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, pattern)
@@ -202,7 +202,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
 
 def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     """encoded with ``decoded``: the bytes that ids stand for. An id outside of the ranks file is an error."""
-    bounded_batches(encoded.sparkSession)
+    bounded_batches(encoded.sparkSession, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = load_tokens(path)
