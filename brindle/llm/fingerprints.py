@@ -10,7 +10,9 @@ chain takes its best partner, and filters count by their features.
 Neighbours in id order meet without a window over all rows: ids are cut at quantiles into as many ranges as there are shuffle
 partitions, each range is sorted in its task, and the first row of the next range comes along as a marker.
 
-Texts under 384 bytes have few such windows, so all their windows of 16 bytes are features too.
+Texts under 384 bytes have few such windows, so all their windows of 16 bytes are features too. In longer texts windows may
+tie or be too plain to win, as in a repeated unit, whatever its length. Wherever 160 windows or more in a row have no feature, the windows
+of 16 bytes in them are winnowed: of every 48 neighbours the one of the smallest hash is a feature. So only empty texts have none.
 
 Edge cases: a null text is an empty one; texts under 16 bytes are one padded window, an empty text has no feature; equal fingerprints have likeness 1, an empty one and another 0; rows of one id
 follow each other by the hash of their text; a null id comes last; a single row is its own neighbour; an empty table gives
@@ -32,6 +34,7 @@ from brindle.llm.common import bounded_batches
 from brindle.llm.minhash import _mix, _power_tables
 
 WINDOW, SMALL, SHORT, POINTS, FILTER_BITS, FILTER_FEATURES, FEATURE_BITS = 64, 16, 384, 16, 2048, 160, 5
+QUIET, WINNOW = 160, 48  # windows in a row without a feature; neighbours of which the smallest hash is one then
 #: Mean and standard deviation of the reference entropies, in thousandths of the maximum; under LEAST a window is no feature.
 USUAL, SPREAD, LEAST = 620.0, 40.0, 120
 CORE = 1 << 16  # windows of a long text that are looked at together
@@ -59,8 +62,8 @@ def window_entropies(x: np.ndarray) -> np.ndarray:
     return 1000 - (total * 1000) // _whole[WINDOW]
 
 
-def _features(pieces: list[tuple[bytes, int, int]]) -> list[np.ndarray]:
-    """Hashed features of each piece (bytes, first window, last window): those with enough points, then a short text's small windows."""
+def _features(pieces: list[tuple[bytes, int, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Hashed features of each piece (bytes, first window, last window), those with enough points, then a short text's small windows; and the places of the former."""
     sizes = np.array([len(p[0]) for p in pieces])
     x = np.frombuffer(b"".join(p[0] for p in pieces), np.uint8)
     begin = np.cumsum(sizes) - sizes
@@ -82,17 +85,36 @@ def _features(pieces: list[tuple[bytes, int, int]]) -> list[np.ndarray]:
     for k, (data, first, last) in enumerate(pieces):
         a = begin[k]
         at = np.flatnonzero(points[a + first : a + max(first, min(last, len(data) - WINDOW + 1))] >= POINTS) + a + first
-        own = _mix((sums[at + WINDOW] - sums[at]) * down[at])
+        own, places = _mix((sums[at + WINDOW] - sums[at]) * down[at]), at - a
         if first == 0 and len(data) < SHORT:
             at = np.arange(a, a + len(data) - SMALL + 1)
             own = np.concatenate([own, _mix((sums[at + SMALL] - sums[at]) * down[at] + np.uint64(SMALL))])
-        out.append(own)
+        out.append((own, places))
+    return out
+
+
+def quiet_features(text: bytes, places: np.ndarray) -> list[np.ndarray]:
+    """Hashed small windows winnowed from every stretch of QUIET windows or more between the places of features."""
+    ends = np.concatenate([[-1], places, [len(text) - WINDOW + 1]])
+    out = []
+    for k in np.flatnonzero(np.diff(ends) > QUIET):
+        first, stop = int(ends[k]) + 1, int(ends[k + 1]) + WINDOW - SMALL  # small windows inside the stretch
+        for at in range(first, stop - WINNOW + 1, CORE):
+            x = np.frombuffer(text, np.uint8, min(stop, at + CORE + WINNOW - 1) - at + SMALL - 1, at)
+            up, down = _power_tables(len(x) + 1)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((x.astype(np.uint64) + np.uint64(1)) * up[: len(x)])])
+            n = len(x) - SMALL + 1
+            least = _mix((sums[SMALL:] - sums[:n]) * down[:n] + np.uint64(SMALL))
+            for step in (1, 2, 4, 8, 16, WINNOW - 32):
+                least = np.minimum(least[:-step], least[step:])
+            _, place = np.unique(least, return_index=True)
+            out.append(least[np.sort(place)])
     return out
 
 
 def text_features(texts: list[bytes]) -> list[np.ndarray]:
     """Distinct hashed features of each text, in order of their first place. Long texts are looked at in overlapping pieces."""
-    pieces, owner = [], []
+    pieces, owner, begins = [], [], []
     for k, t in enumerate(texts):
         if not t:
             continue
@@ -101,16 +123,22 @@ def text_features(texts: list[bytes]) -> list[np.ndarray]:
             start = max(0, core - WINDOW)
             pieces.append((t[start : core + CORE + 3 * WINDOW], core - start, core - start + CORE))
             owner.append(k)
+            begins.append(start)
     found: list[list[np.ndarray]] = [[] for _ in texts]
+    seen: list[list[np.ndarray]] = [[] for _ in texts]
     at = 0
     while at < len(pieces):
         stop, held = at, 0
         while stop < len(pieces) and (stop == at or held + len(pieces[stop][0]) <= 2 * CORE):
             held += len(pieces[stop][0])
             stop += 1
-        for k, f in zip(owner[at:stop], _features(pieces[at:stop]), strict=True):
+        for k, place, (f, places) in zip(owner[at:stop], begins[at:stop], _features(pieces[at:stop]), strict=True):
             found[k].append(f)
+            seen[k].append(places + place)
         at = stop
+    for text, parts, places in zip(texts, found, seen, strict=True):
+        if len(text) >= SHORT:
+            parts += quiet_features(text, np.concatenate(places))
     out = []
     for parts in found:
         all_parts = np.concatenate(parts) if parts else np.empty(0, np.uint64)

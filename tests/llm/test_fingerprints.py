@@ -83,3 +83,39 @@ def test_odd_rows(spark):
     got = run([(5, "same", 1), (5, "same", 1), (None, None, 1), (-3, "", 1), (7, "x" * 300_000, 1)])
     assert [g[:2] for g in got] == [("-3", 0), ("5", 4), ("5", 4), ("7", 300_000), ("None", 0)]
     assert dict((g[0], g[2]) for g in got)["None"] == 1.0
+
+
+def test_repeated_units_have_features():
+    rng = np.random.default_rng(3)
+    units = ["For ", "spam ", "0123456789 ", "buy now! ", "lorem ipsum ", "the cat sat on ", "x", "0123456789abcdef", "".join(map(chr, rng.integers(97, 110, 32))), "".join(map(chr, rng.integers(97, 110, 64)))]
+    for size in (384, 385, 2000, 300_000):
+        texts = [(u * size)[:size] for u in units]
+        chains = fp.fingerprints(texts)
+        assert all(len(c[0]) for c in chains)
+        for k, c in enumerate(chains):
+            assert fp.likeness(c, chains[k - 1]) < 0.6 and fp.likeness(c, fp.fingerprints([""])[0]) == 0.0
+            assert fp.likeness(c, fp.fingerprints([fp.edited(texts[k], texts[k - 1])])[0]) > 0.6
+    rare = bytes(np.where(rng.random(5000) < 0.01, 121, 120).astype(np.uint8))  # under the least entropy, yet no repetition
+    assert all(len(f) for f in fp.text_features([rare, rare[:400]]))
+
+
+def test_quiet_stretches_against_a_plain_walk(monkeypatch):
+    rng = np.random.default_rng(4)
+    prose = lambda n: bytes(rng.integers(97, 110, n, dtype=np.uint8))
+    texts = [prose(700) + b"For " * 300 + prose(500) + b"x" * 400, b"abcde" * 90, prose(3000)]
+
+    def plain_quiet(data):
+        up, _ = _power_tables(1)
+        small = lambda i: int(_mix(np.array([((np.frombuffer(data[i : i + 16], np.uint8).astype(np.uint64) + np.uint64(1)) * up[:16]).sum(dtype=np.uint64) + np.uint64(16)]))[0])
+        _, at = fp._features([(data, 0, len(data))])[0]
+        ends, out = [-1, *at.tolist(), len(data) - 63], []
+        for a, b in zip(ends, ends[1:], strict=False):
+            if b - a - 1 >= 160:
+                hashes = [small(i) for i in range(a + 1, b + 48)]
+                out += [min(hashes[i : i + 48]) for i in range(len(hashes) - 47)]
+        return out
+
+    want = [list(dict.fromkeys(plain_features(t) + plain_quiet(t))) for t in texts]
+    assert [f.tolist() for f in fp.text_features(texts)] == want and len(want[0]) > len(plain_features(texts[0]))
+    monkeypatch.setattr(fp, "CORE", 256)
+    assert [f.tolist() for f in fp.text_features(texts)] == want
