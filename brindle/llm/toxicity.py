@@ -9,9 +9,12 @@ by a logistic fit on labelled rows that were kept out of training.
 Training takes at most ``per_class`` labelled rows of either label (the smallest hashes of their ids), and never a row whose
 crc32(id as text) mod 4 is 2. Only texts and labels are read; the model's size is fixed, so it is broadcast to the tasks.
 
-Edge cases: a null or empty text, or one without any word, gets the labelled rows' weighted share of label 1; a row with a null id is scored and
+Only what the network read in words can make a text toxic: texts without a word, and every text where no network could be
+trained, are never predicted toxic and never dropped.
+
+Edge cases: a null or empty text, or one without any word, gets the labelled rows' weighted share of label 1, kept under the threshold; a row with a null id is scored and
 counts as not held out; repeated rows get equal scores; without rows of both labels every score is the share of label 1
-(0.5 without any label); an empty table gives an empty result; other columns are ignored.
+(0.5 without any label) and nothing is predicted toxic; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +39,7 @@ REMEMBERED = 200_000  # distinct words whose inputs a task remembers
 PER_CLASS = 2000
 
 _split = re.compile(r"\w+").findall
+_word = re.compile(r"\w").search
 
 
 def words_of(text: str | None) -> list[str]:
@@ -325,6 +329,15 @@ class Scorer:
         found = 1 / (1 + np.exp(-np.clip(self.model.slope * top + self.model.shift, -30, 30)))
         return np.where(lengths > 0, found, self.model.empty)
 
+    def judge(self, texts: list[str | None], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """Scores, and which texts are toxic: those whose words the network read and gave threshold or more."""
+        scores = self.score(texts)
+        if self.model.base is not None:
+            return scores, np.zeros(len(texts), bool)
+        read = np.array([bool(t and _word(t)) for t in texts], bool)
+        under = max(0.0, float(np.nextafter(threshold, -np.inf)))
+        return np.where(read, scores, np.minimum(scores, under)), read & (scores >= threshold)
+
 
 def held_out(row_id: Column) -> Column:
     return F.coalesce(F.crc32(row_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -345,22 +358,22 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col:
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, score (0 to 1) and predicted (1 if score >= threshold) of every row."""
+    """id, score (0 to 1) and predicted (1 if the network gave threshold or more) of every row."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size: 16,384 n-gram rows and the sample's frequent words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer.score(batch.column(1).to_pylist()), pa.float64())], names=[id_col, "score"])
+            scores, toxic = scorer.judge(batch.column(1).to_pylist(), threshold)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(toxic.astype(np.int32))], names=[id_col, "score", "predicted"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """docs without the rows that score threshold or more; all columns kept, and no shuffle or join."""
+    """docs without the rows that the network gave threshold or more; all columns kept, and no shuffle or join."""
     names = docs.columns
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -369,6 +382,6 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            yield batch.filter(pa.array(scorer.score(batch.column(place).to_pylist()) < threshold))
+            yield batch.filter(pa.array(~scorer.judge(batch.column(place).to_pylist(), threshold)[1]))
 
     return docs.mapInArrow(run, docs.schema)

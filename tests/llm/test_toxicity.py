@@ -75,3 +75,23 @@ def test_odd_rows(spark):
     kept = toxicity.drop_toxic(docs, trained)
     assert kept.columns == docs.columns and kept.count() <= 5
     assert toxicity.score_documents(docs.limit(0), trained).count() == 0
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None)], [(1, 1), (3, 1)], [(k, 1) for k in range(40) if zlib.crc32(str(k).encode()) % 4 == 2]], ids=["empty", "null", "only 1", "held out"])
+def test_no_document_goes_without_a_network(spark, tmp_path, rows):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(k, f"text {k}" if k else None) for k in range(40)], "doc_id long, text string")
+    spark.createDataFrame(rows, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == 40
+    scored = toxicity.score_documents(docs, toxicity.fit(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")))
+    assert {r.predicted for r in scored.collect()} == {0}
+
+
+def test_texts_without_a_word_stay_whatever_the_share(spark):
+    model = toxicity.train(["good day", "bad blob"] * 20, [0, 1] * 20, [1.0] * 40)
+    assert model.empty == 0.5
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "... !"), (4, "bad blob"), (5, "good day")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in toxicity.drop_toxic(docs, model).collect()) == [1, 2, 3, 5]
+    for r in toxicity.score_documents(docs, model).collect():
+        assert r.predicted == (r.score >= 0.3) == (r.doc_id == 4)
