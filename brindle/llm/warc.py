@@ -70,6 +70,17 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, block[block.index(b"\r\n\r\n") + 4 :]
 
 
+def verified(fields: dict[str, str], payload: bytes) -> tuple[int, str]:
+    """Length and SHA-1 (base 32) of a record's payload, held against its header; a revisit has no payload and keeps its header's."""
+    told = int(fields["WARC-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha1:")
+    if fields["WARC-Type"] == "revisit":
+        return told
+    found = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    if found != told:
+        raise ValueError(f"the payload of a record has {found}, its header says {told}")
+    return found
+
+
 def train_dictionary(records: list[bytes]) -> bytes:
     """A Zstandard dictionary from sample records; empty if they are too few or too alike for one."""
     import zstandard
@@ -170,7 +181,7 @@ def read_archives(spark: SparkSession, archives: DataFrame, folder: str, payload
                     for record in read_frames(stream):
                         fields, payload = parse_record(record)
                         number = lambda k: int(fields[k]) if k in fields else None  # noqa: B023, E731
-                        values = [number("WARC-Page-ID"), number("WARC-Payload-Length"), fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"], number("WARC-Refers-To-Page-ID"), fields.get("WARC-Target-URI"), payload]
+                        values = [number("WARC-Page-ID"), *verified(fields, payload), fields["WARC-Type"], number("WARC-Refers-To-Page-ID"), fields.get("WARC-Target-URI"), payload]
                         for column, value in zip(rows, values, strict=False):
                             column.append(value)
                         if len(rows[0]) >= 512:

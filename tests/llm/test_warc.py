@@ -67,3 +67,16 @@ def test_empty_table_and_broken_archives(spark, tmp_path):
     assert list(warc.read_frames(io.BytesIO(whole))) == [record]
     with pytest.raises(ValueError):
         list(warc.read_frames(io.BytesIO(whole[:-5])))
+
+
+def test_a_damaged_payload_is_no_row(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "some payload")], "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/out"
+    written = warc.write_archives(pages.coalesce(1), folder)
+    assert warc.read_archives(spark, written, folder).first().payload_bytes == 12
+    for damaged in (b"some pAyload", b"some payloa"):
+        record = warc.build_record(1, "u", damaged, hashlib.sha1(b"some payload").digest(), None, False)
+        with open(written.first().path, "wb") as out:
+            out.write(struct.pack("<II", warc.MAGIC, 0) + zstandard.ZstdCompressor().compress(record))
+        with pytest.raises(Exception, match="its header says"):
+            warc.read_archives(spark, written, folder).collect()
