@@ -7,18 +7,21 @@ text. A document's logit is the log-sum-exp of its windows in training and the l
 by a logistic fit on labelled rows that were kept out of training.
 
 Training takes at most ``per_class`` labelled rows of either label (the smallest hashes of their ids), and never a row whose
-crc32(id as text) mod 4 is 2. Only texts and labels are read; the model's size is fixed, so it is broadcast to the tasks.
+crc32(id as text) mod 4 is 2. Only texts and labels are read. It runs in one task, whose input that bound fixes; a step holds
+``WINDOWS`` windows at most and adds up the gradients of longer batches. The driver sees only the model, of a fixed size,
+and broadcasts it to the tasks.
 
 Only what the network read in words can make a text toxic: texts without a word, and every text where no network could be
 trained, are never predicted toxic and never dropped.
 
 Edge cases: a null or empty text, or one without any word, gets the labelled rows' weighted share of label 1, kept under the threshold; a row with a null id is scored and
-counts as not held out; repeated rows get equal scores; without rows of both labels every score is the share of label 1
+counts as not held out; repeated rows get equal scores, and of rows that share a labelled id the text of the smallest hash is learned from; without rows of both labels every score is the share of label 1
 (0.5 without any label) and nothing is predicted toxic; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -36,6 +39,7 @@ SPAN, STEP = 32, 24  # words in a window, and from one window's start to the nex
 HIDDEN, WORD_DIM, CHAR_DIM, ATTEND = 8, 8, 12, 8
 CHAR_ROWS = 1 << 14
 REMEMBERED = 200_000  # distinct words whose inputs a task remembers
+WINDOWS = 2048  # windows that a training step holds at once
 PER_CLASS = 2000
 
 _split = re.compile(r"\w+").findall
@@ -48,7 +52,7 @@ def words_of(text: str | None) -> list[str]:
 
 def char_rows(word: str) -> list[int]:
     """Rows of a word's character 3- to 5-grams, its ends marked."""
-    marked = f"<{word[:40]}>" if len(word) <= 40 else f"<{word}>"
+    marked = f"<{word}>"
     found = [zlib.crc32(marked[i : i + n].encode()) % CHAR_ROWS for n in (3, 4, 5) for i in range(len(marked) - n + 1)]
     return found or [zlib.crc32(marked.encode()) % CHAR_ROWS]
 
@@ -161,6 +165,12 @@ def _inputs(p: dict[str, np.ndarray], own: np.ndarray, flat: np.ndarray, first:
     return np.concatenate([p["words"][own], chars], axis=1), counts
 
 
+def _counted(word: str, sizes: np.ndarray, at: int) -> list[int]:
+    found = char_rows(word)
+    sizes[at] = len(found)
+    return found
+
+
 def _scatter(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(rows, values[:, j], n) for j in range(values.shape[1])], axis=1).astype(np.float32)
 
@@ -174,69 +184,91 @@ def train(texts: list[str | None], labels: list[int], weights: list[float], epoc
     if not len(y) or y.min() == y.max():
         return Model({}, {}, base=float(y.mean()) if len(y) else 0.5)
     rng = np.random.default_rng(seed)
-    docs = [words_of(t) for t in texts]
-    aside = np.arange(len(docs)) % 5 == 4
-    seen = Counter(w for k, d in enumerate(docs) if not aside[k] for w in set(d))
-    vocabulary = {w: i + 1 for i, w in enumerate(sorted(w for w, n in seen.items() if n >= 3))}
     every: dict[str, int] = {}
-    ids = [np.array([every.setdefault(w, len(every)) for w in d], np.int64) for d in docs]
-    grams = [np.array(char_rows(w)) for w in every]
-    own = np.array([vocabulary.get(w, 0) for w in every], np.int64)
+    ids = [np.fromiter((every.setdefault(w, len(every)) for w in words_of(t)), np.int32) for t in texts]
+    aside = np.arange(len(ids)) % 5 == 4
+    seen = np.zeros(len(every), np.int32)
+    for k in np.flatnonzero(~aside):
+        seen[np.unique(ids[k])] += 1
+    vocabulary = {w: i + 1 for i, w in enumerate(sorted(w for w, i in every.items() if seen[i] >= 3))}
+    own = np.fromiter((vocabulary.get(w, 0) for w in every), np.int32, len(every))
+    sizes = np.zeros(len(every) + 1, np.int64)
+    grams = np.fromiter((g for i, w in enumerate(every) for g in _counted(w, sizes, i + 1)), np.int32)
+    ends = np.cumsum(sizes)
+    del every
     p = _start(len(vocabulary) + 1, rng)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     tick = 0
 
-    def laid_out(chosen: np.ndarray) -> tuple:
-        """Window words (steps, windows) as places in the batch's distinct words, mask, first window of each document."""
+    def laid_out(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words of each window (windows, steps), -1 where there is none, and each document's number of windows."""
         starts = [windows(len(ids[k])) for k in chosen]
-        first = np.cumsum([0, *(len(s) for s in starts)])[:-1]
-        grid = np.full((sum(map(len, starts)), SPAN), -1, np.int64)
+        grid = np.full((sum(map(len, starts)), SPAN), -1, np.int32)
         row = 0
         for k, own_starts in zip(chosen, starts, strict=True):
             for s in own_starts:
                 part = ids[k][s : s + SPAN]
                 grid[row, : len(part)] = part
                 row += 1
+        return grid, np.array([len(s) for s in starts])
+
+    def project(grid: np.ndarray, hidden: np.ndarray) -> dict:
+        """Projected inputs of some windows, with what their gradients need; words in hidden are read by their characters alone."""
         used, place = np.unique(grid, return_inverse=True)
-        place = place.reshape(grid.shape).T
-        mask = (grid.T >= 0).astype(np.float32)
+        place, mask = place.reshape(grid.shape).T, (grid.T >= 0).astype(np.float32)
         if used[0] < 0:
             used, place = used[1:], np.maximum(place - 1, 0)
-        return used, place, mask, first
-
-    def run(chosen: np.ndarray, learn: bool) -> np.ndarray:
-        nonlocal tick
-        used, place, mask, first = laid_out(chosen)
         if len(used):
-            flat = np.concatenate([grams[i] for i in used])
-            begin = np.cumsum([0, *(len(grams[i]) for i in used)])[:-1]
-            rows = own[used]
-            if learn:  # some words are read by their characters alone, as unseen ones will be
-                rows = np.where(rng.random(len(rows)) < 0.3, 0, rows)
-            x, counts = _inputs(p, rows, flat, begin)
+            counts = sizes[used + 1]
+            first = np.cumsum(counts) - counts
+            flat = grams[np.repeat(ends[used] - first, counts) + np.arange(counts.sum())]
+            rows = np.where(np.isin(used, hidden), 0, own[used])
+            x, _ = _inputs(p, rows, flat, first)
         else:
-            x, counts, flat, rows = np.zeros((1, WORD_DIM + CHAR_DIM), np.float32), np.ones(1), np.zeros(1, int), np.zeros(1, int)
-        xf, xb = (x @ p["wf"] + p["bf"])[place], (x @ p["wb"] + p["bb"])[place]
-        tape: dict = {}
-        z = forward(p, xf, xb, mask, tape)
-        top = np.maximum.reduceat(z, first)
-        sizes = np.diff(np.append(first, len(z)))
-        share = np.exp(z - np.repeat(top, sizes))
-        total = np.add.reduceat(share, first)
-        if not learn:
-            return top
-        whole = top + np.log(total)
-        dz = np.repeat(1 / (1 + np.exp(-whole)) - y[chosen], sizes) * share / np.repeat(total, sizes) / len(chosen)
+            x, counts, flat, rows = np.zeros((1, WORD_DIM + CHAR_DIM), np.float32), np.ones(1, np.int64), np.zeros(1, np.int64), None
+        made = {"x": x, "counts": counts, "flat": flat, "rows": rows, "place": place, "mask": mask}
+        return made | {"xf": (x @ p["wf"] + p["bf"])[place], "xb": (x @ p["wb"] + p["bb"])[place]}
+
+    def gradients(part: dict, tape: dict, dz: np.ndarray) -> dict[str, np.ndarray]:
+        x, mask, rows, counts, d3 = part["x"], part["mask"], part["rows"], part["counts"], 3 * HIDDEN
         g, dxf, dxb = backward(p, tape, dz.astype(np.float32))
-        d3 = 3 * HIDDEN
-        at = place.reshape(-1)
-        sf, sb = _scatter(at, (dxf * mask[:, :, None]).reshape(-1, d3), len(x)), _scatter(at, (dxb * mask[:, :, None]).reshape(-1, d3), len(x))
+        at = part["place"].reshape(-1)
+        sf, sb = (_scatter(at, (d * mask[:, :, None]).reshape(-1, d3), len(x)) for d in (dxf, dxb))
         g |= {"wf": x.T @ sf, "wb": x.T @ sb, "bf": sf.sum(axis=0), "bb": sb.sum(axis=0)}
-        dx = sf @ p["wf"].T + sb @ p["wb"].T
-        if len(used):
+        if rows is not None:
+            dx = sf @ p["wf"].T + sb @ p["wb"].T
             g["words"] = _scatter(rows, dx[:, :WORD_DIM], len(p["words"]))
             g["words"][0] = 0
-            g["chars"] = _scatter(flat, np.repeat(dx[:, WORD_DIM:] / counts[:, None], counts, axis=0), CHAR_ROWS)
+            g["chars"] = _scatter(part["flat"], np.repeat(dx[:, WORD_DIM:] / counts[:, None], counts, axis=0), CHAR_ROWS)
+        return g
+
+    def run(chosen: np.ndarray, learn: bool) -> np.ndarray:
+        """The largest logit of each chosen document; learn takes a step. WINDOWS windows are held at once."""
+        nonlocal tick
+        grid, per = laid_out(chosen)
+        hidden = np.flatnonzero(rng.random(len(own)) < 0.3) if learn else np.zeros(0, np.int64)  # as unseen words will be
+        cuts = [slice(at, at + WINDOWS) for at in range(0, len(grid), WINDOWS)]
+        z, kept = np.empty(len(grid), np.float32), None
+        for cut in cuts:
+            part, tape = project(grid[cut], hidden), {} if learn and len(cuts) == 1 else None
+            z[cut] = forward(p, part["xf"], part["xb"], part["mask"], tape)
+            kept = (part, tape)
+        first = np.cumsum(per) - per
+        top = np.maximum.reduceat(z, first)
+        if not learn:
+            return top
+        share = np.exp(z - np.repeat(top, per))
+        total = np.add.reduceat(share, first)
+        dz = np.repeat(1 / (1 + np.exp(-top - np.log(total))) - y[chosen], per) * share / np.repeat(total, per) / len(chosen)
+        if len(cuts) == 1:
+            g = gradients(*kept, dz)
+        else:
+            g = {}
+            for cut in cuts:
+                part, tape = project(grid[cut], hidden), {}
+                forward(p, part["xf"], part["xb"], part["mask"], tape)
+                for k, grad in gradients(part, tape, dz[cut]).items():
+                    g[k] = g[k] + grad if k in g else grad
         tick += 1
         for k, grad in g.items():
             m, v = moments[k]
@@ -253,7 +285,7 @@ def train(texts: list[str | None], labels: list[int], weights: list[float], epoc
             run(order[at : at + batch], True)
     held = np.flatnonzero(aside)
     if not 0 < y[held].sum() < len(held):
-        held = np.arange(len(docs))
+        held = np.arange(len(ids))
     top = np.concatenate([run(held[at : at + batch], False) for at in range(0, len(held), batch)]).astype(np.float64)
     slope, shift = calibrated(top, y[held], weight[held])
     return Model(p, vocabulary, slope, shift, empty=float((weight * y).sum() / weight.sum()))
@@ -281,8 +313,7 @@ class Scorer:
 
     def forget(self) -> None:
         self.places: dict[str, int] = {}
-        self.inputs = [np.zeros((1, 6 * HIDDEN), np.float32)]
-        self.ready = self.inputs[0]
+        self.ready = np.zeros((4096, 6 * HIDDEN), np.float32)  # row 0 stands for no word; grows by doubling
 
     def learn(self, words: set[str]) -> None:
         if len(self.places) + len(words) > REMEMBERED and self.places:
@@ -299,10 +330,12 @@ class Scorer:
             own = np.array([self.model.vocabulary.get(w, 0) for w in some], np.int64)
             x, _ = _inputs(p, own, flat, first)
             base = len(self.places) + 1
-            self.places |= {w: base + i for i, w in enumerate(some)}
-            self.inputs.append(np.concatenate([x @ p["wf"] + p["bf"], x @ p["wb"] + p["bb"]], axis=1))
-        self.ready = np.concatenate(self.inputs)
-        self.inputs = [self.ready]
+            if base + len(some) > len(self.ready):
+                grown = np.zeros((max(2 * len(self.ready), base + len(some)), 6 * HIDDEN), np.float32)
+                grown[:base] = self.ready[:base]
+                self.ready = grown
+            self.ready[base : base + len(some)] = np.concatenate([x @ p["wf"] + p["bf"], x @ p["wb"] + p["bb"]], axis=1)
+            self.places.update(zip(some, range(base, base + len(some)), strict=True))
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.model.base is not None:
@@ -344,17 +377,24 @@ def held_out(row_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model from labelled rows that are not held out, per_class of either label at most (bounded, so the driver can hold them)."""
+    """A model from labelled rows that are not held out, per_class of either label at most (bounded, so one task can hold them)."""
     open_rows = labels.filter(~held_out(F.col(id_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     totals = {r["label"]: r["n"] for r in open_rows.filter("label in (0, 1)").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = [F.xxhash64("id"), F.col("id")]
     sample = open_rows.filter("label = 1").orderBy(*order).limit(per_class).unionByName(open_rows.filter("label = 0").orderBy(*order).limit(per_class))
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
-    rows = sorted(found.select("id", "text", "label").limit(4 * per_class).collect(), key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"], r["label"], r["text"] or ""))
-    taken = Counter(r["label"] for r in rows)
-    weights = [totals[r["label"]] / taken[r["label"]] for r in rows]
-    scale = sum(weights) / max(1, len(weights))
-    return train([r["text"] for r in rows], [r["label"] for r in rows], [w / scale for w in weights])
+    rows = found.groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("first")).select(F.crc32(F.col("id").cast("string").cast("binary")).alias("crc"), F.col("id").cast("string").alias("id"), "label", F.col("first.text").alias("text"))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[:3])
+        taken = Counter(r[2] for r in every)
+        weights = [totals[r[2]] / taken[r[2]] for r in every]
+        scale = sum(weights) / max(1, len(weights))
+        model = train([r[3] for r in every], [r[2] for r in every], [w / scale for w in weights])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    made = rows.repartition(1).mapInArrow(learn, "model binary").collect()  # 2 * per_class rows at most
+    return pickle.loads(bytes(made[0][0])) if made else train([], [], [])
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
