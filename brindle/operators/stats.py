@@ -63,7 +63,7 @@ def normal_two_sided(z: Column) -> Column:
     """Two-sided tail of the normal distribution; for few rows, as a pandas function."""
     @F.pandas_udf("double")
     def tail(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: math.erfc(abs(v) / math.sqrt(2)) if v == v else None)
+        return pd.Series([math.erfc(abs(v) / math.sqrt(2)) if v == v else None for v in values], dtype="float64")
 
     return tail(z)
 
@@ -72,7 +72,7 @@ def student_two_sided(t: Column, df: Column) -> Column:
     """Two-sided tail of Student's distribution, by the continued fraction of the incomplete beta function; for few rows."""
     @F.pandas_udf("double")
     def tail(values: pd.Series, freedom: pd.Series) -> pd.Series:
-        return pd.Series([beta_tail(v, d) for v, d in zip(values, freedom, strict=True)])
+        return pd.Series([beta_tail(v, d) for v, d in zip(values, freedom, strict=True)], dtype="float64")
 
     return tail(t, df)
 
@@ -134,13 +134,68 @@ def t_and_cohen(df: DataFrame, keys: list[str], group: str, value: str, first: o
 
 
 def adjusted(df: DataFrame, p: str, scope: list[str], tiebreak: list[str]) -> DataFrame:
-    """Benjamini-Hochberg p-values within each scope (one correction call), and whether they are under 0.05."""
+    """Benjamini-Hochberg p-values within each scope (one correction call), and whether they are under 0.05.
+
+    A null p stays null, is not counted among the tests, and is not significant.
+    """
     part = Window.partitionBy(*scope) if scope else Window.partitionBy(F.lit(1))
-    rank = F.row_number().over(part.orderBy(p, *tiebreak))
+    rank = F.row_number().over(part.orderBy(F.asc_nulls_last(p), *tiebreak))
     raw = df.withColumn("rank__", rank).withColumn("raw__", F.col(p) * F.count(p).over(part) / F.col("rank__"))
     down = part.orderBy(F.col("rank__").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    out = raw.withColumn("adj_p_value", F.least(F.min("raw__").over(down), F.lit(1.0))).drop("rank__", "raw__")
-    return out.withColumn("significant", F.col("adj_p_value") < 0.05)
+    out = raw.withColumn("adj_p_value", F.when(F.col(p).isNotNull(), F.least(F.min("raw__").over(down), F.lit(1.0)))).drop("rank__", "raw__")
+    return out.withColumn("significant", F.coalesce(F.col("adj_p_value") < 0.05, F.lit(False)))
+
+
+#: Exact p-values of U are taken without ties if the smaller group has so many rows at most, and both together so many.
+EXACT_SMALL, EXACT_BOTH = 8, 60
+
+
+def exact_two_sided(u: Column, n1: Column, n2: Column) -> Column:
+    """Exact p of U in small groups, null elsewhere; for few rows."""
+    @F.pandas_udf("double")
+    def exact(us: pd.Series, ones: pd.Series, twos: pd.Series) -> pd.Series:
+        small = lambda a, b: min(a, b) <= EXACT_SMALL and a + b <= EXACT_BOTH
+        return pd.Series([exact_mann_whitney(x, int(a), int(b)) if small(a, b) else None for x, a, b in zip(us, ones, twos, strict=True)], dtype="float64")
+
+    return exact(u, n1.cast("double"), n2.cast("double"))
+
+
+def compare_groups(df: DataFrame, variable: str, group: str, value: str, tests_scope: list[str] | None = None) -> DataFrame:
+    """Every pair of groups (in name order) on every variable: test, statistic, p, Cohen's d, corrected p and significance.
+
+    The K-squared test over all rows of a variable chooses Mann-Whitney's U (normality rejected at 0.05) or the pooled t. Groups
+    of fewer than two values are left out; a variable without spread has a null p. Rows are counted by distinct value before
+    pairs are formed, so that a value is copied once for each other group, however many rows have it.
+    """
+    kept = df.select(F.col(variable).alias("variable"), F.col(group).alias("group"), F.col(value).cast("double").alias("value")).dropna()
+    gate = kept.groupBy("variable").agg(chi2_2_tail(normality_k2(F.col("value"))).alias("normal_p"))
+    own = kept.groupBy("variable", "group").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), F.var_samp("value").alias("v")).filter("n >= 2")
+    side = lambda k: own.select("variable", *[F.col(c).alias(f"{c}{k}") for c in ("group", "n", "m", "v")])
+    pairs = side(1).join(side(2), "variable").filter("group1 < group2")
+    counts = kept.groupBy("variable", "group", "value").agg(F.count(F.lit(1)).alias("c"))
+    names = pairs.select("variable", "group1", "group2")
+    sided = lambda k, one: counts.withColumnRenamed("group", f"group{k}").join(names, ["variable", f"group{k}"]).select("variable", "group1", "group2", "value", one.alias("one"), "c")
+    both = sided(1, F.col("c")).unionByName(sided(2, F.lit(0).cast("long")))
+    keys = ["variable", "group1", "group2"]
+    tied = both.groupBy(*keys, "value").agg(F.sum("one").alias("one"), F.sum("c").alias("tie"))
+    upto = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = tied.withColumn("rank", F.sum("tie").over(upto) - (F.col("tie") - 1) / 2)
+    t = F.col("tie").cast("double")
+    sums = ranked.groupBy(*keys).agg(F.sum(F.col("rank") * F.col("one")).alias("r1"), F.sum(t * t * t - t).alias("ties"))
+    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
+    n = n1 + n2
+    pooled = F.sqrt(((n1 - 1) * F.col("v1") + (n2 - 1) * F.col("v2")) / (n - 2))
+    rows = pairs.join(sums, keys).join(gate, "variable").withColumn("u", F.col("r1") - n1 * (n1 + 1) / 2)
+    rows = rows.withColumn("z", F.greatest(F.abs(F.col("u") - n1 * n2 / 2) - 0.5, F.lit(0.0)) / F.nullif(F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1)))), F.lit(0.0)))
+    rows = rows.withColumn("t", (F.col("m1") - F.col("m2")) / F.nullif(pooled * F.sqrt(1 / n1 + 1 / n2), F.lit(0.0)))
+    rows = rows.withColumn("cohen_d", (F.col("m2") - F.col("m1")) / F.nullif(pooled, F.lit(0.0))).withColumn("by_rank", F.coalesce(F.col("normal_p") < 0.05, F.lit(False)))
+    exact = F.when(F.col("ties") == 0, exact_two_sided(F.col("u"), n1, n2))
+    p = F.when(F.col("by_rank"), F.coalesce(exact, normal_two_sided(F.col("z")))).otherwise(student_two_sided(F.col("t"), n - 2))
+    tested = rows.select(
+        *keys, F.when(F.col("by_rank"), "Mann-Whitney U").otherwise("T-test").alias("test"), F.when(F.col("by_rank"), F.col("u")).otherwise(F.col("t")).alias("statistic"),
+        p.alias("p_value"), "cohen_d",
+    )
+    return adjusted(tested, "p_value", tests_scope or [], keys)
 
 
 def trimmed_outliers(df: DataFrame, group: str, value: str, deviations: float = 5) -> DataFrame:
@@ -150,11 +205,11 @@ def trimmed_outliers(df: DataFrame, group: str, value: str, deviations: float =
 
 
 def simple_regression(df: DataFrame, keys: list[str], y: str, x: str) -> DataFrame:
-    """Slope, intercept, R-squared, t of the slope and its degrees of freedom, over complete pairs."""
+    """Slope, intercept, R-squared, t of the slope, its degrees of freedom and two-sided p, over complete pairs."""
     pair = F.col(x).isNotNull() & F.col(y).isNotNull()
     s = df.filter(pair).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), F.corr(y, x).alias("r"))
     t = F.col("r") * F.sqrt((F.col("n") - 2) / F.nullif(1 - F.col("r") * F.col("r"), F.lit(0.0)))
-    return s.withColumn("t", F.when(F.col("n") > 2, t)).withColumn("df", F.col("n") - 2).drop("r")
+    return s.withColumn("t", F.when(F.col("n") > 2, t)).withColumn("df", F.col("n") - 2).drop("r").withColumn("p_value", student_two_sided(F.col("t"), F.col("df").cast("double")))
 
 
 def classified_columns(df: DataFrame, names: list[str]) -> dict[str, str]:

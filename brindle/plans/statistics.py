@@ -86,6 +86,39 @@ def t_test_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.adjusted(tested, "p_value", ["variable"], ["group1", "group2"])
 
 
+_SIMPSON = "list_sum(list_transform(range(2001), lambda i: (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * {f})) * {top} / 6000"
+_COMPARE_SQL = """
+WITH long AS (SELECT 'balance' AS variable, c_mktsegment AS grp, c_acctbal AS value FROM customer
+  UNION ALL SELECT 'mean order', c_mktsegment, avg(o_totalprice) FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_mktsegment)""" + _K2_SQL + """,
+own AS (SELECT variable, grp, count(*)::DOUBLE AS n, avg(value) AS m, var_samp(value) AS v FROM long GROUP BY ALL),
+pairs AS (SELECT a.variable, a.grp AS group1, b.grp AS group2, a.n AS n1, b.n AS n2, a.m AS m1, b.m AS m2, a.v AS v1, b.v AS v2 FROM own a JOIN own b ON a.variable = b.variable AND a.grp < b.grp),
+tied AS (SELECT p.variable, group1, group2, value, count(*) FILTER (grp = group1) AS one, count(*) AS tie FROM pairs p JOIN long l ON l.variable = p.variable AND grp IN (group1, group2) GROUP BY ALL),
+ranked AS (SELECT *, sum(tie) OVER (PARTITION BY variable, group1, group2 ORDER BY value) - (tie - 1) / 2 AS rank FROM tied),
+r AS (SELECT variable, group1, group2, sum(rank * one)::DOUBLE AS r1, sum(tie::DOUBLE^3 - tie)::DOUBLE AS ties FROM ranked GROUP BY ALL),
+x AS (SELECT variable, group1, group2, exp(-k2 / 2) < 0.05 AS by_rank, n1 + n2 - 2 AS df, r1 - n1 * (n1 + 1) / 2 AS u, sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) AS sd, m1 - m2 AS diff,
+  n1, n2, sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS su FROM pairs JOIN r USING (variable, group1, group2) JOIN k USING (variable)),
+y AS (SELECT *, diff / (sd * sqrt(1 / n1 + 1 / n2)) AS t, greatest(abs(u - n1 * n2 / 2) - 0.5, 0) / su AS z FROM x),
+p AS (SELECT *, CASE WHEN by_rank THEN 1 - 2 / sqrt(2 * pi()) * """ + _SIMPSON.format(f="exp(0 - (z * i / 2000)^2 / 2)", top="z") + """
+  ELSE 1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * """ + _SIMPSON.format(f="(1 + (t * i / 2000)^2 / df)^(-(df + 1) / 2)", top="abs(t)") + """ END AS p_value FROM y),
+b AS (SELECT *, row_number() OVER (ORDER BY p_value, variable, group1, group2) AS j, count(*) OVER () AS tests FROM p),
+a AS (SELECT *, least(min(p_value * tests / j) OVER (ORDER BY j DESC), 1) AS adj FROM b)
+SELECT variable, group1, group2, CASE WHEN by_rank THEN 'Mann-Whitney U' ELSE 'T-test' END AS test, round(CASE WHEN by_rank THEN u ELSE t END, 4) AS statistic, round(p_value, 5) AS p_value,
+  round(-diff / sd, 6) AS cohen_d, round(adj, 5) AS adj_p_value, adj < 0.05 AS significant FROM a
+"""
+
+
+@query("group_comparison", _COMPARE_SQL)
+def group_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of market segments on two variables: the test that normality allows, its p, effect size and correction over the whole table."""
+    customer = table(spark, sf_dir, "customer")
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.avg("o_totalprice").alias("value"))
+    ordered = customer.join(orders, "c_custkey").select(F.lit("mean order").alias("variable"), "c_mktsegment", "value")
+    rows = customer.select(F.lit("balance").alias("variable"), "c_mktsegment", F.col("c_acctbal").alias("value")).unionByName(ordered)
+    out = stats.compare_groups(rows, "variable", "c_mktsegment", "value")
+    r = lambda c, n: F.round(c, n).alias(c)
+    return out.select("variable", "group1", "group2", "test", r("statistic", 4), r("p_value", 5), r("cohen_d", 6), r("adj_p_value", 5), "significant")
+
+
 @query("bh_fdr", """
 WITH p AS (SELECT event_type, user_id % 7 AS bin, exp(-avg(value) / 20) AS p_value FROM events GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY p_value, bin) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM p)

@@ -1,6 +1,8 @@
+import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -132,6 +134,50 @@ def test_auc_is_u_over_pairs(spark):
     assert ml.auc(spark.createDataFrame(data, "y int, s double"), [], "y", "s").first().auc == pytest.approx(want)
 
 
+def plain_band_power(x, rate, low, high):
+    """Welch's density by numpy's transform, integrated by trapezoids."""
+    size = min(len(x), int(2 / low * rate))
+    taper = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
+    found = []
+    for start in range(0, len(x) - size + 1, size - size // 2):
+        part = x[start : start + size]
+        power = np.abs(np.fft.rfft((part - part.mean()) * taper)) ** 2 / (rate * (taper**2).sum())
+        power[1 : len(power) - (size % 2 == 0)] *= 2
+        found.append(power)
+    at = np.fft.rfftfreq(size, 1 / rate)
+    density, at = np.mean(found, axis=0)[(at >= low) & (at <= high)], at[(at >= low) & (at <= high)]
+    return float(((density[1:] + density[:-1]) / 2 * np.diff(at)).sum())
+
+
+def test_a_null_p_is_not_a_test(spark):
+    rows = spark.createDataFrame([(1, 0.01), (2, 0.02), (3, 0.9), (4, None)], "id int, p double")
+    got = {r.id: (r.adj_p_value, r.significant) for r in stats.adjusted(rows, "p", [], ["id"]).collect()}
+    assert [got[i][0] for i in (1, 2, 3)] == pytest.approx([0.03, 0.03, 0.9])
+    assert got[1][1] and not got[3][1] and got[4] == (None, False)
+
+
+def test_comparison_of_small_groups_is_exact_and_gated(spark):
+    random.seed(9)
+    skewed = [("skewed", g, math.exp(3 * random.random()) if g == "b" else math.exp(random.gauss(0, 2))) for g in "ab" for _ in range(8)] + [("skewed", "a", 10_000.0)]
+    even = [("even", g, random.gauss(0 if g == "a" else 1, 1)) for g in "ab" for _ in range(9)]
+    flat = [("flat", g, 1.0) for g in "ab" for _ in range(5)] + [("flat", "c", 1.0), ("even", "a", None), ("even", None, 1.0)]
+    rows = stats.compare_groups(spark.createDataFrame(skewed + even + flat, "variable string, side string, value double"), "variable", "side", "value")
+    got = {r.variable: r for r in rows.collect()}
+    assert set(got) == {"skewed", "even", "flat"} and got["flat"].p_value is None and not got["flat"].significant
+    a, b = ([v for _, g, v in skewed if g == s] for s in "ab")
+    u = sum(x > y for x in a for y in b)
+    assert got["skewed"].test == "Mann-Whitney U" and got["skewed"].statistic == u
+    every = list(itertools.combinations(range(17), 9))
+    centre = 9 * 8 / 2
+    us = [sum(c) - 9 * 8 / 2 for c in every]
+    assert got["skewed"].p_value == pytest.approx(min(1, sum(abs(v - centre) >= abs(u - centre) for v in us) / len(us)))
+    assert got["even"].test == "T-test" and got["even"].p_value < 0.2
+    t, df = abs(got["even"].statistic), 16
+    x = np.linspace(0, t, 200_001)
+    density = np.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi) * (1 + x * x / df) ** (-(df + 1) / 2)
+    assert got["even"].p_value == pytest.approx(1 - 2 * float(((density[1:] + density[:-1]) / 2).sum() * (x[1] - x[0])), abs=1e-7)
+
+
 def test_sine_has_its_frequency_and_parseval(spark):
     x = [math.sin(2 * math.pi * 5 * i / 64) + 0.1 * math.cos(2 * math.pi * 9 * i / 64) for i in range(64)]
     df = spark.createDataFrame([(1, x)], "id int, x array<double>")
@@ -139,9 +185,11 @@ def test_sine_has_its_frequency_and_parseval(spark):
     p = spectral.dft_power(F.col("x"), 64, bins)
     half = [float(k) for k in range(1, 33)]
     q = spectral.dft_power(F.col("x"), 64, list(range(1, 33)))
-    got = df.select(p.alias("p"), spectral.dominant_frequency(q, half).alias("df"), spectral.mean_power_frequency(q, half).alias("mpf"), spectral.band_power(F.col("x"), 64, 64.0, 4, 8).alias("theta"), spectral.band_power(F.col("x"), 64, 64.0, 12, 30).alias("beta")).first()
+    got = df.select(p.alias("p"), spectral.dominant_frequency(q, half).alias("df"), spectral.mean_power_frequency(q, half).alias("mpf"), *[spectral.band_power(F.col("x"), 64, 64.0, low, min(high, 32)).alias(n) for n, (low, high) in spectral.BANDS.items()]).first()
     assert sum(got.p) / 64 == pytest.approx(sum(v * v for v in x))
-    assert got.df == 5.0 and 5 < got.mpf < 5.1 and got.theta > 20 * got.beta
+    assert got.df == 5.0 and 5 < got.mpf < 5.1
+    for name, (low, high) in spectral.BANDS.items():
+        assert got[name] == pytest.approx(plain_band_power(np.array(x), 64.0, low, min(high, 32)), rel=1e-9), name
     assert spectral.full_magnitudes(df, "id", "x").first().fft_mean > 0
     clean = spectral.cleaned(df, "id", "x", rate=64.0, low=7.0, notch=50.0, target=32.0).first().x
     assert len(clean) == 32 and max(map(abs, clean)) < 0.2
