@@ -7,9 +7,12 @@ to 255), calendar dates (year-month-day, day.month.year, day/month/year, and mon
 
 Numbers and dates are permuted by an eight-round Feistel network, keyed by SHA-256, over two residues whose product is exactly
 the number of valid values: 10**u and 10**(n-u) for n digits, 898*99 and 9999 for social security numbers, 2**16 and 2**16 for
-addresses, and 92*397 or 75*487 days within a date's own century. So a pseudonym is valid again (a card's check digit is
-computed anew), keeps separators and country codes, two values of one format never share a pseudonym, and equal values stay
-linked across documents. An e-mail address becomes user-<12 hex digits of a keyed hash>@example.invalid.
+addresses, and the dates of a date's own century that can be spelled in its format. The format of a date is its order, its
+separators and the numbers of digits of day and month (``DATE_CLASSES``); month-first dates are those whose day is over 12. So a
+pseudonym is valid again (a card's check digit is computed anew), keeps separators, padding and country codes, two values of
+one format never share a pseudonym, and equal values stay linked across documents. Phone numbers are known by their digits,
+however they are grouped: the country code is split off by the world's numbering plan and the rest is permuted. An e-mail
+address becomes user-<20 hex digits of a keyed hash>@example.invalid.
 
 Edge cases: a null text stays null with no findings, an empty one stays empty; nothing in a pattern backtracks over a long run
 of characters, so very long texts take time in proportion; other columns are kept, also those named like the outputs of
@@ -18,6 +21,8 @@ of characters, so very long texts take time in proportion; other columns are kep
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +36,18 @@ _DATE = r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{
 _SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 _CARD = r"(?<![\w-])(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5}|\d{13,19})(?![\w-])"
 _PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w+(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w+.-])\d{3}([ .-])\d{3}\3\d{4}(?![\w-])"
+#: Country codes of one and two digits in the international numbering plan; all others have three.
+_COUNTRY = "^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+
+#: Formats that cannot spell every date, with digits of the first and the second number: what they can spell, and two factors of
+#: the number of these dates in a century without and with a leap day in its first year.
+DATE_CLASSES = {
+    "d11": (lambda m, d: m < 10 and d < 10, (100, 81), (100, 81)),
+    "d12": (lambda m, d: d < 10, (100, 108), (100, 108)),
+    "d21": (lambda m, d: m < 10, (108, 253), (25, 1093)),
+    "m12": (lambda m, d: m < 10 and d > 12, (108, 153), (25, 661)),
+    "m22": (lambda m, d: d > 12, (4, 5531), (125, 177)),
+}
 CANDIDATE = "|".join((_EMAIL, _IPV4, _DATE, _SSN, _CARD, _PHONE))
 
 
@@ -100,10 +117,39 @@ def _filled(value: str, digits: str) -> str:
     return f"array_join(transform(sequence(1, length({value})), k -> if(substring({value}, k, 1) rlike '[0-9]', substring({digits}, {place}, 1), substring({value}, k, 1))), '')"
 
 
+def _days(cls: str) -> list[str]:
+    """Month and day of the dates of a common year that a format can spell."""
+    year = [datetime.date(2001, 1, 1) + datetime.timedelta(k) for k in range(365)]
+    return [f"{d:%m%d}" for d in year if DATE_CLASSES[cls][0](d.month, d.day)]
+
+
+def _choice(cls: str, values: dict[str, object]) -> str:
+    return f"case {cls} {' '.join(f'when {_q(c)} then {_q(x) if isinstance(x, str) else x}' for c, x in values.items())} end"
+
+
+def _spelled(key: str, v: str) -> str:
+    """SQL of the pseudonym of the date d that v spells in the format cls, whose days of a common year are t.
+
+    Dates are numbered by year and day; the leap days of the century, where the format can spell them, come last.
+    """
+    a, b = (f"if(leap, {_choice('cls', {c: f[2][k] for c, f in DATE_CLASSES.items()})}, {_choice('cls', {c: f[1][k] for c, f in DATE_CLASSES.items()})})" for k in (0, 1))
+    spare = "if(leap, 0, 1)"
+    number = f"if(date_format(d, 'MMdd') = '0229', 100 * size(t) + year(d) % 100 div 4 - {spare}, year(d) % 100 * size(t) + array_position(t, date_format(d, 'MMdd')) - 1)"
+    moved = f"s.l * {b} + s.r"
+    plain = f"{moved} < 100 * size(t)"
+    year = f"cast(year(d) div 100 * 100 + if({plain}, ({moved}) div size(t), 4 * ({moved} - 100 * size(t) + {spare})) as string)"
+    day = f"if({plain}, t[cast(({moved}) % size(t) as int)], '0229')"
+    number_of = lambda at, digits: f"if(substring(cls, {digits}, 1) = '1', substring({day}, {at} + 1, 1), substring({day}, {at}, 2))"
+    ordered = f"if(cls like 'd%', concat_ws(sep, {number_of(3, 2)}, {number_of(1, 3)}, {year}), concat_ws(sep, {number_of(1, 2)}, {number_of(3, 3)}, {year}))"
+    finish = f"transform(array(if({v} like '%.%', '.', '/')), sep -> {ordered})[0]"
+    mixed = _feistel(key, "concat('date', cls, year(d) div 100)", f"n div ({b})", f"n % ({b})", f"({a})", f"({b})", finish)
+    return f"transform(array({number}), n -> {mixed})[0]"
+
+
 def _pseudonym(v: str, kind: str, key: str) -> str:
     """SQL of the pseudonym of a candidate whose kind is known; without a kind the candidate itself."""
     let = lambda bound, name, body: f"transform(array({bound}), {name} -> {body})[0]"
-    email = f"concat('user-', substring(sha2(concat_ws('|', {_q(key)}, 'email', lower({v})), 256), 1, 12), '@example.invalid')"
+    email = f"concat('user-', substring(sha2(concat_ws('|', {_q(key)}, 'email', lower({v})), 256), 1, 20), '@example.invalid')"
     octet = lambda k: f"cast(split({v}, '[.]')[{k}] as int)"
     ipv4 = _feistel(
         key, "'ipv4'", f"{octet(0)} * 256 + {octet(1)}", f"{octet(2)} * 256 + {octet(3)}", "65536", "65536",
@@ -111,11 +157,14 @@ def _pseudonym(v: str, kind: str, key: str) -> str:
     )
     start, b = "make_date(year(d) div 100 * 100, 1, 1)", "if(leap, 487, 397)"
     moved = f"date_add({start}, cast(s.l * {b} + s.r as int))"
-    day_first = f"try_cast(concat_ws('-', split({v}, '/')[2], split({v}, '/')[1], split({v}, '/')[0]) as date) is not null"
     shape = f"""case when {v} rlike '^[0-9]{{4}}-' then date_format({moved}, 'yyyy-MM-dd') when {v} rlike '^[0-9]{{4}}/' then date_format({moved}, 'yyyy/MM/dd')
-      when {v} like '%.%' then date_format({moved}, 'dd.MM.yyyy') when {day_first} then date_format({moved}, 'dd/MM/yyyy') else date_format({moved}, 'MM/dd/yyyy') end"""
-    century = _feistel(key, "concat('date', year(d) div 100)", f"datediff(d, {start}) div {b}", f"datediff(d, {start}) % {b}", "if(leap, 75, 92)", b, shape)
-    date = let(_date(v), "d", let("year(d) div 100 % 4 = 0", "leap", century))
+      when {v} like '%.%' then date_format({moved}, 'dd.MM.yyyy') else date_format({moved}, 'dd/MM/yyyy') end"""
+    every = _feistel(key, "concat('date', year(d) div 100)", f"datediff(d, {start}) div {b}", f"datediff(d, {start}) % {b}", "if(leap, 75, 92)", b, shape)
+    century = f"if(cls in ({', '.join(map(_q, DATE_CLASSES))}), {let('split(' + _choice('cls', {c: ','.join(_days(c)) for c in DATE_CLASSES}) + ', \',\')', 't', _spelled(key, v))}, {every})"
+    parts = f"split({v}, '[./]')"
+    day_first = f"{v} like '%.%' or try_cast(concat_ws('-', {parts}[2], {parts}[1], {parts}[0]) as date) is not null"
+    cls = f"if({v} rlike '^[0-9]{{4}}', '', concat(if({day_first}, 'd', 'm'), length({parts}[0]), length({parts}[1])))"
+    date = let(_date(v), "d", let(cls, "cls", let("year(d) div 100 % 4 = 0", "leap", century)))
     area = f"cast(substring({v}, 1, 3) as int)"
     ssn = _feistel(
         key, "'ssn'", f"({area} - if({area} > 666, 2, 1)) * 99 + cast(substring({v}, 5, 2) as int) - 1", f"cast(right({v}, 4) as int) - 1", "88902", "9999",
@@ -124,8 +173,9 @@ def _pseudonym(v: str, kind: str, key: str) -> str:
     whole = _digits(v)
     body = _permuted(key, "'card'", f"substring({whole}, 1, length({whole}) - 1)")
     card = let(body, "p", _filled(v, f"concat(p, cast((10 - {_luhn('p')} % 10) % 10 as string))"))
-    code = f"regexp_extract({v}, '^([+][0-9]{{1,3}}(?=[ .(-])|[+][0-9]|)', 1)"
-    phone = let(code, "c", f"concat(c, {let(f'substring({v}, length(c) + 1)', 'w', let(_permuted(key, _q('phone'), _digits('w')), 'p', _filled('w', 'p')))})")
+    code = f"if({v} like '+%', regexp_extract({whole}, {_q(_COUNTRY)}, 1), '')"
+    rest = let(f"substring({whole}, length(c) + 1)", "w", _permuted(key, _q("phone"), "w"))
+    phone = let(code, "c", let(f"concat(c, {rest})", "p", _filled(v, "p")))
     return f"case {kind} when 'email' then {email} when 'ipv4' then {ipv4} when 'date' then {date} when 'ssn' then {ssn} when 'card' then {card} when 'phone' then {phone} else {v} end"
 
 

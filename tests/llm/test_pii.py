@@ -1,4 +1,5 @@
 import datetime
+import functools
 import hashlib
 import re
 
@@ -38,11 +39,39 @@ def filled(value, digits):
     return "".join(next(it) if c.isdigit() else c for c in value)
 
 
+def plain_date(v, shape, day):
+    """Dates of the century that the format spells, leap days last, permuted."""
+    century, leap = day.year // 100, day.year // 100 % 4 == 0
+    parts = re.split(r"[./-]", v)
+    if len(parts[0]) == 4 or (shape != "%m/%d/%Y" and len(parts[0]) == len(parts[1]) == 2):
+        start = datetime.date(century * 100, 1, 1)
+        a, b = (75, 487) if leap else (92, 397)
+        x, y = mixed(f"date{century}", (day - start).days // b, (day - start).days % b, a, b)
+        return (start + datetime.timedelta(x * b + y)).strftime(shape)
+    cls = ("m" if shape == "%m/%d/%Y" else "d") + f"{len(parts[0])}{len(parts[1])}"
+    every = spelled(cls, century)
+    a, b = pii.DATE_CLASSES[cls][2 if leap else 1]
+    x, y = mixed(f"date{cls}{century}", every.index(day) // b, every.index(day) % b, a, b)
+    return text_of(every[x * b + y], cls, "." if "." in v else "/")
+
+
+@functools.cache
+def spelled(cls, century):
+    days = [datetime.date(century * 100, 1, 1) + datetime.timedelta(k) for k in range(36525)]
+    days = [d for d in days if d.year // 100 == century and pii.DATE_CLASSES[cls][0](d.month, d.day)]
+    return sorted(days, key=lambda d: ((d.month, d.day) == (2, 29), d))
+
+
+def text_of(d, cls, sep):
+    numbers = (d.day, d.month) if cls[0] == "d" else (d.month, d.day)
+    return sep.join([str(n) if k == "1" else f"{n:02d}" for n, k in zip(numbers, cls[1:], strict=True)] + [str(d.year)])
+
+
 def plain(v):
     """The pseudonym of a candidate, written plainly."""
     digits = re.sub(r"\D", "", v)
     if "@" in v:
-        return "user-" + hashlib.sha256(f"{KEY}|email|{v.lower()}".encode()).hexdigest()[:12] + "@example.invalid"
+        return "user-" + hashlib.sha256(f"{KEY}|email|{v.lower()}".encode()).hexdigest()[:20] + "@example.invalid"
     if re.fullmatch(r"\d+(\.\d+){3}", v):
         o = [int(x) for x in v.split(".")]
         if max(o) > 255:
@@ -55,11 +84,7 @@ def plain(v):
                 day = datetime.datetime.strptime(v, shape).date()
             except ValueError:
                 continue
-            start = datetime.date(day.year // 100 * 100, 1, 1)
-            a, b = (75, 487) if day.year // 100 % 4 == 0 else (92, 397)
-            n = (day - start).days
-            x, y = mixed(f"date{day.year // 100}", n // b, n % b, a, b)
-            return (start + datetime.timedelta(x * b + y)).strftime(shape)
+            return plain_date(v, shape, day)
     if re.fullmatch(r"\d{3}-\d\d-\d{4}", v):
         area, group, serial = map(int, v.split("-"))
         if area in (0, 666) or area > 899 or not group or not serial:
@@ -70,9 +95,8 @@ def plain(v):
     if v[0] == "+" or len(digits) == 10:
         if not 8 <= len(digits) <= 15:
             return v
-        code = re.match(r"([+]\d{1,3}(?=[ .(-])|[+]\d|)", v)[1]
-        rest = v[len(code) :]
-        return code + filled(rest, permuted("phone", re.sub(r"\D", "", rest)))
+        code = re.match(pii._COUNTRY, digits)[1] if v[0] == "+" else ""
+        return filled(v, code + permuted("phone", digits[len(code) :]))
     if 13 <= len(digits) <= 19 and luhn(digits[:-1]) == digits[-1]:
         body = permuted("card", digits[:-1])
         return filled(v, body + luhn(body))
@@ -83,6 +107,7 @@ VALUES = [
     "nt.26@mail6.example.com", "4111111111111111", "4111 1111 1111 1111", "5500-0000-0000-0004", "3782 822463 10005", "4111111111111112", "+1 (017) 555-7713",
     "+14155550123", "(415) 555-0123", "415-555-0123", "+44 20 7946 0958", "97.51.17.173", "256.1.1.1", "0.0.0.0", "123-45-6789", "666-12-1234", "899-99-9999", "665-01-0001",
     "667-01-0001", "1999-12-31", "1999-02-30", "2000-02-29", "29.02.2024", "29/02/2024", "12/31/1999", "1600/01/01", "2399-12-31",
+    "1/2/2024", "3.4.1999", "03.4.1999", "3.04.1999", "29.2.2024", "29/2/1996", "2/29/1996", "02/29/2000", "7/31/1701", "31/12/1999", "+442079460958", "+44-20-7946-0958", "+353 1 234 5678", "+1 415 555 0123",
 ]
 
 
@@ -140,3 +165,26 @@ def test_query_against_plain_functions(spark, llm_dir):
     assert pii.pseudonymise(empty, KEY).count() == 0
     with pytest.raises(Exception):  # noqa: B017
         pii.pseudonymise(empty, KEY, text_col="absent").count()
+
+
+def test_no_two_dates_of_a_format_share_a_pseudonym(spark):
+    """All strings of every slash format in two centuries, and of every dot format in one."""
+    strings = []
+    for century, sep in ((19, "/"), (20, "/"), (19, ".")):
+        for cls in pii.DATE_CLASSES:
+            assert len(spelled(cls, century)) == (lambda f: f[0] * f[1])(pii.DATE_CLASSES[cls][2 if century % 4 == 0 else 1])
+            if sep == "/" or cls[0] == "d":
+                strings += [text_of(d, cls, sep) for d in spelled(cls, century)]
+        start = datetime.date(century * 100, 1, 1)
+        days = [start + datetime.timedelta(k) for k in range(36525)]
+        strings += [f"{d:%d}{sep}{d:%m}{sep}{d.year}" for d in days if d.year // 100 == century]
+    docs = spark.createDataFrame([(s,) for s in strings], "text string").repartition(8)
+    got = {r.text for r in pii.pseudonymise(docs, KEY).collect()}
+    assert len(strings) == len(set(strings)) > 250_000 and got == set(strings)
+
+
+def test_phone_numbers_are_linked_in_any_grouping(spark):
+    forms = ["+44 20 7946 0958", "+442079460958", "+44-20-7946-0958", "(415) 555-0123", "+1 415 555 0123", "+14155550123"]
+    digits = [re.sub(r"\D", "", r.text) for _, r in sorted(run(spark, forms).items())]
+    assert digits[0] == digits[1] == digits[2] != "442079460958" and digits[0].startswith("44")
+    assert digits[4] == digits[5] == "1" + digits[3] != "14155550123"
