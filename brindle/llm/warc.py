@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import bounded_batches, cut
+from brindle.llm.common import bounded_batches, cut, kept_table
 
 MAGIC = 0x184D2A5D
 SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES = 600, 1 << 14, 1 << 16
@@ -35,8 +35,8 @@ LEVEL = 3
 FIELDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, uri string, payload binary"
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def record_id(page_id: int | None, digest: bytes) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest.hex()}')}>"
 
 
 def build_record(page_id: int | None, url: str | None, payload: bytes, digest: bytes, refers_to: int | None, revisit: bool) -> bytes:
@@ -44,7 +44,7 @@ def build_record(page_id: int | None, url: str | None, payload: bytes, digest: b
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {record_id(page_id)}",
+        f"WARC-Record-ID: {record_id(page_id, digest)}",
         "WARC-Date: 2024-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(digest).decode()}",
         f"WARC-Payload-Length: {len(payload)}",
@@ -54,7 +54,7 @@ def build_record(page_id: int | None, url: str | None, payload: bytes, digest: b
     if page_id is not None:
         head.append(f"WARC-Page-ID: {page_id}")
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest)}"]
         if refers_to is not None:
             head.append(f"WARC-Refers-To-Page-ID: {refers_to}")
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + (b"" if revisit else payload)
@@ -98,7 +98,7 @@ def typed(pages: DataFrame, min_payload: int = 0) -> DataFrame:
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     digests = rows.select("page_id", F.sha1(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").alias("bytes"))
     same = digests.filter(F.col("bytes") >= min_payload).groupBy("digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n"))
-    repeated = cut(same.filter("n > 1").select("digest", "last"))
+    repeated = kept_table(same.filter("n > 1").select("digest", "last"))  # a table of known size: Spark broadcasts it while it is small, and payloads stay where they are
     joined = rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).join(repeated, "digest", "left")
     revisit = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
     return joined.select("page_id", "url", "html", F.when(revisit, F.col("last")).alias("refers_to"), F.coalesce(revisit, F.lit(False)).alias("revisit"))
@@ -108,7 +108,9 @@ def write_archives(pages: DataFrame, folder: str, min_payload: int = 0) -> DataF
     """Writes pages (page_id, url, html) as archives below folder, a URI that all executors share; returns path, records and bytes."""
     bounded_batches(pages.sparkSession)
     rows = typed(pages, min_payload)
-    picked = pages.select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html")).orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_RECORDS)
+    chosen = pages.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_RECORDS).distinct()  # ids alone, so that tasks send little
+    sampled = pages.select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html")).join(F.broadcast(chosen), "page_id")
+    picked = sampled.groupBy("page_id").agg(F.min(F.struct(F.xxhash64("url", "html"), "url", "html")).alias("first")).select("page_id", "first.url", "first.html").orderBy("page_id")
     dictionary = train_dictionary([
         build_record(r.page_id, r.url, (r.html or "").encode(), hashlib.sha1((r.html or "").encode()).digest(), None, False) for r in picked.collect()
     ])
