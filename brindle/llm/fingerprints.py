@@ -202,7 +202,10 @@ def edited(text: str, following: str) -> str:
 
 
 def neighbouring(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text and marker, grouped by id range and sorted: in each range the rows in order, then the row that follows them."""
+    """id, text and marker, grouped by id range and sorted: in each range the rows in order, then the row that follows them.
+
+    Ranges hold about equally many rows and go to tasks in order, one each. Rows that share one id, or have none, stay in one range.
+    """
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -220,7 +223,7 @@ def neighbouring(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     marked = placed.join(F.broadcast(heads), (F.col("range") == F.col("own")) & F.col("id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h")))
     markers = marked.dropDuplicates(["own"]).select(F.col("before").alias("range"), "last", "id", "h", "text", F.lit(True).alias("marker"))
     both = placed.withColumn("marker", F.lit(False)).unionByName(markers)
-    return both.repartition(parts, "range").sortWithinPartitions("range", "marker", "last", "id", "h").select("id", "text", "range", "marker")
+    return both.repartitionByRange(parts, "range").sortWithinPartitions("range", "marker", "last", "id", "h").select("id", "text", "range", "marker")
 
 
 def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
