@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: reading tables, shared checkpoints, word rules, distributed ranks, salted joins."""
+"""What the operators of this subpackage share: reading tables, shared checkpoints, word rules, distributed ranks, joins that hot keys do not stall."""
 
 from __future__ import annotations
 
@@ -19,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset and the master is local."""
     sc = spark.sparkContext
     known = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not known:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="brindle-"))
         known = sc.getCheckpointDir()
     return known
@@ -41,6 +43,19 @@ def kept_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def looked_up(rows: DataFrame, lines: DataFrame, key: str, count: str = "n") -> DataFrame:
+    """rows joined to lines (computed before: one row a key that is not null, with its number of rows as count), without count; rows whose key has no line go.
+
+    A key of over a thousandth of the counted rows is hot. There are fewer than a thousand of these, whatever the tables hold:
+    they are broadcast, and their rows stay where they are. No task of the shuffle for the other keys gets a large group.
+    """
+    total = lines.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) > F.lit(total / 1000)
+    few, many = F.broadcast(lines.filter(hot).drop(count)), lines.filter(~hot).drop(count)
+    cold = rows.join(few.select(key), key, "left_anti").join(many, key)
+    return rows.join(few, key).unionByName(cold)
+
+
 def bounded_batches(spark: SparkSession, megabytes: int = 4) -> None:
     """Arrow batches for Python workers hold so many bytes at most, however long single texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")

@@ -1,7 +1,7 @@
 """Near-duplicate documents by b-bit MinHash, confirmed on full shingle sets.
 
 1. Each text becomes the sequence of its words (A-Z in lower case) and the set of its distinct 5-word shingles; texts with the
-   same sequence form one class, so exact copies cost nothing further.
+   same sequence, told by a digest of its bytes, form one class, so exact copies cost nothing further.
 2. A class has 256 minima of hashed shingles. Bands of four of the first 128 give 32 keys; the low four bits of all minima are
    packed into 16 longs.
 3. Classes that share a key are candidates. In a bucket each class is held against one head, never against all others.
@@ -12,6 +12,8 @@
    is left out. Classes of large buckets form groups (buckets that share a class belong together), cut into blocks; a task
    gets the texts of one pair of blocks, confirms the pairs from different components with like bits, and returns a spanning
    forest of the links. In small buckets such pairs are joined and confirmed. Pairs of a large group are never emitted.
+5. Components are named over classes, and rows take theirs by class; classes and components that hold over a thousandth of the
+   rows are fewer than a thousand and are broadcast, so no task gets all rows of one.
 
 At the threshold of 0.75, two sets share none of the 32 keys with probability 5e-6.
 
@@ -32,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from brindle.llm.common import WORD, bounded_batches, cut, kept_table
+from brindle.llm.common import WORD, bounded_batches, cut, kept_table, looked_up
 from brindle.llm.graph import connected
 
 WIDTH, HASHES, BANDS, ROWS, BITS = 5, 256, 32, 4, 4
@@ -99,7 +101,7 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingle_sets(texts: list[str | None], width: int = WIDTH) -> list[tuple[bytes, np.ndarray]]:
-    """A 16-byte key of the word sequence and the distinct hashed shingles of each text; no words: an empty key and set."""
+    """A 16-byte digest of the word sequence and the distinct hashed shingles of each text; no words: an empty key and set."""
     parts = [(t or "").encode() for t in texts]
     begin = np.cumsum([0, *(len(p) + 1 for p in parts)])
     starts, hashes = word_hashes(b" ".join(parts) + b" ")
@@ -110,7 +112,7 @@ def shingle_sets(texts: list[str | None], width: int = WIDTH) -> list[tuple[byte
         runs += hashes[j : n - width + 1 + j] * _PLACES[j]
     runs = _mix(runs)
     out = []
-    for a, b in zip(first[:-1], first[1:], strict=True):
+    for part, a, b in zip(parts, first[:-1], first[1:], strict=True):
         if a == b:
             out.append((b"", np.empty(0, np.uint64)))
             continue
@@ -119,7 +121,8 @@ def shingle_sets(texts: list[str | None], width: int = WIDTH) -> list[tuple[byte
             found = _mix((own * _PLACES[: b - a]).sum(dtype=np.uint64, keepdims=True) + _PLACES[8 + b - a])
         else:
             found = np.unique(runs[a : b - width + 1])
-        out.append((hashlib.blake2b(own.tobytes(), digest_size=16).digest(), found))
+        # bytes.lower and bytes.split know A-Z and the six blanks of WORD alone
+        out.append((hashlib.blake2b(b" ".join(part.lower().split()), digest_size=16).digest(), found))
     return out
 
 
@@ -266,6 +269,10 @@ def _cell_links(rows: list[tuple], percent: int, floor: float) -> list[tuple[byt
             continue
         s, t = sets[a[1]], sets[b[1]]
         common = len(s & t)
+        if 100 * common < percent * (len(s) + len(t) - common):
+            continue
+        s, t = full_set(a[4]), full_set(b[4])  # the hashes agree, now the words
+        common = len(s & t)
         if 100 * common >= percent * (len(s) + len(t) - common):
             parent[y] = x
             links.append((max(a[1], b[1]), min(a[1], b[1])))
@@ -311,7 +318,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     like = estimate(F.col("bits_x"), F.col("bits_y"))
     rows = cut(signatures(docs, id_col, text_col))
     classes = cut(
-        rows.filter("n_shingles > 0").groupBy("key").agg(F.min(id_col).alias("id"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+        rows.filter("n_shingles > 0").groupBy("key").agg(F.min(id_col).alias("id"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("n"))
     )
     keyed = classes.select(F.explode("bands").alias("band"), "key")
     shared = keyed.groupBy("band").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least != most").select("band")
@@ -357,10 +364,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     if parts is None or not rest.isEmpty():
         parts = joined(rest)
 
-    grouped = rows.select(F.col(id_col).alias("id"), "key", "n_shingles").join(parts.withColumnRenamed("node", "key"), "key", "left")
-    grouped = grouped.withColumn("group", F.coalesce(F.col("component"), F.col("key")))
-    least = grouped.filter("n_shingles > 0").groupBy("group").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    done = grouped.join(least, "group", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    named = classes.select("key", "n").join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    least = classes.select("key", "id").join(named, "key").groupBy("component").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("classes"))
+    lines = cut(looked_up(named, cut(least), "component", "classes").select("key", "component_id", "n"))
+    own = rows.select(F.col(id_col).alias("id"), "key", "n_shingles")
+    none = own.filter("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
+    done = looked_up(own.filter("n_shingles > 0"), lines, "key").select("id", "n_shingles", "component_id").unionByName(none)
     return done.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
@@ -368,7 +377,8 @@ def keep_one(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_co
     """docs without the rows of groups but one: that of the smallest id. Rows with equal ids and texts stay once.
 
     Rows are told apart by id, so all different texts without an id stay if one of them does."""
-    kept = cut(near_duplicates(docs, percent, id_col, text_col).filter("kept").select(F.col(id_col).alias("kept_id")))
-    rows, ids = kept.agg(F.count(F.lit(1)), F.count_distinct(F.struct("kept_id"))).first()
-    left = docs.join(kept, F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi")
+    name = "kept_id" + "_" * max(map(len, docs.columns))  # no column of docs has it
+    kept = cut(near_duplicates(docs, percent, id_col, text_col).filter("kept").select(F.col(id_col).alias(name)))
+    rows, ids = kept.agg(F.count(F.lit(1)), F.count_distinct(F.struct(name))).first()
+    left = docs.join(kept, F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
     return left if rows == ids else left.dropDuplicates([id_col, text_col])

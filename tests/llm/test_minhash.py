@@ -92,8 +92,8 @@ def test_groups_of_large_buckets_in_blocks(spark, monkeypatch):
 
 
 def test_repeated_rows_null_ids_and_other_columns(spark):
-    rows = [(1, "a b c d e f", 7), (1, "a b c d e f", 7), (None, "a b c d e f", 7), (None, None, 7), (3, "q", 7)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, key long")
+    rows = [(1, "a b c d e f", 7, 1), (1, "a b c d e f", 7, 1), (None, "a b c d e f", 7, 1), (None, None, 7, 1), (3, "q", 7, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key long, kept_id long")
     got = sorted((str(r.doc_id), r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect())
     assert got == [("1", 2, 1, True)] * 2 + [("3", 1, 3, True), ("None", 0, None, True), ("None", 2, 1, False)]
     assert sorted(str(r.doc_id) for r in minhash.keep_one(docs).collect()) == ["1", "3", "None", "None"]
@@ -114,6 +114,23 @@ def test_estimate_is_near_the_similarity(spark):
         assert r.e == pytest.approx(r.j, abs=0.2)
 
 
+def test_equal_word_sequences_have_one_key():
+    keys = [k for k, _ in minhash.shingle_sets(["A b\tc d E  f", "a B c\x0bd e f\n", "a b c d e f\xa0", "a b c d e F\x1c", "ab c d e f", ""])]
+    assert keys[0] == keys[1] and len(set(keys)) == 5 and keys[5] == b""
+
+
+def test_lookup_splits_hot_keys_from_the_others(spark):
+    from brindle.llm.common import looked_up
+
+    rows = [(i, i % 3 if i < 3000 else i) for i in range(6000)] + [(6000, None), (6001, 99_999)]
+    frame = spark.createDataFrame(rows, "id long, k long")
+    lines = frame.filter("k < 9000").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+    got = looked_up(frame, lines, "k")
+    assert sorted(got.columns) == ["id", "k", "least"]
+    assert sorted((r.id, r.least) for r in got.collect()) == [(i, i % 3 if i < 3000 else i) for i in range(6000)]
+    assert looked_up(frame, lines.limit(0), "k").count() == 0
+
+
 @pytest.mark.parametrize("local", [7, 200_000])
 def test_components_of_a_long_path(spark, monkeypatch, local):
     monkeypatch.setattr(graph, "LOCAL", local)
