@@ -1,10 +1,11 @@
 """Near-duplicate vectors by cross-polytope hashing.
 
 Vectors with one label and equal components form a class. A class is rotated by three rounds of random signs and the fast
-Hadamard transform; the axis of its largest coordinate, with its sign, is a hash, and two hashes of two rotations name a
-bucket of a table. In each of six tables a class enters its own bucket and the two that it would have fallen into next
-(multiprobe), so two classes at a cosine of 0.98 share no bucket with probability 1e-8. Pairs within a bucket are verified
-in double precision. A pair that shares several buckets counts in the smallest of them, so links are counted without being
+Hadamard transform; the axis of its largest coordinate, with its sign, is a hash, and the hashes of two rotations name a
+bucket of a table; three in labels of over 40,000 rows and four in those of over two million, so that the chance company in a
+bucket stays small as the rows grow. In each table a class enters its own bucket and those that it would have fallen into next
+(multiprobe). Longer names get more tables and probes: two vectors of 64 components at a cosine of 0.98 share no bucket with
+probability 1e-8 at each setting. Pairs within a bucket are verified in double precision. A pair that shares several buckets counts in the smallest of them, so links are counted without being
 collected; a bucket of many classes is cut into blocks, and block pairs go to different groups. What leaves a group is a link
 count for each class and a spanning forest, never the pairs.
 
@@ -26,18 +27,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import bounded_batches, cut
+from brindle.llm.common import bounded_batches, cut, looked_up
 from brindle.llm.graph import connected
 
-TABLES, PROBES, ROUNDS = 6, 3, 3
+ROUNDS = 3
+#: Hashes in a bucket's name: tables, and buckets that a class enters in each of them.
+SETTINGS = {2: (6, 3), 3: (8, 4), 4: (8, 6)}
+#: Rows of the largest label up to which so many hashes are taken; four beyond the last.
+LABEL_ROWS = {2: 40_000, 3: 2_000_000}
 #: Classes of a bucket in one block; larger buckets are dealt over pairs of blocks.
 BLOCK = 512
 PAIRS_AT_ONCE = 1 << 18
 
 
 @lru_cache(maxsize=8)
-def _signs(size: int) -> np.ndarray:
-    return np.random.default_rng(size).choice(np.array([-1.0, 1.0]), (TABLES, 2, ROUNDS, size))
+def _signs(size: int, hashes: int) -> np.ndarray:
+    return np.random.default_rng(size).choice(np.array([-1.0, 1.0]), (SETTINGS[hashes][0], hashes, ROUNDS, size))
+
+
+def hashes_for(rows: int) -> int:
+    """How many hashes name a bucket when the largest label has so many rows."""
+    return next((k for k, most in LABEL_ROWS.items() if rows <= most), max(SETTINGS))
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -51,28 +61,29 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(size)
 
 
-def buckets(vectors: np.ndarray) -> np.ndarray:
-    """TABLES * PROBES different bucket numbers of each row, sorted; rows have one length and are not zero."""
+def buckets(vectors: np.ndarray, hashes: int = 2) -> np.ndarray:
+    """The different bucket numbers of each row over all tables, sorted; rows have one length and are not zero."""
     n, d = vectors.shape
     size = max(2, 1 << (d - 1).bit_length())
+    tables, probes = SETTINGS[hashes]
+    probes = min(probes, min(3, size) ** hashes)
     x = np.zeros((n, size))
     x[:, :d] = vectors / np.linalg.norm(vectors, axis=1)[:, None]
-    out = np.empty((n, TABLES, PROBES), np.int64)
-    first = min(PROBES, size)
-    for t, table in enumerate(_signs(size)):
-        codes, values = [], []
+    out = np.empty((n, tables, probes), np.int64)
+    for t, table in enumerate(_signs(size, hashes)):
+        code, loss = np.zeros((n, 1), np.int64), np.zeros((n, 1))
         for rounds in table:
             y = x
             for s in rounds:
                 y = hadamard(y * s)
-            strong = np.argsort(-np.abs(y), axis=1, kind="stable")[:, :first]
+            strong = np.argsort(-np.abs(y), axis=1, kind="stable")[:, :3]
             value = np.take_along_axis(y, strong, axis=1)
-            codes.append(strong * 2 + (value > 0))
-            values.append(np.abs(value))
-        loss = ((values[0][:, :1] - values[0]) ** 2)[:, :, None] + ((values[1][:, :1] - values[1]) ** 2)[:, None, :]
-        code = (codes[0][:, :, None] * (2 * size) + codes[1][:, None, :]).reshape(n, -1)
-        least = np.argsort(loss.reshape(n, -1), axis=1, kind="stable")[:, :PROBES]
-        out[:, t, :] = np.take_along_axis(code, least, axis=1) * TABLES + t
+            own, size_of = strong * 2 + (value > 0), np.abs(value)
+            code = (code[:, :, None] * (2 * size) + own[:, None, :]).reshape(n, -1)
+            loss = (loss[:, :, None] + ((size_of[:, :1] - size_of) ** 2)[:, None, :]).reshape(n, -1)
+            best = np.argsort(loss, axis=1, kind="stable")[:, :probes]  # what is not among the best now cannot be later
+            code, loss = np.take_along_axis(code, best, axis=1), np.take_along_axis(loss, best, axis=1)
+        out[:, t, :] = code * tables + t
     return np.sort(out.reshape(n, -1), axis=1)
 
 
@@ -81,7 +92,7 @@ def _usable(vector: Column, label: Column) -> Column:
     return F.coalesce(label.isNotNull() & (F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def class_buckets(rows: DataFrame) -> DataFrame:
+def class_buckets(rows: DataFrame, hashes: int = 2) -> DataFrame:
     """rows (id, label string, vector array<double>) with the key of each one's class and its buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +104,7 @@ def class_buckets(rows: DataFrame) -> DataFrame:
                 at = [i for i, v in enumerate(vectors) if len(v) == d]
                 matrix = np.array([vectors[i] for i in at])
                 matrix /= np.abs(matrix).max(axis=1)[:, None]
-                for i, b in zip(at, buckets(matrix), strict=True):
+                for i, b in zip(at, buckets(matrix, hashes), strict=True):
                     found[i] = b.tolist()
             columns = [*batch.columns, pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "label", "vector", "key", "buckets"])
@@ -168,7 +179,8 @@ def near_vectors(rows: DataFrame, least: float = 0.98, id_col: str = "vec_id", v
     bounded_batches(rows.sparkSession)
     narrow = rows.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
     usable = _usable(F.col("vector"), F.col("label"))
-    hashed = class_buckets(narrow.filter(usable))
+    most = narrow.filter("label IS NOT NULL").groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    hashed = class_buckets(narrow.filter(usable), hashes_for(most))
     members = cut(hashed.select("id", "key"))
     same = [F.first(c).alias(c) for c in ("label", "vector", "buckets")]
     classes = cut(hashed.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"), *same).withColumn("size", F.size("vector")))
@@ -218,10 +230,10 @@ def near_vectors(rows: DataFrame, least: float = 0.98, id_col: str = "vec_id", v
     parts = connected(found.filter("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "key")
     counts = found.filter("b IS NULL").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("others"))
     known = classes.select("key", "id", "weight").join(counts, "key", "left").join(parts, "key", "left")
-    known = cut(known.select("key", "id", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "key").alias("part")))
-    least_id = known.groupBy("part").agg(F.min("id").alias("component_id"))
-    lines = known.join(least_id, "part").select("key", "n_links", "component_id")
-    linked = members.join(lines, "key").select("id", "n_links", "component_id")
+    known = cut(known.select("key", "id", "weight", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "key").alias("part")))
+    least_id = cut(known.groupBy("part").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    lines = cut(looked_up(known, least_id, "part").select("key", "n_links", "component_id", "weight"))
+    linked = looked_up(members, lines, "key", "weight").select("id", "n_links", "component_id")
     alone = narrow.filter(~usable).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     done = linked.unionByName(alone)
     return done.select(F.col("id").alias(id_col), "n_links", F.col("component_id"), F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

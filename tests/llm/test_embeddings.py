@@ -61,12 +61,24 @@ def test_unusable_vectors(spark):
     assert run(spark, []) == []
 
 
-def test_pairs_at_the_threshold_share_a_bucket():
+@pytest.mark.parametrize("hashes", embeddings.SETTINGS)
+def test_pairs_at_the_threshold_share_a_bucket(hashes):
     rng = np.random.default_rng(9)
     a = rng.standard_normal((20_000, 64))
     a /= np.linalg.norm(a, axis=1)[:, None]
     o = rng.standard_normal(a.shape)
     o -= (o * a).sum(axis=1)[:, None] * a
     o /= np.linalg.norm(o, axis=1)[:, None]
-    near = [embeddings.buckets(x) for x in (a, 0.98 * a + np.sqrt(1 - 0.98**2) * o)]
+    near = [embeddings.buckets(x, hashes) for x in (a, 0.98 * a + np.sqrt(1 - 0.98**2) * o)]
+    assert all(len(np.unique(row)) == len(row) for row in near[0][:500])
     assert all((near[0][k : k + 2000, :, None] == near[1][k : k + 2000, None, :]).any(axis=(1, 2)).all() for k in range(0, 20_000, 2000))
+
+
+@pytest.mark.parametrize("most", [{2: 5, 3: 1000}, {2: 5, 3: 6}])
+def test_longer_names_find_the_same_links(spark, monkeypatch, most):
+    monkeypatch.setattr(embeddings, "LABEL_ROWS", most)
+    rng = np.random.default_rng(5)
+    vectors = [v for _ in range(4) for v in cloud(rng, rng.standard_normal(64), 20, 0.14)]
+    rows = [(i, v, i % 2) for i, v in enumerate(vectors + vectors[:3])]
+    assert embeddings.hashes_for(42) == (3 if most[3] == 1000 else 4)
+    assert run(spark, rows) == brute_force(rows)
