@@ -10,32 +10,44 @@ from brindle.operators import cohort, ml
 from brindle.plans.catalog import query
 from brindle.session import table
 
-_NAMES = [f"x{i}" for i in range(1, 9)]
+_SIZE = 64
+#: The components and one constant column.
+_NAMES = [f"x{i}" for i in range(1, _SIZE + 2)]
 
 
 def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight coordinates of the vectors, one with gaps and one constant, and a binary target."""
-    x = [F.element_at("embedding", i).cast("double").alias(f"x{i}") for i in range(1, 9)]
+    """The components of the vectors, the second with gaps, a constant, and a binary target."""
+    x = [F.element_at("embedding", i).cast("double").alias(f"x{i}") for i in range(1, _SIZE + 1)]
     rows = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") >= 5).cast("int").alias("y"), *x)
-    return rows.withColumn("x2", F.when(F.col("vec_id") % 4 != 0, F.col("x2"))).withColumn("x8", F.lit(1.0))
+    return rows.withColumn("x2", F.when(F.col("vec_id") % 4 != 0, F.col("x2"))).withColumn(_NAMES[-1], F.lit(1.0))
 
 
-@query("ml_feature_prep", "WITH m AS (SELECT vec_id, embedding[1]::DOUBLE AS x1, CASE WHEN vec_id % 4 <> 0 THEN embedding[2]::DOUBLE END AS x2 FROM embeddings) SELECT vec_id, round(x1, 6) AS x1, round(COALESCE(x2, (SELECT median(x2) FROM m)), 6) AS x2 FROM m")
+_COMPONENTS = ", ".join(f"round(embedding[{i}]::DOUBLE, 6) AS x{i}" for i in range(1, _SIZE + 1) if i != 2)
+
+
+@query("ml_feature_prep", f"WITH m AS (SELECT *, CASE WHEN vec_id % 4 <> 0 THEN embedding[2]::DOUBLE END AS second FROM embeddings) SELECT vec_id, round(COALESCE(second, (SELECT median(second) FROM m)), 6) AS x2, {_COMPONENTS} FROM m")
 def ml_feature_prep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done, kept = ml.prepared(_matrix(spark, sf_dir).select("vec_id", "x1", "x2", "x8"), ["x1", "x2", "x8"])
+    done, kept = ml.prepared(_matrix(spark, sf_dir).select("vec_id", *_NAMES), _NAMES)
     return done.select("vec_id", *[F.round(c, 6).alias(c) for c in kept])
 
 
-@query("ml_scaler", "SELECT vec_id, round((x - avg(x) OVER ()) / stddev_pop(x) OVER (), 6) AS x1 FROM (SELECT vec_id, embedding[1]::DOUBLE AS x FROM embeddings)")
+_SCALED = ", ".join(f"round((embedding[{i}]::DOUBLE - avg(embedding[{i}]::DOUBLE) OVER ()) / stddev_pop(embedding[{i}]::DOUBLE) OVER (), 6) AS x{i}" for i in range(1, _SIZE + 1) if i != 2)
+
+
+@query("ml_scaler", f"SELECT vec_id, {_SCALED} FROM embeddings")
 def ml_scaler(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ml.scaled(_matrix(spark, sf_dir), ["x1"]).select("vec_id", F.round("x1", 6).alias("x1"))
+    """The components without gaps at mean 0 and deviation 1."""
+    whole = [c for c in _NAMES[:-1] if c != "x2"]
+    return ml.scaled(_matrix(spark, sf_dir), whole).select("vec_id", *[F.round(c, 6).alias(c) for c in whole])
 
 
-_SCORED = "WITH s AS (SELECT (label >= 5)::INT AS y, round(embedding[1]::DOUBLE, 2) AS score FROM embeddings)"
+_SCORED = "WITH s AS (SELECT (label >= 5)::INT AS y, round(list_sum(embedding::DOUBLE[]), 2) AS score FROM embeddings)"
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _matrix(spark, sf_dir).select("y", F.round("x1", 2).alias("score"))
+    """The target, and the sum of all components as its score."""
+    total = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda t, v: t + v)
+    return table(spark, sf_dir, "embeddings").select((F.col("label") >= 5).cast("int").alias("y"), F.round(total, 2).alias("score"))
 
 
 @query("roc_auc", _SCORED + """, c AS (SELECT score, sum(y) AS p, count(*) AS n FROM s GROUP BY score), r AS (SELECT *, sum(n) OVER (ORDER BY score) - (n - 1) / 2 AS rank FROM c),

@@ -103,12 +103,13 @@ def median_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    people = table(spark, sf_dir, "customer").filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("id"), "c_mktsegment")
-    bought = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count(F.lit(1)).alias("n_orders"))
+    """Customers in credit, and the finished orders of each customer."""
+    people = table(spark, sf_dir, "customer").filter("c_acctbal >= 0").select(F.col("c_custkey").alias("id"), "c_mktsegment")
+    bought = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("id")).agg(F.count(F.lit(1)).alias("n_orders"))
     return people, bought
 
 
-_HALVES = "WITH people AS (SELECT c_custkey AS id, c_mktsegment FROM customer WHERE c_custkey % 3 <> 0), bought AS (SELECT o_custkey AS id, count(*)::BIGINT AS n_orders FROM orders GROUP BY 1)"
+_HALVES = "WITH people AS (SELECT c_custkey AS id, c_mktsegment FROM customer WHERE c_acctbal >= 0), bought AS (SELECT o_custkey AS id, count(*)::BIGINT AS n_orders FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)"
 
 
 @query("provenance_join", _HALVES + """
@@ -129,11 +130,12 @@ def anti_semi_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("chained_outer_join", """
-WITH a AS (SELECT c_custkey AS id, round(c_acctbal, 2) AS balance FROM customer WHERE c_custkey % 2 = 0), b AS (SELECT o_custkey AS id, count(*)::BIGINT AS n FROM orders GROUP BY 1), c AS (SELECT s_suppkey AS id, s_name FROM supplier)
+WITH a AS (SELECT c_custkey AS id, round(c_acctbal, 2) AS balance FROM customer WHERE c_acctbal >= 0), b AS (SELECT o_custkey AS id, count(*)::BIGINT AS n FROM orders GROUP BY 1), c AS (SELECT s_suppkey AS id, s_name FROM supplier)
 SELECT id, balance, n, s_name FROM a FULL JOIN b USING (id) FULL JOIN c USING (id)
 """)
 def chained_outer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.round("c_acctbal", 2).alias("balance"))
+    """Customers in credit, orders by customer, and suppliers."""
+    a = table(spark, sf_dir, "customer").filter("c_acctbal >= 0").select(F.col("c_custkey").alias("id"), F.round("c_acctbal", 2).alias("balance"))
     b = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     c = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), "s_name")
     return cohort.joined_sheets([a, b, c], "id")
@@ -155,13 +157,14 @@ def age_band_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("cohort_match", """
-WITH cases AS (SELECT s_nationkey AS nation, s_suppkey % 2 AS side FROM supplier WHERE s_suppkey % 10 = 1),
+WITH cases AS (SELECT s_nationkey AS nation, s_suppkey % 2 AS side FROM supplier WHERE s_acctbal < 0),
 budget AS (SELECT nation, side, 4 * count(*) AS budget FROM cases GROUP BY ALL),
 people AS (SELECT c_custkey AS person, c_nationkey AS nation, c_custkey % 2 AS side FROM customer WHERE c_acctbal > 0)
 SELECT person, nation, side FROM people JOIN budget USING (nation, side) QUALIFY row_number() OVER (PARTITION BY nation, side ORDER BY person) <= budget
 """)
 def cohort_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = table(spark, sf_dir, "supplier").filter("s_suppkey % 10 = 1").select(F.col("s_nationkey").alias("nation"), (F.col("s_suppkey") % 2).alias("side"))
+    """Suppliers in debt are the cases, customers in credit of the same nation and side their controls."""
+    cases = table(spark, sf_dir, "supplier").filter("s_acctbal < 0").select(F.col("s_nationkey").alias("nation"), (F.col("s_suppkey") % 2).alias("side"))
     people = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("person"), F.col("c_nationkey").alias("nation"), (F.col("c_custkey") % 2).alias("side"))
     return cohort.match_controls(cases, people, ["nation", "side"], "person", "person", 4).drop("place")
 
@@ -224,19 +227,21 @@ def value_proportions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("resized_mean", """
-WITH v AS (SELECT vec_id, embedding[1 : 40 + vec_id % 21]::DOUBLE[] AS x FROM embeddings), size AS (SELECT median(len(x))::INT AS n FROM v)
+WITH v AS (SELECT vec_id, list_filter(embedding::DOUBLE[], lambda v: v > 0) AS x FROM embeddings), size AS (SELECT median(len(x))::INT AS n FROM v)
 SELECT pos::INT AS pos, round(avg(x[pos % len(x) + 1]), 6) AS mean FROM v, size, generate_series(0, n - 1) AS g(pos) GROUP BY pos
 """)
 def resized_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = (F.col("vec_id") % 21 + 40).cast("int")
-    x = table(spark, sf_dir, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), F.lit(1), size).alias("x"))
+    """The positive components of each vector, which are of different number, brought to one length."""
+    x = table(spark, sf_dir, "embeddings").select("vec_id", F.filter(F.col("embedding").cast("array<double>"), lambda v: v > 0).alias("x"))
     return A.resized_mean(x, "vec_id", "x").select(F.col("pos").cast("int").alias("pos"), F.round("mean", 6).alias("mean"))
 
 
-@query("resume_anti_join", "SELECT event_id, event_type FROM events e WHERE NOT EXISTS (SELECT 1 FROM events d WHERE d.user_id = e.user_id AND d.event_id % 90 = 0)")
+@query("resume_anti_join", "SELECT event_id, event_type FROM events e WHERE NOT EXISTS (SELECT 1 FROM events d WHERE d.user_id = e.user_id AND d.value > 5 * (SELECT avg(value) FROM events))")
 def resume_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of users without an event of over five times the mean value."""
     events = table(spark, sf_dir, "events")
-    return unprocessed(events, events.filter("event_id % 90 = 0"), "user_id").select("event_id", "event_type")
+    level = events.agg((F.avg("value") * 5).alias("level"))  # one row
+    return unprocessed(events, events.join(F.broadcast(level), F.col("value") > F.col("level")), "user_id").select("event_id", "event_type")
 
 
 @query("segment_plan", """

@@ -121,7 +121,8 @@ def p2p_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", (spectral.peak_to_peak(F.col("embedding").cast("array<double>")) > 0.55).alias("rejected"))
 
 
-@query("average_reference", "WITH s AS (SELECT label, vec_id, embedding[1]::DOUBLE AS x FROM embeddings) SELECT vec_id, round(x - avg(x) OVER (PARTITION BY label), 6) AS referenced FROM s")
+@query("average_reference", "WITH s AS (SELECT label, vec_id, i - 1 AS n, embedding[i]::DOUBLE AS x FROM embeddings, generate_series(1, 64) AS t(i)) SELECT vec_id, n::INT AS n, round(x - avg(x) OVER (PARTITION BY label, n), 6) AS referenced FROM s")
 def average_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.element_at("embedding", 1).cast("double").alias("x"))
-    return spectral.average_reference(rows, ["label"], "x").select("vec_id", F.round("referenced", 6).alias("referenced"))
+    """Vectors of one label are channels, their components positions: each less the mean over channels at its position."""
+    rows = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("n", "x"))
+    return spectral.average_reference(rows, ["label", "n"], "x").select("vec_id", "n", F.round("referenced", 6).alias("referenced"))
