@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.operators import spectral, windows
+from brindle.operators import recording, spectral, windows
 from brindle.operators.aggregates import kurtosis_g2, skewness_g1
 from brindle.plans.catalog import query
 from brindle.session import table
@@ -103,12 +103,81 @@ def band_power_trapz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _powers(spark, sf_dir).select("vec_id", F.round(spectral.trapezoid(F.slice("power", 4, 5), 1.0), 5).alias("theta"))
 
 
-@query("welch_band_powers")
+_WELCH = """WITH bands AS (SELECT * FROM (VALUES ('delta', 1, 4, 64), ('theta', 4, 8, 32), ('alpha', 8, 12, 16), ('beta', 12, 30, 10), ('gamma', 30, 32, 4)) AS t(band, low, high, n)),
+seg AS (SELECT vec_id, label, embedding, band, low, high, n, unnest(range(0, 65 - n, n - n // 2)) AS s FROM embeddings, bands),
+cut AS (SELECT * EXCLUDE (embedding), list_transform(range(1, n + 1), lambda i: embedding[s + i]::DOUBLE) AS x FROM seg),
+tap AS (SELECT * EXCLUDE (x), list_transform(range(1, n + 1), lambda i: (x[i] - list_avg(x)) * (0.5 - 0.5 * cos(2 * pi() * (i - 1) / n))) AS y FROM cut),
+bin AS (SELECT *, unnest(range(0, n // 2 + 1)) AS k FROM tap),
+density AS (SELECT vec_id, any_value(label) AS label, band, any_value(low) AS low, any_value(high) AS high, any_value(n) AS n, k, avg((list_sum(list_transform(range(1, n + 1), lambda i: y[i] * cos(2 * pi() * k * (i - 1) / n)))^2
+  + list_sum(list_transform(range(1, n + 1), lambda i: y[i] * sin(2 * pi() * k * (i - 1) / n)))^2) * CASE WHEN k = 0 OR 2 * k = n THEN 1 ELSE 2 END / (64 * n * 0.375)) AS power FROM bin GROUP BY vec_id, band, k),
+steps AS (SELECT *, (power + lag(power) OVER (PARTITION BY vec_id, band ORDER BY k)) / 2 * 64 / n AS area, (k - 1) * 64 / n >= low AND k * 64 / n <= high AS inside FROM density),
+power AS (SELECT vec_id, any_value(label) AS label, band, COALESCE(sum(area) FILTER (inside), 0) AS power, sum(area) AS whole FROM steps GROUP BY vec_id, band)"""
+
+
+def _bands(spark: SparkSession, sf_dir: str, relative: bool = False) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"), (F.col("embedding")[0] > 0.1).alias("high"))
+    bands = {name: (low, min(high, 32)) for name, (low, high) in spectral.BANDS.items()}
+    return spectral.band_powers(rows, ["vec_id", "label", "high"], "x", 64.0, bands, relative)
+
+
+@query("welch_band_powers", _WELCH + " SELECT vec_id, " + ", ".join(f"round(max(power) FILTER (band = '{b}'), 8) AS {b}_power" for b in spectral.BANDS) + " FROM power GROUP BY vec_id")
 def welch_band_powers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Power in each band of 64 samples taken as one second at 64 Hz; half-overlapping Hann segments."""
-    x = F.col("embedding").cast("array<double>")
-    bands = [spectral.band_power(x, _N, 64.0, low, min(high, 32)).alias(f"{name}_power") for name, (low, high) in spectral.BANDS.items() if low < 32]
-    return table(spark, sf_dir, "embeddings").select("vec_id", *bands)
+    return _bands(spark, sf_dir).select("vec_id", *[F.round(b, 8).alias(f"{b}_power") for b in spectral.BANDS])
+
+
+@query("relative_band_powers", _WELCH + " SELECT vec_id, " + ", ".join(f"round(max(power / whole) FILTER (band = '{b}'), 6) AS {b}_share" for b in spectral.BANDS) + " FROM power GROUP BY vec_id")
+def relative_band_powers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as shares of the power over all bins of the band's own segments."""
+    return _bands(spark, sf_dir, relative=True).select("vec_id", *[F.round(b, 6).alias(f"{b}_share") for b in spectral.BANDS])
+
+
+@query("band_channel_matrix", _WELCH + """, g AS (SELECT p.*, CASE WHEN e.embedding[1] > 0.1 THEN 'case' ELSE 'control' END AS side FROM power p JOIN embeddings e USING (vec_id))
+SELECT side, band, label, round(avg(power), 8) AS mean, count(*)::BIGINT AS n FROM g WHERE label IN (SELECT label FROM g GROUP BY label HAVING count(DISTINCT side) = 2) GROUP BY ALL""")
+def band_channel_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean power of each group, band and channel, over the channels that both groups have; labels are the channels."""
+    side = F.when(F.col("high"), "case").otherwise("control")
+    long = _bands(spark, sf_dir).select("label", side.alias("side"), *spectral.BANDS).unpivot(["label", "side"], list(spectral.BANDS), "band", "power")
+    kept = recording.shared_channels(long, "side", "label")
+    return kept.groupBy("side", "band", "label").agg(F.round(F.avg("power"), 8).alias("mean"), F.count(F.lit(1)).alias("n"))
+
+
+_SPECTRA = """WITH cut AS (SELECT label, vec_id, w, list_transform(range(1, 17), lambda i: embedding[w * 16 + i]::DOUBLE) AS x FROM embeddings, range(4) AS t(w)),
+tap AS (SELECT label, vec_id, w, list_transform(range(1, 17), lambda i: (x[i] - list_avg(x)) * (0.54 - 0.46 * cos(2 * pi() * (i - 1) / 16))) AS y FROM cut),
+p AS (SELECT label, vec_id, w, k, (list_sum(list_transform(range(1, 17), lambda i: y[i] * cos(2 * pi() * k * (i - 1) / 16)))^2 + list_sum(list_transform(range(1, 17), lambda i: y[i] * sin(2 * pi() * k * (i - 1) / 16)))^2) * 2
+  / (16 * 16 * (0.54^2 + 0.46^2 / 2)) AS power FROM tap, range(1, 8) AS b(k)),
+sec AS (SELECT label, vec_id, w, sum(power * k) / sum(power) AS mpf, arg_max(k, power)::DOUBLE AS df, stddev_pop(power) AS sd FROM p GROUP BY label, vec_id, w),
+runs AS (SELECT label, vec_id, count(*) AS length FROM (SELECT label, vec_id, w - row_number() OVER (PARTITION BY vec_id ORDER BY w) AS island FROM sec WHERE mpf < 3.8) GROUP BY label, vec_id, island HAVING count(*) >= 2),
+r AS (SELECT vec_id, sum(length) AS inside, count(*) AS n, avg(length) AS mean FROM runs GROUP BY vec_id),
+ch AS (SELECT label, vec_id, avg(mpf) AS mpf_mean, median(mpf) AS mpf_median, avg(df) AS dominant_mean, stddev_pop(df) AS dominant_std, avg(sd) AS power_std FROM sec GROUP BY label, vec_id),
+lev AS (SELECT vec_id, list_min(e) AS min, list_max(e) AS max, list_avg(e) AS mean, list_median(e) AS median FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)),
+wide AS (SELECT ch.label, ch.vec_id, min, max, mean, median, mpf_mean, mpf_median, dominant_mean, dominant_std, power_std FROM ch JOIN lev USING (vec_id)),
+own AS (SELECT w.label, w.vec_id, COALESCE(inside / 4 * 100, 0) AS slow_percentage, COALESCE(n / (4 / 60), 0) AS slow_per_minute, COALESCE(r.mean, 0) AS slow_average_length FROM wide w LEFT JOIN r USING (vec_id)),
+total AS (SELECT label, NULL::BIGINT AS vec_id, avg(COLUMNS(* EXCLUDE (label, vec_id))) FROM wide GROUP BY label),
+e AS (SELECT label, median(length) AS middle, count(*) AS n, avg(length) AS mean FROM runs GROUP BY label),
+all_own AS (SELECT t.label, t.vec_id, middle / 4 * 100 AS slow_median_percentage, COALESCE(e.n, 0) / (4 * t.channels / 60) AS slow_per_minute, COALESCE(e.mean, 0)::DOUBLE AS slow_average_length
+  FROM (SELECT label, NULL::BIGINT AS vec_id, count(*) AS channels FROM wide GROUP BY label) t LEFT JOIN e USING (label)),
+long AS (SELECT 'channel' AS scope, * FROM (UNPIVOT wide ON COLUMNS(* EXCLUDE (label, vec_id)) INTO NAME metric VALUE value)
+  UNION ALL SELECT 'channel', * FROM (UNPIVOT own ON COLUMNS(* EXCLUDE (label, vec_id)) INTO NAME metric VALUE value)
+  UNION ALL SELECT 'overall', * FROM (UNPIVOT total ON COLUMNS(* EXCLUDE (label, vec_id)) INTO NAME metric VALUE value)
+  UNION ALL SELECT 'overall', * FROM all_own UNPIVOT INCLUDE NULLS (value FOR metric IN (slow_median_percentage, slow_per_minute, slow_average_length)))
+SELECT label, scope, vec_id, metric, round(value, 6) AS value FROM long"""
+
+
+@query("feature_long", _SPECTRA)
+def feature_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels are recordings and vectors their channels, of four seconds at 16 Hz."""
+    rows = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    out = recording.feature_long(rows, "label", "vec_id", "x", 16, 1, 7, slow=3.8, least=2)
+    return out.withColumn("value", F.round("value", 6))
+
+
+@query("legal_channels", "SELECT c_custkey, CASE c_nationkey % 3 WHEN 0 THEN 'F4' WHEN 1 THEN 'T5' END AS electrode FROM customer")
+def legal_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded names of three notations, one of no electrode, and the electrode of each."""
+    n = F.col("c_nationkey") % 3
+    name = F.when(n == 0, "EEG F4-Ref").when(n == 1, "T5-O1").otherwise("ECG")
+    return table(spark, sf_dir, "customer").select("c_custkey", recording.legal_channel(name).alias("electrode"))
 
 
 @query("fft_magnitudes")

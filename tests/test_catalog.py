@@ -10,7 +10,7 @@ from brindle.plans import catalog
 from tests.oracle import same_rows
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"welch_band_powers", "ml_gbt_fit", "ml_mlp_fit", "ml_importances"}
+SLOW = {"ml_gbt_fit", "ml_mlp_fit", "ml_importances"}
 
 
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))

@@ -213,3 +213,18 @@ def test_resized_mean_and_sampling(spark):
     assert rows(picked) == rows(cohort.sample_per_group(many.repartition(7), ["g"], ["id"], 5)) and picked.count() == 20
     share = cohort.hash_split(spark.range(5000), ["id"]).filter("test").count() / 5000
     assert 0.15 < share < 0.25
+
+
+def test_recorded_names_and_odd_signals(spark):
+    from brindle.operators import recording
+
+    names = spark.createDataFrame([("EEG F4-Ref",), (" Fp1 ",), ("T5-O1",), ("ECG",), (None,)], "n string")
+    assert [r[0] for r in names.select(recording.legal_channel(F.col("n"))).collect()] == ["F4", "Fp1", "T5", None, None]
+    odd = spark.createDataFrame([("r", "flat", [1.0] * 40), ("r", "short", [1.0, 2.0]), ("r", "none", None), ("r", "empty", [])], "rec string, ch string, x array<double>")
+    got = {(r.ch, r.metric): r.value for r in recording.feature_long(odd, "rec", "ch", "x", 16, 1, 7).collect()}
+    assert got["flat", "mpf_mean"] is None and got["flat", "power_std"] == 0 and got["flat", "slow_percentage"] == 0 and got["flat", "median"] == 1
+    assert got["short", "median"] == 1.5 and got["short", "mpf_mean"] is None and got["none", "mean"] is None and got["empty", "mean"] is None
+    assert got[None, "slow_median_percentage"] is None and got[None, "slow_per_minute"] == 0
+    powers = spectral.band_powers(odd, ["ch"], "x", 16.0, {"theta": (4, 8)}).collect()
+    assert {r.ch for r in powers if r.theta is None} == {"none", "empty"}
+    assert recording.feature_long(odd.limit(0), "rec", "ch", "x", 16, 1, 7).count() == 0
