@@ -138,3 +138,34 @@ def age_band(age: Column) -> Column:
     for low, high in bands:
         out = out.when((age >= low) & (age <= high), f"{low}-{high}")
     return out.when(age > 90, "90+")
+
+
+def clipped(value: Column, limit: float = 1e20) -> Column:
+    """value, no further from 0 than limit; null stays null."""
+    return F.when(value.isNotNull(), F.least(F.greatest(value.cast("double"), F.lit(-limit)), F.lit(limit)))
+
+
+def date_number_or_text(text: Column) -> list[Column]:
+    """moment, number and rest: text as a timestamp if it spells one, else as a number if it spells one, else as it is."""
+    moment = F.when(text.rlike(r"^\d{4}-\d"), text.try_cast("timestamp_ntz"))
+    number = F.when(moment.isNull(), to_number(text))
+    return [moment.alias("moment"), number.alias("number"), F.when(moment.isNull() & number.isNull(), text).alias("rest")]
+
+
+def stripped(text: Column, prefix: str, suffix: str) -> Column:
+    """text without a prefix and a suffix, both given as patterns."""
+    return F.regexp_replace(text, f"^(?:{prefix})|(?:{suffix})$", "")
+
+
+def without_columns(df: DataFrame, fragments: list[str]) -> DataFrame:
+    """df without the columns whose names contain any of the fragments, in any case. Of columns of one name all are judged alike."""
+    kept = [i for i, c in enumerate(df.columns) if not any(f.lower() in c.lower() for f in fragments)]
+    unique = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return unique.select(*[F.col(f"c{i}").alias(df.columns[i]) for i in kept])
+
+
+def first_of_each_name(df: DataFrame) -> DataFrame:
+    """df with the first of the columns of each name."""
+    kept = [i for i, c in enumerate(df.columns) if c not in df.columns[:i]]
+    unique = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return unique.select(*[F.col(f"c{i}").alias(df.columns[i]) for i in kept])

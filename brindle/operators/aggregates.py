@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from brindle.functions.columns import numeric_columns, quoted
@@ -92,3 +93,57 @@ def resized_mean(df: DataFrame, key: str, values: str) -> DataFrame:
     spread = df.filter(F.size(values) > 0).withColumn("pos", F.explode(F.sequence(F.lit(0), size - 1)))
     x = F.element_at(values, (F.col("pos") % F.size(values) + 1).cast("int"))
     return spread.select("pos", x.alias("x")).groupBy("pos").agg(F.avg("x").alias("mean"))
+
+
+def typed_profile(df: DataFrame) -> DataFrame:
+    """variable, count, unique and, for numbers, mean, std, median, min, max and iqr; halves are rounded to even, at two places.
+
+    Texts and dates have nulls there. Their values are counted by (column, value) first, so that no task holds all of a column.
+    """
+    numbers = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
+    others = [c for c in df.columns if c not in numbers]
+    shown = ["mean", "std", "median", "min", "max", "iqr"]
+    out = None
+    if numbers:
+        out = profile(df, numbers).select("variable", "count", "unique", *[F.bround(c, 2).alias(c) for c in shown])
+    if others:
+        long = df.select(*[quoted(c).cast("string").alias(c) for c in others]).unpivot([], others, "variable", "value")
+        counts = long.groupBy("variable", "value").agg(F.count("value").alias("n"))
+        texts = counts.groupBy("variable").agg(F.sum("n").alias("count"), F.count("value").alias("unique")).select("variable", "count", "unique", *[F.lit(None).cast("double").alias(c) for c in shown])
+        out = texts if out is None else out.unionByName(texts)
+    return out
+
+
+def case_control_matrix(cases: DataFrame, controls: DataFrame) -> DataFrame:
+    """is_case and the numeric columns, as doubles, that both tables have."""
+    numbers = lambda df: [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
+    shared = [c for c in numbers(cases) if c in set(numbers(controls))]
+    side = lambda df, k: df.select(F.lit(k).alias("is_case"), *[quoted(c).cast("double").alias(c) for c in shared])
+    return side(cases, 1).unionByName(side(controls, 0))
+
+
+def pair_correlations(df: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
+    """a, b, r and n of every pair of columns by keys, over rows that lack none of the columns; one aggregate."""
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    found = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(quoted(a), quoted(b)).alias("r"), F.count(F.lit(1)).alias("n")) for a, b in pairs]
+    return df.dropna(subset=names).groupBy(*keys).agg(F.array(*found).alias("pairs")).select(*keys, F.inline("pairs"))
+
+
+def histogram(df: DataFrame, name: str, bins: int, keys: list[str]) -> DataFrame:
+    """bin and n by keys, over bins equal parts of the range of all values; the last bin is closed, and values without spread are in bin 0."""
+    x = quoted(name)
+    ends = df.agg(F.min(x).alias("low__"), F.max(x).alias("high__"))
+    place = F.coalesce((x - F.col("low__")) / F.nullif(F.col("high__") - F.col("low__"), F.lit(0.0)) * bins, F.lit(0.0))
+    rows = df.filter(x.isNotNull()).join(F.broadcast(ends))  # one row
+    return rows.groupBy(*keys, F.least(F.floor(place), F.lit(bins - 1)).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def box_plot(df: DataFrame, name: str, keys: list[str], reach: float = 1.5) -> DataFrame:
+    """Quartiles, the whiskers' ends (the outermost values within reach times the quartiles' distance) and how many lie beyond."""
+    x = quoted(name)
+    q = df.groupBy(*keys).agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q__")).select(*keys, F.col("q__")[0].alias("q1"), F.col("q__")[1].alias("median"), F.col("q__")[2].alias("q3"))
+    far = (F.col("q3") - F.col("q1")) * reach
+    inside = (x >= F.col("q1") - far) & (x <= F.col("q3") + far)
+    return df.join(q, keys).groupBy(*keys).agg(
+        F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"), F.min(F.when(inside, x)).alias("low"), F.max(F.when(inside, x)).alias("high"), F.count_if(~inside).alias("outliers")
+    )

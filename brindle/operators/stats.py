@@ -227,3 +227,17 @@ def classified_columns(df: DataFrame, names: list[str]) -> dict[str, str]:
         else:
             out[c] = "ordinal" if "(" in c and ")" in c else "numeric"
     return out
+
+
+def dispatched(df: DataFrame, names: list[str], y: str) -> dict[str, DataFrame | None]:
+    """Each column of names against y, by its class: comparisons of every pair of values of binary and ordinal columns, and regressions of y on numeric ones; None where no column is of these classes."""
+    from brindle.functions.columns import quoted
+
+    kinds = classified_columns(df, names)
+    long = lambda chosen, value: df.select(quoted(y).cast("double").alias("y__"), *[quoted(c).cast("double").alias(c) for c in chosen]).unpivot(["y__"], chosen, "column_name", value)
+    split = [c for c in names if kinds.get(c) in ("binary", "ordinal")]
+    numeric = [c for c in names if kinds.get(c) == "numeric"]
+    return {
+        "comparisons": compare_groups(long(split, "group__"), "column_name", "group__", "y__", ["variable"]) if split else None,
+        "regressions": simple_regression(long(numeric, "x__"), ["column_name"], "y__", "x__") if numeric else None,
+    }

@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from brindle.plans import learning, relational, signals, statistics  # noqa: F401  they register their queries
+    from brindle.plans import learning, relational, signals, statistics, tables  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Query]:
