@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def positioned(df: DataFrame, keys: list[str], *order: str, name: str = "n") -> DataFrame:
-    """df with 0, 1, 2 ... within each key, in the given order."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+def positioned(df: DataFrame, keys: list[str], *order: str, name: str = "n", bucket: Column | None = None) -> DataFrame:
+    """df with 0, 1, 2 ... within each key, in the given order.
+
+    bucket never falls along the order, such as the hour of the time that comes first in it. With it, rows are numbered within
+    key and bucket and the sizes of the key's earlier buckets are added, so that a hot key takes as many tasks as it has buckets.
+    """
+    if bucket is None:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    part = [*keys, "bucket__"]
+    rows = df.withColumn("bucket__", bucket)
+    earlier = Window.partitionBy(*keys).orderBy("bucket__").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(*part).agg(F.count(F.lit(1)).alias("size__"))
+    starts = sizes.select(*[F.col(k).alias(f"{k}__at") for k in part], F.coalesce(F.sum("size__").over(earlier), F.lit(0)).alias("start__"))
+    numbered = rows.withColumn("place__", F.row_number().over(Window.partitionBy(*part).orderBy(*order)) - 1)
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"{k}__at")) for k in part])
+    return numbered.join(starts, same).select(*df.columns, (F.col("start__") + F.col("place__")).alias(name))
 
 
 def count_windows(df: DataFrame, keys: list[str], length: int, *aggregates: Column, position: str = "n") -> DataFrame:

@@ -16,7 +16,7 @@ _POWER = f"WITH {_BASIS}, p AS (SELECT vec_id, label, k, list_inner_product(embe
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.positioned(table(spark, sf_dir, "events").select("event_type", "ts", "event_id", "value"), ["event_type"], "ts", "event_id")
+    return windows.positioned(table(spark, sf_dir, "events").select("event_type", "ts", "event_id", "value"), ["event_type"], "ts", "event_id", bucket=F.date_trunc("hour", "ts"))
 
 
 _SAMPLES = "WITH samples AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS n FROM events)"

@@ -228,3 +228,14 @@ def test_recorded_names_and_odd_signals(spark):
     powers = spectral.band_powers(odd, ["ch"], "x", 16.0, {"theta": (4, 8)}).collect()
     assert {r.ch for r in powers if r.theta is None} == {"none", "empty"}
     assert recording.feature_long(odd.limit(0), "rec", "ch", "x", 16, 1, 7).count() == 0
+
+
+def test_positions_by_bucket_are_those_of_one_window(spark):
+    import datetime
+
+    at = lambda i: None if i % 13 == 0 else datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=37 * (i % 50))
+    df = spark.createDataFrame([("a" if i % 3 else None, at(i), i) for i in range(200)], "k string, ts timestamp, id long")
+    plain = windows.positioned(df, ["k"], "ts", "id")
+    split = windows.positioned(df, ["k"], "ts", "id", bucket=F.date_trunc("hour", "ts"))
+    assert sorted(map(tuple, plain.collect()), key=repr) == sorted(map(tuple, split.collect()), key=repr)
+    assert windows.positioned(df.limit(0), ["k"], "ts", bucket=F.date_trunc("hour", "ts")).count() == 0
