@@ -239,3 +239,14 @@ def test_positions_by_bucket_are_those_of_one_window(spark):
     split = windows.positioned(df, ["k"], "ts", "id", bucket=F.date_trunc("hour", "ts"))
     assert sorted(map(tuple, plain.collect()), key=repr) == sorted(map(tuple, split.collect()), key=repr)
     assert windows.positioned(df.limit(0), ["k"], "ts", bucket=F.date_trunc("hour", "ts")).count() == 0
+
+
+def test_columns_of_one_name_and_a_fixed_window(spark):
+    twice = spark.createDataFrame([(1, 2, 3)], "a int, b int, c int").toDF("a.x", "b date", "a.x")
+    assert C.first_of_each_name(twice).columns == ["a.x", "b date"] and rows(C.first_of_each_name(twice)) == [(1, 2)]
+    assert C.without_columns(twice, ["DATE"]).columns == ["a.x", "a.x"]
+    tone = spark.createDataFrame([(1, [math.sin(2 * math.pi * 6 * i / 64) for i in range(256)])], "id int, x array<double>")
+    got = spectral.band_powers(tone, ["id"], "x", 64.0, {"theta": (4, 8)}, window=2.0).first().theta
+    assert got == pytest.approx(0.5, rel=0.01)  # the power of a sine of amplitude one
+    # half-second segments: a Hann taper spreads the tone 1 : 4 : 1 over 4, 6 and 8 Hz, and the band's ends count half
+    assert spectral.band_powers(tone, ["id"], "x", 64.0, {"theta": (4, 8)}, relative=True).first().theta == pytest.approx(5 / 6)
