@@ -44,17 +44,16 @@ MARGIN = 0.14
 HEAD_ROUNDS, LIKELIEST = 3, 3
 #: A bucket of more classes is large; classes of a group in one block.
 LARGE, BLOCK = 48, 384
-CHUNK = 1 << 20
+#: Words whose digest a worker remembers.
+MEMO = 1 << 19
 
 _rng = np.random.default_rng(20240229)
 _SLOPES = _rng.integers(1, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
 _SHIFTS = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 _PLACES = _rng.integers(1, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
 _BASE = int(_rng.integers(1 << 62, 1 << 63)) | 1
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_LOWER[9:14] = 32
 _powers: list[np.ndarray] = []
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -65,64 +64,51 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power_tables(size: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
+    """Powers of the base and of its inverse modulo 2**64, for rolling hashes of bytes."""
     if not _powers or len(_powers[0]) < size:
-        n = max(size, CHUNK + 4096)
+        n = max(size, 1 << 20)
         _powers[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)])) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
     return _powers
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Start of each word in data and its 64-bit hash; letters A-Z count as lower case. Works in chunks that end at white space."""
-    x = _LOWER[np.frombuffer(data, np.uint8)]
-    blank = x == 32
-    begins = ~blank
-    begins[1:] &= blank[:-1]
-    starts = np.flatnonzero(begins)
-    ends = blank.copy()
-    ends[1:] &= ~blank[:-1]
-    ends[:1] = False
-    ends = np.flatnonzero(ends)
-    if len(ends) < len(starts):
-        ends = np.append(ends, len(x))
-    out = np.empty(len(starts), np.uint64)
-    k = 0
-    while k < len(starts):
-        at = starts[k]
-        last = max(k + 1, int(np.searchsorted(ends, at + CHUNK, "right")))
-        stop = ends[last - 1]
-        up, down = _power_tables(stop - at + 1)
-        total = np.zeros(stop - at + 1, np.uint64)
-        np.cumsum((x[at:stop].astype(np.uint64) + np.uint64(1)) * up[: stop - at], out=total[1:])
-        s, e = starts[k:last] - at, ends[k:last] - at
-        out[k:last] = _mix((total[e] - total[s]) * down[s])
-        k = last
-    return starts, out
+class _Hashes(dict):
+    """64-bit digests of words; short ones are remembered, as many as MEMO at once."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= 64:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = found
+        return found
+
+
+_hashes = _Hashes()
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """The words with A-Z in lower case; bytes.split knows the six blanks of WORD alone."""
+    return (text or "").encode().translate(_LOWER).split()
 
 
 def shingle_sets(texts: list[str | None], width: int = WIDTH) -> list[tuple[bytes, np.ndarray]]:
     """A 16-byte digest of the word sequence and the distinct hashed shingles of each text; no words: an empty key and set."""
-    parts = [(t or "").encode() for t in texts]
-    begin = np.cumsum([0, *(len(p) + 1 for p in parts)])
-    starts, hashes = word_hashes(b" ".join(parts) + b" ")
-    first = np.searchsorted(starts, begin)
-    n = len(hashes)
-    runs = np.zeros(max(0, n - width + 1), np.uint64)
-    for j in range(width):
-        runs += hashes[j : n - width + 1 + j] * _PLACES[j]
-    runs = _mix(runs)
     out = []
-    for part, a, b in zip(parts, first[:-1], first[1:], strict=True):
-        if a == b:
+    for text in texts:
+        words = words_of(text)
+        n = len(words)
+        if not n:
             out.append((b"", np.empty(0, np.uint64)))
             continue
-        own = hashes[a:b]
-        if b - a < width:
-            found = _mix((own * _PLACES[: b - a]).sum(dtype=np.uint64, keepdims=True) + _PLACES[8 + b - a])
+        own = np.fromiter(map(_hashes.__getitem__, words), np.uint64, n)
+        if n < width:
+            found = _mix((own * _PLACES[:n]).sum(dtype=np.uint64, keepdims=True) + _PLACES[8 + n])
         else:
-            found = np.unique(runs[a : b - width + 1])
-        # bytes.lower and bytes.split know A-Z and the six blanks of WORD alone
-        out.append((hashlib.blake2b(b" ".join(part.lower().split()), digest_size=16).digest(), found))
+            runs = np.zeros(n - width + 1, np.uint64)
+            for j in range(width):
+                runs += own[j : n - width + 1 + j] * _PLACES[j]
+            found = np.unique(_mix(runs))
+        out.append((hashlib.blake2b(b" ".join(words), digest_size=16).digest(), found))
     return out
 
 
@@ -255,7 +241,8 @@ def _cell_links(rows: list[tuple], percent: int, floor: float) -> list[tuple[byt
     parent: dict[bytes, bytes] = {}
 
     def root(k: bytes) -> bytes:
-        while parent.get(k, k) != k:
+        while (up := parent.get(k, k)) != k:
+            parent[k] = parent.get(up, up)
             k = parent[k]
         return k
 

@@ -136,12 +136,13 @@ def apply_mix(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """The mix itself: docs with each row as often as it is taken, all columns kept; rows taken 0 times go."""
+    """The mix itself: docs with each row as often as it is taken, all columns kept, whatever their names; rows taken 0 times go."""
     names = docs.columns
-    text = F.col(text_col)
-    keys = {"source": F.col(source_col), "size": word_count(text), "h": row_hash(F.col(id_col), text)}
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    row_id, text, source = (F.col(f"c{names.index(c)}") for c in (id_col, text_col, source_col))
+    keys = {"source": source, "size": word_count(text), "h": row_hash(row_id, text)}
     lines = _decided(cut(docs.select(*[c.alias(n) for n, c in keys.items()])), weights, share, max_repeat)
-    wide = docs.select(F.struct(*names).alias("row__"), keys["source"].alias("source"), keys["h"].alias("h"))
+    wide = docs.select(F.struct(*docs.columns).alias("row__"), keys["source"].alias("source"), keys["h"].alias("h"))
     copies = F.col("passes") + (F.col("h") < F.col("below")).cast("long")
     again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
     return (
@@ -150,4 +151,5 @@ def apply_mix(
         .filter("copies > 0")
         .select("row__", again.alias("again__"))
         .select("row__.*")
+        .toDF(*names)
     )

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, embeddings, fingerprints, licenses, minhash, mixing, pii, toxicity, unigram, warc
+from brindle.llm import bpe, embeddings, fingerprints, licenses, minhash, mixing, periodic, pii, toxicity, unigram, warc
 from brindle.llm.common import shared_dir, table
 
 
@@ -146,6 +146,19 @@ SELECT doc_id, size, source_size, target,
 FROM summed
 """
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of six words and four periods or more in every document, of which a tenth has a repeated stretch planted."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", periodic.planted(F.col("text"), F.col("doc_id")).alias("text"))
+    found = periodic.periodic_runs(docs, least=6, times=4).withColumn("best", periodic.greatest_run(F.col("runs")))
+    best = {k: F.col("best")[k] for k in ("start", "length", "period")}
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[k].cast("string") for k in best]), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *[c.alias(k) for k, c in best.items()],
+        F.floor(F.lit(1000) * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_warc": op2_warc,
@@ -157,6 +170,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_toxicity": op9_toxicity,
     "op10_source_mixing": op10_source_mixing,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 ORACLE: dict[str, str] = {"op2_warc": OP2_SQL, "op3_embeddings": OP3_SQL, "op10_source_mixing": OP10_SQL}

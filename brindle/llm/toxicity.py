@@ -363,12 +363,12 @@ class Scorer:
         return np.where(lengths > 0, found, self.model.empty)
 
     def judge(self, texts: list[str | None], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-        """Scores, and which texts are toxic: those whose words the network read and gave threshold or more."""
+        """Scores, and which texts are toxic: those whose words the network read and gave threshold or more. All other scores are under it."""
         scores = self.score(texts)
+        under = max(0.0, float(np.nextafter(threshold, -np.inf)))
         if self.model.base is not None:
-            return scores, np.zeros(len(texts), bool)
+            return np.minimum(scores, under), np.zeros(len(texts), bool)
         read = np.array([bool(t and _word(t)) for t in texts], bool)
-        under = max(0.0, float(np.nextafter(threshold, -np.inf)))
         return np.where(read, scores, np.minimum(scores, under)), read & (scores >= threshold)
 
 
@@ -413,8 +413,9 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3, id_co
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """docs without the rows that the network gave threshold or more; all columns kept, and no shuffle or join."""
+    """docs without the rows that the network gave threshold or more; all columns kept, whatever their names, and no shuffle or join."""
     names = docs.columns
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = names.index(text_col)
@@ -424,4 +425,4 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, text_col:
         for batch in batches:
             yield batch.filter(pa.array(~scorer.judge(batch.column(place).to_pylist(), threshold)[1]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema).toDF(*names)

@@ -64,6 +64,26 @@ def test_chains_groups_and_short_texts(spark):
     check(spark, list(enumerate(texts + chain + [" ".join(words) * 40])))
 
 
+@pytest.mark.parametrize("n", range(10))
+def test_batches_of_few_words(spark, n):
+    """n words in all, in one text, spread over texts, or with empty ones around."""
+    words = [f"w{k}" for k in range(n)]
+    for texts in ([" ".join(words)], [*words] or [""], [" ".join(words[:2]), None, " ".join(words[2:]), ""]):
+        assert [len(s) for _, s in minhash.shingle_sets(texts)] == [len(plain_set(t)) for t in texts]
+    check(spark, [(0, " ".join(words))])
+    check(spark, [(0, " ".join(words)), (1, " ".join(words).upper())])
+    if n:
+        rows = [(False, bytes([k]), bytes([k]), [k] * 16, " ".join(words)) for k in range(2)]
+        assert minhash._cell_links(rows, 75, -1.0) == [(b"\x01", b"\x00")]
+
+
+def test_words_that_collide_in_rolling_hashes(spark):
+    """Words of 1,024 letters whose polynomials are equal modulo 2**64 for any base."""
+    one = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    two = "".join("ba"[bin(k).count("1") % 2] for k in range(1024))
+    check(spark, [(0, f"a b c d {one} e f g h {two} i j"), (1, f"{one} q r s t"), (2, f"{two} q r s t")])
+
+
 def test_large_group_of_near_copies(spark):
     rng = np.random.default_rng(5)
     base = [f"t{i}" for i in range(80)]
