@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, embeddings, fingerprints, licenses, minhash, mixing, periodic, pii, toxicity, unigram, warc
+from brindle.llm import alignment, bpe, embeddings, fingerprints, licenses, minhash, mixing, periodic, pii, toxicity, unigram, warc
 from brindle.llm.common import shared_dir, table
 
 
@@ -159,6 +159,14 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers in every document, and how frequent the linked pairs are."""
+    import public_tokenizers
+
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment.link_statistics(table(spark, sf_dir, "documents"), *paths)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_warc": op2_warc,
@@ -171,6 +179,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_source_mixing": op10_source_mixing,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE: dict[str, str] = {"op2_warc": OP2_SQL, "op3_embeddings": OP3_SQL, "op10_source_mixing": OP10_SQL}
