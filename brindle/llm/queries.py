@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import alignment, bpe, embeddings, fingerprints, licenses, minhash, mixing, periodic, pii, toxicity, unigram, warc
+from brindle.llm import alignment, bpe, embeddings, fingerprints, licenses, minhash, mixing, neighbours, periodic, pii, toxicity, unigram, warc
 from brindle.llm.common import shared_dir, table
 
 
@@ -159,6 +159,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth id, by learned partitions."""
+    return neighbours.nearest_rows(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links between the tokens of two tokenizers in every document, and how frequent the linked pairs are."""
     import public_tokenizers
@@ -179,6 +184,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_source_mixing": op10_source_mixing,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_neighbours": op12_neighbours,
     "op13_alignment": op13_alignment,
 }
 
