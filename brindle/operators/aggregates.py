@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from brindle.functions.columns import numeric_columns, quoted
+from brindle.operators.quantiles import quantiles
 
 
 def skewness_g1(x: Column) -> Column:
@@ -22,11 +25,6 @@ def kurtosis_g2(x: Column) -> Column:
     return F.when((n > 3) & (F.stddev_pop(x) > 0), (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(x) + 6))
 
 
-def iqr(x: Column) -> Column:
-    """Interquartile range by linear interpolation."""
-    return F.percentile(x, F.lit(0.75)) - F.percentile(x, F.lit(0.25))
-
-
 def weighted_mean(x: Column, w: Column) -> Column:
     """Sum of x*w over values of x, by the sum of all weights; 0 if x has no value."""
     return F.coalesce(F.sum(x * w), F.lit(0.0)) / F.sum(w)
@@ -58,21 +56,29 @@ def unpivoted(df: DataFrame, ids: list[str], names: list[str], name: str = "vari
 
 
 def profile(df: DataFrame, names: list[str]) -> DataFrame:
-    """count, mean, std, median, unique, min, max and iqr of columns, from one grouped pass over their long form."""
+    """count, mean, std, median, unique, min, max and iqr of columns, from their long form. Quartiles are exact at any size."""
     v = F.col("value")
     long = unpivoted(df, [], names)
-    return long.groupBy("variable").agg(
-        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.median(v).alias("median"),
-        F.count_distinct(v).alias("unique"), F.min(v).alias("min"), F.max(v).alias("max"), iqr(v).alias("iqr"),
-    )
+    plain = long.groupBy("variable").agg(
+        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.count_distinct(v).alias("unique"), F.min(v).alias("min"), F.max(v).alias("max")
+    )
+    q = quantiles(long, ["variable"], "value", [0.25, 0.5, 0.75]).select("variable", F.col("q")[1].alias("median"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
+    return plain.join(q, "variable", "left").select("variable", "count", "mean", "std", "median", "unique", "min", "max", "iqr")
 
 
 def six_numbers(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
-    """N, mean, median, max, min and sample standard deviation."""
+    """N, mean, median, max, min and sample standard deviation; the median is exact at any size, and null keys are a group."""
     x = quoted(name)
-    return df.groupBy(*keys).agg(
-        F.count(x).alias("n"), F.avg(x).alias("mean"), F.median(x).alias("median"), F.max(x).alias("max"), F.min(x).alias("min"), F.stddev_samp(x).alias("std")
-    )
+    plain = df.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.max(x).alias("max"), F.min(x).alias("min"), F.stddev_samp(x).alias("std"))
+    return with_quantiles(plain, df, keys, x, {"median": 0.5}).select(*keys, "n", "mean", "median", "max", "min", "std")
+
+
+def with_quantiles(groups: DataFrame, df: DataFrame, keys: list[str], x: Column, shares: dict[str, float]) -> DataFrame:
+    """groups (one row for each of the keys) with a column for each named share of df's values x; null without a value."""
+    q = quantiles(df, keys, x, list(shares.values()))
+    named = q.select(*[F.col(k).alias(f"{k}__q") for k in keys], *[F.col("q")[i].alias(c) for i, c in enumerate(shares)])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}__q")) for k in keys], F.lit(True))
+    return groups.join(named, same, "left").drop(*[f"{k}__q" for k in keys])
 
 
 def proportions(df: DataFrame, *keys: str) -> DataFrame:
@@ -89,7 +95,8 @@ def first_per_key(df: DataFrame, keys: list[str], *order: Column, k: int = 1) ->
 
 def resized_mean(df: DataFrame, key: str, values: str) -> DataFrame:
     """Arrays brought to their median length by repeating or cutting, then averaged by position: pos and mean."""
-    size = F.lit(df.agg(F.median(F.size(values))).first()[0]).cast("int")
+    median = quantiles(df, [], F.size(values), [0.5]).first()
+    size = F.lit(median["q"][0] if median else 0).cast("int")
     spread = df.filter(F.size(values) > 0).withColumn("pos", F.explode(F.sequence(F.lit(0), size - 1)))
     x = F.element_at(values, (F.col("pos") % F.size(values) + 1).cast("int"))
     return spread.select("pos", x.alias("x")).groupBy("pos").agg(F.avg("x").alias("mean"))
@@ -115,11 +122,11 @@ def typed_profile(df: DataFrame) -> DataFrame:
 
 
 def case_control_matrix(cases: DataFrame, controls: DataFrame) -> DataFrame:
-    """is_case and the numeric columns, as doubles, that both tables have."""
+    """is_case and the numeric columns, as doubles, that both tables have; rows with a gap in any of them go."""
     numbers = lambda df: [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
     shared = [c for c in numbers(cases) if c in set(numbers(controls))]
     side = lambda df, k: df.select(F.lit(k).alias("is_case"), *[quoted(c).cast("double").alias(c) for c in shared])
-    return side(cases, 1).unionByName(side(controls, 0))
+    return side(cases, 1).unionByName(side(controls, 0)).dropna()
 
 
 def pair_correlations(df: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
@@ -141,7 +148,7 @@ def histogram(df: DataFrame, name: str, bins: int, keys: list[str]) -> DataFrame
 def box_plot(df: DataFrame, name: str, keys: list[str], reach: float = 1.5) -> DataFrame:
     """Quartiles, the whiskers' ends (the outermost values within reach times the quartiles' distance) and how many lie beyond."""
     x = quoted(name)
-    q = df.groupBy(*keys).agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q__")).select(*keys, F.col("q__")[0].alias("q1"), F.col("q__")[1].alias("median"), F.col("q__")[2].alias("q3"))
+    q = quantiles(df, keys, x, [0.25, 0.5, 0.75]).select(*keys, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     far = (F.col("q3") - F.col("q1")) * reach
     inside = (x >= F.col("q1") - far) & (x <= F.col("q3") + far)
     return df.join(q, keys).groupBy(*keys).agg(

@@ -7,9 +7,10 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, Multila
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from brindle.functions.columns import dense_columns, median_filled, quoted, varying_columns
+from brindle.operators.prefix import running_totals
+from brindle.operators.stats import average_ranks
 
 
 def prepared(df: DataFrame, features: list[str]) -> tuple[DataFrame, list[str]]:
@@ -73,19 +74,18 @@ def importances(model: PipelineModel, features: list[str], k: int = 10) -> list[
 def roc_points(df: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
     """False and true positive rates at each distinct score, from the highest down."""
     counts = df.groupBy(*keys, score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count(F.lit(1)).alias("n"))
-    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
-    down = part.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    tp, fp = F.sum("p").over(down), F.sum(F.col("n") - F.col("p")).over(down)
-    rates = counts.select(*keys, score, tp.alias("tp"), fp.alias("fp"), F.sum("p").over(part).alias("all_p"), F.sum(F.col("n") - F.col("p")).over(part).alias("all_n"))
-    return rates.select(*keys, F.col(score).alias("threshold"), (F.col("fp") / F.col("all_n")).alias("fpr"), (F.col("tp") / F.col("all_p")).alias("tpr"))
+    counts = counts.withColumn("q", F.col("n") - F.col("p"))
+    totals = counts.groupBy(*keys).agg(F.sum("p").alias("all_p"), F.sum("q").alias("all_n"))
+    summed = running_totals(counts, keys, F.col(score).desc(), tp="p", fp="q")
+    rates = summed.join(totals, keys) if keys else summed.join(F.broadcast(totals))  # one row
+    share = lambda part, whole: F.col(part) / F.nullif(F.col(whole), F.lit(0))
+    return rates.select(*keys, F.col(score).alias("threshold"), share("fp", "all_n").alias("fpr"), share("tp", "all_p").alias("tpr"))
 
 
 def auc(df: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
     """Area under the curve by average ranks of distinct scores."""
     counts = df.groupBy(*keys, score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count(F.lit(1)).alias("n"))
-    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
-    upto = part.orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("rank", F.sum("n").over(upto) - (F.col("n") - 1) / 2)
+    ranked = average_ranks(counts, keys, score, "n")
     sums = ranked.groupBy(*keys).agg(F.sum("p").alias("n1"), F.sum("n").alias("n"), F.sum(F.col("rank") * F.col("p")).alias("r1"))
     n1, n0 = F.col("n1").cast("double"), (F.col("n") - F.col("n1")).cast("double")
     return sums.select(*keys, ((F.col("r1") - n1 * (n1 + 1) / 2) / F.nullif(n1 * n0, F.lit(0.0))).alias("auc"))

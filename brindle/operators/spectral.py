@@ -98,12 +98,14 @@ def band_powers(rows: DataFrame, keys: list[str], signal: str, rate: float, band
     import numpy as np
     import pyarrow as pa
 
+    tapers: dict[int, np.ndarray] = {}
+
     def one(x: np.ndarray, low: float, high: float) -> float | None:
         n = min(len(x), int((window or 2 / low) * rate))
         if not n:
             return None
         cut = np.lib.stride_tricks.sliding_window_view(x, n)[:: n - n // 2]
-        taper = np.array(hann(n))
+        taper = tapers.setdefault(n, np.array(hann(n)))
         power = (np.abs(np.fft.rfft((cut - cut.mean(axis=1, keepdims=True)) * taper, axis=1)) ** 2).mean(axis=0) / (rate * (taper**2).sum() or 1)
         power[1 : (n + 1) // 2] *= 2
         k = np.arange(len(power)) * rate / n
@@ -134,23 +136,6 @@ def average_reference(df: DataFrame, at: list[str], value: str) -> DataFrame:
     return df.join(mean, at).withColumn("referenced", F.col(value) - F.col("reference__")).drop("reference__")
 
 
-def full_magnitudes(rows: DataFrame, key: str, signal: str) -> DataFrame:
-    """Mean and population deviation of the magnitudes of the whole FFT of each row's signal; Arrow batches, row by row."""
-    import numpy as np
-    import pyarrow as pa
-
-    def run(batches):
-        for batch in batches:
-            stats = []
-            for x in batch.column(1).to_pylist():
-                m = np.abs(np.fft.fft(np.array(x, float))) if x else np.array([np.nan])
-                stats.append((float(m.mean()), float(m.std())))
-            mean, std = ([None if np.isnan(s[i]) else s[i] for s in stats] for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mean, pa.float64()), pa.array(std, pa.float64())], names=[key, "fft_mean", "fft_std"])
-
-    return rows.select(key, signal).mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, fft_mean double, fft_std double")
-
-
 def cleaned(rows: DataFrame, key: str, signal: str, rate: float, low: float = 1.0, notch: float = 50.0, target: float = 256.0) -> DataFrame:
     """Signals without what is under low or above Nyquist - 0.1 Hz, without multiples of the mains frequency, resampled to target Hz.
 

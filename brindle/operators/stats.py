@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from brindle.operators.prefix import running_totals
+
 
 def normality_k2(x: Column) -> Column:
     """D'Agostino and Pearson's K-squared statistic; null under eight values or without spread."""
@@ -32,23 +35,19 @@ def chi2_2_tail(k2: Column) -> Column:
     return F.exp(-k2 / 2)
 
 
-def average_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """df with average ranks of value within each key, and tie: how many share it.
+def average_ranks(counts: DataFrame, keys: list[str], value: str, tie: str = "tie") -> DataFrame:
+    """counts (one line for each distinct value of a key, with how many rows share it) with the average rank of the value.
 
-    Values are counted first and ranked as distinct values, so ties, however many, cost no window of their own.
+    Rows are counted before, so ties, however many, cost one line; the lines are summed up over ranges, so no task sees a key whole.
     """
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("tie"))
-    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranks = counts.withColumn("rank", F.sum("tie").over(upto) - (F.col("tie") - 1) / 2)
-    return df.join(ranks, [*keys, value])
+    return running_totals(counts, keys, F.col(value), rank=tie).withColumn("rank", F.col("rank") - (F.col(tie) - 1) / 2)
 
 
 def mann_whitney(df: DataFrame, keys: list[str], group: str, value: str, first: object, second: object) -> DataFrame:
     """U of the first group, and z with tie and continuity correction. One line of counts for each distinct value is ranked, not the rows."""
     kept = df.filter(F.col(group).isin(first, second) & F.col(value).isNotNull())
     counts = kept.groupBy(*keys, value).agg(F.count_if(F.col(group) == F.lit(first)).alias("one"), F.count(F.lit(1)).alias("tie"))
-    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("rank", F.sum("tie").over(upto) - (F.col("tie") - 1) / 2)
+    ranked = average_ranks(counts, keys, value)
     t = F.col("tie").cast("double")
     sums = ranked.groupBy(*keys).agg(F.sum("one").alias("n1"), F.sum("tie").alias("n"), F.sum(F.col("rank") * F.col("one")).alias("r1"), F.sum(t * t * t - t).alias("ties"))
     n1, n = F.col("n1").cast("double"), F.col("n").cast("double")
@@ -102,18 +101,20 @@ def beta_tail(t: float, df: float) -> float | None:
 
 
 def exact_mann_whitney(u: float, n1: int, n2: int) -> float:
-    """Two-sided exact p of U without ties, by counting arrangements; for small groups."""
-    ways = [[0] * (n1 * n2 + 1) for _ in range(n1 + 1)]
-    ways[0][0] = 1
-    for top in range(1, n1 + n2 + 1):
-        for k in range(min(n1, top), 0, -1):
-            shift = top - k
-            for s in range(n1 * n2, shift - 1, -1):
-                if shift <= n2 * n1:
-                    ways[k][s] += ways[k - 1][s - shift] if shift <= s else 0
-    counts = ways[n1]
+    """Two-sided exact p of U without ties. The ways to get each U are the coefficients of the Gaussian binomial, up to u only.
+
+    Takes memory of 16 bytes for every value under u, which is n1 * n2 / 2 at most.
+    """
+    few, many = sorted((n1, n2))
     low = int(min(u, n1 * n2 - u))
-    return min(1.0, 2 * sum(counts[: low + 1]) / sum(counts))
+    ways = np.zeros(low + 1)
+    ways[0] = 1.0
+    for k in range(1, few + 1):
+        if many + k <= low:
+            ways[many + k :] -= ways[: low + 1 - many - k].copy()  # times 1 - q^(many + k)
+        for first in range(k):  # by 1 - q^k
+            ways[first::k] = np.cumsum(ways[first::k])
+    return min(1.0, 2 * float(ways.sum() / math.comb(n1 + n2, few)))
 
 
 def t_and_cohen(df: DataFrame, keys: list[str], group: str, value: str, first: object, second: object) -> DataFrame:
@@ -146,16 +147,15 @@ def adjusted(df: DataFrame, p: str, scope: list[str], tiebreak: list[str]) -> Da
     return out.withColumn("significant", F.coalesce(F.col("adj_p_value") < 0.05, F.lit(False)))
 
 
-#: Exact p-values of U are taken without ties if the smaller group has so many rows at most, and both together so many.
-EXACT_SMALL, EXACT_BOTH = 8, 60
+#: Exact p-values of U are taken without ties if the smaller group has so many rows at most.
+EXACT_SMALL = 8
 
 
 def exact_two_sided(u: Column, n1: Column, n2: Column) -> Column:
     """Exact p of U in small groups, null elsewhere; for few rows."""
     @F.pandas_udf("double")
     def exact(us: pd.Series, ones: pd.Series, twos: pd.Series) -> pd.Series:
-        small = lambda a, b: min(a, b) <= EXACT_SMALL and a + b <= EXACT_BOTH
-        return pd.Series([exact_mann_whitney(x, int(a), int(b)) if small(a, b) else None for x, a, b in zip(us, ones, twos, strict=True)], dtype="float64")
+        return pd.Series([exact_mann_whitney(x, int(a), int(b)) if min(a, b) <= EXACT_SMALL else None for x, a, b in zip(us, ones, twos, strict=True)], dtype="float64")
 
     return exact(u, n1.cast("double"), n2.cast("double"))
 
@@ -178,8 +178,7 @@ def compare_groups(df: DataFrame, variable: str, group: str, value: str, tests_s
     both = sided(1, F.col("c")).unionByName(sided(2, F.lit(0).cast("long")))
     keys = ["variable", "group1", "group2"]
     tied = both.groupBy(*keys, "value").agg(F.sum("one").alias("one"), F.sum("c").alias("tie"))
-    upto = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = tied.withColumn("rank", F.sum("tie").over(upto) - (F.col("tie") - 1) / 2)
+    ranked = average_ranks(tied, keys, "value")
     t = F.col("tie").cast("double")
     sums = ranked.groupBy(*keys).agg(F.sum(F.col("rank") * F.col("one")).alias("r1"), F.sum(t * t * t - t).alias("ties"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
@@ -213,7 +212,10 @@ def simple_regression(df: DataFrame, keys: list[str], y: str, x: str) -> DataFra
 
 
 def classified_columns(df: DataFrame, names: list[str]) -> dict[str, str]:
-    """binary (only 0 and 1, three of each at least), ordinal (brackets in the name) or numeric; others are skipped. One pass."""
+    """binary (two values, 0 and 1 three times each at least), ordinal (brackets in the name) or numeric. One pass.
+
+    Columns of fewer than three values or two different ones are skipped, and so are those of two values that are not 0 and 1.
+    """
     from brindle.functions.columns import quoted
 
     stats = [F.struct(F.count(quoted(c)).alias("n"), F.count_distinct(quoted(c)).alias("u"), F.count_if(quoted(c) == 1).alias("ones"), F.count_if(quoted(c) == 0).alias("zeros")) for c in names]
@@ -221,7 +223,7 @@ def classified_columns(df: DataFrame, names: list[str]) -> dict[str, str]:
     for c, s in zip(names, df.agg(*stats).first(), strict=True) if names else []:
         if s["n"] < 3 or s["u"] < 2:
             continue
-        if s["u"] == 2 and s["ones"] + s["zeros"] == s["n"]:
+        if s["u"] == 2:
             if s["ones"] >= 3 and s["zeros"] >= 3:
                 out[c] = "binary"
         else:

@@ -48,15 +48,25 @@ def concatenated(epochs: DataFrame, keys: list[str], length: int) -> DataFrame:
     return epochs.withColumn("new_n", order * length + F.col("offset"))
 
 
-def islands(flagged: DataFrame, keys: list[str], position: str, least: int = 5) -> DataFrame:
-    """Runs of consecutive positions with at least ``least`` of them: first, last and length."""
-    island = F.col(position) - F.row_number().over(Window.partitionBy(*keys).orderBy(position))
-    runs = flagged.withColumn("island__", island).groupBy(*keys, "island__")
-    return (
-        runs.agg(F.min(position).alias("first"), F.max(position).alias("last"), F.count(F.lit(1)).alias("length"))
-        .filter(F.col("length") >= least)
-        .drop("island__")
-    )
+def islands(flagged: DataFrame, keys: list[str], position: str, least: int = 5, bucket: int = 1 << 16) -> DataFrame:
+    """Runs of consecutive integer positions with at least ``least`` of them: first, last and length.
+
+    Runs are found within buckets of positions, so a key of many rows takes as many tasks as it has buckets. Those that touch a
+    bucket's border, two a bucket at most, are joined to their neighbours then; runs inside of a bucket stay as they are.
+    """
+    n = F.col(position).cast("long")
+    part = [*keys, "bucket__"]
+    rows = flagged.select(*keys, n.alias("n__"), F.floor(n / bucket).alias("bucket__"))
+    island = F.col("n__") - F.row_number().over(Window.partitionBy(*part).orderBy("n__"))
+    runs = rows.withColumn("island__", island).groupBy(*part, "island__").agg(F.min("n__").alias("first"), F.max("n__").alias("last"))
+    open_left, open_right = F.pmod(F.col("first"), F.lit(bucket)) == 0, F.pmod(F.col("last"), F.lit(bucket)) == bucket - 1
+    ordered = Window.partitionBy(*keys).orderBy("first")
+    begins = F.coalesce(F.lag("last").over(ordered) + 1 != F.col("first"), F.lit(True))
+    chained = runs.filter(open_left | open_right).withColumn("begins__", begins.cast("int"))
+    chained = chained.withColumn("chain__", F.sum("begins__").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = chained.groupBy(*keys, "chain__").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    whole = runs.filter(~(open_left | open_right)).select(*keys, "first", "last").unionByName(joined.drop("chain__"))
+    return whole.withColumn("length", F.col("last") - F.col("first") + 1).filter(F.col("length") >= least)
 
 
 def run_statistics(groups: DataFrame, runs: DataFrame, keys: list[str], total: str) -> DataFrame:

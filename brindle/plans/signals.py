@@ -142,31 +142,44 @@ def band_channel_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("side", "band", "label").agg(F.round(F.avg("power"), 8).alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
-_SPECTRA = """WITH cut AS (SELECT label, vec_id, w, list_transform(range(1, 17), lambda i: embedding[w * 16 + i]::DOUBLE) AS x FROM embeddings, range(4) AS t(w)),
-tap AS (SELECT label, vec_id, w, list_transform(range(1, 17), lambda i: (x[i] - list_avg(x)) * (0.54 - 0.46 * cos(2 * pi() * (i - 1) / 16))) AS y FROM cut),
+# Labels are recordings and vectors their channels, of 64 samples at 16 Hz. Written from the definitions of the feature row: matrices of channels by samples, of channels by seconds by bins.
+_SPECTRA = """WITH x AS (SELECT label, vec_id, embedding::DOUBLE[] AS e FROM embeddings), sample AS (SELECT label, vec_id, unnest(e) AS v FROM x),
+cut AS (SELECT label, vec_id, w, list_transform(range(1, 17), lambda i: e[w * 16 + i]) AS y FROM x, range(4) AS t(w)),
+tap AS (SELECT label, vec_id, w, list_transform(range(1, 17), lambda i: (y[i] - list_avg(y)) * (0.54 - 0.46 * cos(2 * pi() * (i - 1) / 16))) AS y FROM cut),
 p AS (SELECT label, vec_id, w, k, (list_sum(list_transform(range(1, 17), lambda i: y[i] * cos(2 * pi() * k * (i - 1) / 16)))^2 + list_sum(list_transform(range(1, 17), lambda i: y[i] * sin(2 * pi() * k * (i - 1) / 16)))^2) * 2
   / (16 * 16 * (0.54^2 + 0.46^2 / 2)) AS power FROM tap, range(1, 8) AS b(k)),
-sec AS (SELECT label, vec_id, w, sum(power * k) / sum(power) AS mpf, arg_max(k, power)::DOUBLE AS df, stddev_pop(power) AS sd FROM p GROUP BY label, vec_id, w),
+sec AS (SELECT label, vec_id, w, sum(power * k) / sum(power) AS mpf, arg_max(k, power)::DOUBLE AS df, stddev_pop(power) AS sd, avg(power) AS mean FROM p GROUP BY label, vec_id, w),
 runs AS (SELECT label, vec_id, count(*) AS length FROM (SELECT label, vec_id, w - row_number() OVER (PARTITION BY vec_id ORDER BY w) AS island FROM sec WHERE mpf < 3.8) GROUP BY label, vec_id, island HAVING count(*) >= 2),
-r AS (SELECT vec_id, sum(length) AS inside, count(*) AS n, avg(length) AS mean FROM runs GROUP BY vec_id),
-ch AS (SELECT label, vec_id, avg(mpf) AS mpf_mean, median(mpf) AS mpf_median, avg(df) AS dominant_mean, stddev_pop(df) AS dominant_std, avg(sd) AS power_std FROM sec GROUP BY label, vec_id),
-lev AS (SELECT vec_id, list_min(e) AS min, list_max(e) AS max, list_avg(e) AS mean, list_median(e) AS median FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)),
-wide AS (SELECT ch.label, ch.vec_id, min, max, mean, median, mpf_mean, mpf_median, dominant_mean, dominant_std, power_std FROM ch JOIN lev USING (vec_id)),
-own AS (SELECT w.label, w.vec_id, COALESCE(inside / 4 * 100, 0) AS slow_percentage, COALESCE(n / (4 / 60), 0) AS slow_per_minute, COALESCE(r.mean, 0) AS slow_average_length FROM wide w LEFT JOIN r USING (vec_id)),
-total AS (SELECT label, NULL::BIGINT AS vec_id, avg(COLUMNS(* EXCLUDE (label, vec_id))) FROM wide GROUP BY label),
-e AS (SELECT label, median(length) AS middle, count(*) AS n, avg(length) AS mean FROM runs GROUP BY label),
-all_own AS (SELECT t.label, t.vec_id, middle / 4 * 100 AS slow_median_percentage, COALESCE(e.n, 0) / (4 * t.channels / 60) AS slow_per_minute, COALESCE(e.mean, 0)::DOUBLE AS slow_average_length
-  FROM (SELECT label, NULL::BIGINT AS vec_id, count(*) AS channels FROM wide GROUP BY label) t LEFT JOIN e USING (label)),
-long AS (SELECT 'channel' AS scope, * FROM (UNPIVOT wide ON COLUMNS(* EXCLUDE (label, vec_id)) INTO NAME metric VALUE value)
-  UNION ALL SELECT 'channel', * FROM (UNPIVOT own ON COLUMNS(* EXCLUDE (label, vec_id)) INTO NAME metric VALUE value)
-  UNION ALL SELECT 'overall', * FROM (UNPIVOT total ON COLUMNS(* EXCLUDE (label, vec_id)) INTO NAME metric VALUE value)
-  UNION ALL SELECT 'overall', * FROM all_own UNPIVOT INCLUDE NULLS (value FOR metric IN (slow_median_percentage, slow_per_minute, slow_average_length)))
-SELECT label, scope, vec_id, metric, round(value, 6) AS value FROM long"""
+bin AS (SELECT label, vec_id, sqrt(list_sum(list_transform(range(1, 65), lambda i: e[i] * cos(2 * pi() * k * (i - 1) / 64)))^2 + list_sum(list_transform(range(1, 65), lambda i: e[i] * sin(2 * pi() * k * (i - 1) / 64)))^2) AS size FROM x, range(64) AS b(k)),
+bands AS (SELECT * FROM (VALUES ('delta', 1, 4, 32), ('theta', 4, 8, 8), ('alpha', 8, 12, 4)) AS t(band, low, high, n)),
+seg AS (SELECT vec_id, e, band, low, high, n, unnest(range(0, 65 - n, n // 2)) AS s FROM x, bands),
+part AS (SELECT * EXCLUDE (e), list_transform(range(1, n + 1), lambda i: e[s + i]) AS c FROM seg),
+soft AS (SELECT * EXCLUDE (c), list_transform(range(1, n + 1), lambda i: (c[i] - list_avg(c)) * (0.5 - 0.5 * cos(2 * pi() * (i - 1) / n))) AS y FROM part),
+dense AS (SELECT vec_id, band, any_value(low) AS low, any_value(high) AS high, any_value(n) AS n, k, avg((list_sum(list_transform(range(1, n + 1), lambda i: y[i] * cos(2 * pi() * k * (i - 1) / n)))^2
+  + list_sum(list_transform(range(1, n + 1), lambda i: y[i] * sin(2 * pi() * k * (i - 1) / n)))^2) * CASE WHEN k = 0 OR 2 * k = n THEN 1 ELSE 2 END / (16 * n * 0.375)) AS power FROM soft, range(0, 17) AS b(k) WHERE 2 * k <= n GROUP BY vec_id, band, k),
+area AS (SELECT vec_id, band, (power + lag(power) OVER (PARTITION BY vec_id, band ORDER BY k)) / 2 * 16 / n AS step, (k - 1) * 16 / n >= low AND k * 16 / n <= high AS inside FROM dense),
+pow AS (SELECT vec_id, COALESCE(sum(step) FILTER (inside AND band = 'delta'), 0) AS delta_power, COALESCE(sum(step) FILTER (inside AND band = 'theta'), 0) AS theta_power, COALESCE(sum(step) FILTER (inside AND band = 'alpha'), 0) AS alpha_power,
+  0.0::DOUBLE AS beta_power, 0.0::DOUBLE AS gamma_power FROM area GROUP BY vec_id),
+lev AS (SELECT label, vec_id, min(v) AS min, max(v) AS max, avg(v) AS mean, median(v) AS median, stddev_pop(v) AS std, skewness(v) AS skewness, kurtosis(v) AS kurtosis FROM sample GROUP BY label, vec_id),
+fft AS (SELECT vec_id, avg(size) AS fft_mean, stddev_pop(size) AS fft_std FROM bin GROUP BY vec_id),
+ch AS (SELECT vec_id, avg(mean) AS psd_mean, avg(sd) AS psd_std, avg(mpf) AS mean_mpf, median(mpf) AS median_mpf, avg(df) AS dfv_mean, stddev_pop(df) AS dfv_std FROM sec GROUP BY vec_id),
+ev AS (SELECT vec_id, sum(length) / 4 * 100 AS pswe_percentage, count(*) / (4 / 60) AS pswe_events_per_minute, avg(length) AS pswe_avg_length FROM runs GROUP BY vec_id),
+wide AS (SELECT lev.*, fft.* EXCLUDE (vec_id), pow.* EXCLUDE (vec_id), ch.* EXCLUDE (vec_id), COALESCE(pswe_percentage, 0) AS pswe_percentage, COALESCE(pswe_events_per_minute, 0) AS pswe_events_per_minute, COALESCE(pswe_avg_length, 0) AS pswe_avg_length
+  FROM lev JOIN fft USING (vec_id) JOIN pow USING (vec_id) JOIN ch USING (vec_id) LEFT JOIN ev USING (vec_id)),
+overall AS (SELECT label, COALESCE(m.middle, 'nan'::DOUBLE) AS pswe_median_percentage, COALESCE(m.n, 0) / (4 * channels / 60) AS pswe_events_per_minute, COALESCE(m.average, 0)::DOUBLE AS pswe_avg_length, s.* EXCLUDE (label), psd.* EXCLUDE (label), f.* EXCLUDE (label), w.* EXCLUDE (label, channels), mp.* EXCLUDE (label)
+  FROM (SELECT label, min(v) AS min, max(v) AS max, avg(v) AS mean, median(v) AS median, stddev_pop(v) AS std FROM sample GROUP BY label) s
+  JOIN (SELECT label, avg(power) AS psd_mean, stddev_pop(power) AS psd_std FROM p GROUP BY label) psd USING (label) JOIN (SELECT label, avg(size) AS fft_mean, stddev_pop(size) AS fft_std FROM bin GROUP BY label) f USING (label)
+  JOIN (SELECT label, avg(delta_power) AS delta_power, avg(theta_power) AS theta_power, avg(alpha_power) AS alpha_power, avg(beta_power) AS beta_power, avg(gamma_power) AS gamma_power, avg(skewness) AS skewness, avg(kurtosis) AS kurtosis, avg(dfv_std) AS dfv_std, count(*) AS channels FROM wide GROUP BY label) w USING (label)
+  JOIN (SELECT label, avg(mpf) AS mpf_mean, median(mpf) AS mpf_median, avg(df) AS df_mean FROM sec GROUP BY label) mp USING (label)
+  LEFT JOIN (SELECT label, median(length) / 4 * 100 AS middle, count(*) AS n, avg(length) AS average FROM runs GROUP BY label) m USING (label)),
+long AS (SELECT label, 'channel' AS scope, vec_id, metric, value FROM (UNPIVOT wide ON COLUMNS(* EXCLUDE (label, vec_id)) INTO NAME metric VALUE value)
+  UNION ALL SELECT label, 'overall', NULL, metric, value FROM (UNPIVOT overall ON COLUMNS(* EXCLUDE (label)) INTO NAME metric VALUE value))
+SELECT label, scope, vec_id, metric, CASE WHEN NOT isnan(value) THEN round(value, 6) END AS value FROM long"""
 
 
 @query("feature_long", _SPECTRA)
 def feature_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels are recordings and vectors their channels, of four seconds at 16 Hz."""
+    """The 23 metrics of every channel and of every recording; labels are recordings and vectors their channels, of four seconds at 16 Hz."""
     rows = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("x"))
     out = recording.feature_long(rows, "label", "vec_id", "x", 16, 1, 7, slow=3.8, least=2)
     return out.withColumn("value", F.round("value", 6))
@@ -180,9 +193,13 @@ def legal_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", recording.legal_channel(name).alias("electrode"))
 
 
-@query("fft_magnitudes")
+@query("fft_magnitudes", """
+WITH bin AS (SELECT vec_id, sqrt(list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * cos(2 * pi() * k * (i - 1) / 64)))^2 + list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * sin(2 * pi() * k * (i - 1) / 64)))^2) AS size FROM embeddings, range(64) AS b(k))
+SELECT vec_id, round(avg(size), 8) AS fft_mean, round(stddev_pop(size), 8) AS fft_std FROM bin GROUP BY vec_id
+""")
 def fft_magnitudes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spectral.full_magnitudes(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")), "vec_id", "embedding")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    return recording.signal_statistics(rows, ["vec_id"], "x").select("vec_id", F.round("fft_mean", 8).alias("fft_mean"), F.round("fft_std", 8).alias("fft_std"))
 
 
 @query("p2p_reject", "SELECT vec_id, list_max(embedding)::DOUBLE - list_min(embedding)::DOUBLE > 0.55 AS rejected FROM embeddings")

@@ -149,13 +149,15 @@ def significance_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("clinical_dispatch", """
-WITH w AS (SELECT (c_acctbal > 0)::INT::DOUBLE AS positive, (c_nationkey % 3)::DOUBLE AS "level (0-2)", c_acctbal AS balance, 1.0::DOUBLE AS constant, (c_nationkey % 2 + 1)::DOUBLE AS one_two FROM customer),
+WITH w AS (SELECT (c_acctbal > 0)::INT::DOUBLE AS positive, (c_nationkey % 3)::DOUBLE AS "level (0-2)", c_acctbal AS balance, 1.0::DOUBLE AS constant, (c_nationkey % 2 + 1)::DOUBLE AS one_two,
+  CASE WHEN c_mktsegment <> 'MACHINERY' THEN (c_acctbal > 5000)::INT::DOUBLE END AS gaps FROM customer),
 long AS (UNPIVOT w ON COLUMNS(*) INTO NAME variable VALUE value),
 s AS (SELECT variable, count(*) AS n, count(DISTINCT value) AS u, count(*) FILTER (value = 1) AS ones, count(*) FILTER (value = 0) AS zeros FROM long GROUP BY variable)
-SELECT variable, CASE WHEN u = 2 AND ones + zeros = n THEN 'binary' WHEN variable LIKE '%(%)%' THEN 'ordinal' ELSE 'numeric' END AS kind FROM s WHERE n >= 3 AND u >= 2 AND NOT (u = 2 AND ones + zeros = n AND (ones < 3 OR zeros < 3))
+SELECT variable, CASE WHEN u = 2 THEN 'binary' WHEN variable LIKE '%(%)%' THEN 'ordinal' ELSE 'numeric' END AS kind FROM s WHERE n >= 3 AND u >= 2 AND (u <> 2 OR (ones >= 3 AND zeros >= 3))
 """)
 def clinical_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = table(spark, sf_dir, "customer").select(
-        (F.col("c_acctbal") > 0).cast("double").alias("positive"), (F.col("c_nationkey") % 3).cast("double").alias("level (0-2)"), F.col("c_acctbal").alias("balance"), F.lit(1.0).alias("constant"), (F.col("c_nationkey") % 2 + 1).cast("double").alias("one_two")
+        (F.col("c_acctbal") > 0).cast("double").alias("positive"), (F.col("c_nationkey") % 3).cast("double").alias("level (0-2)"), F.col("c_acctbal").alias("balance"), F.lit(1.0).alias("constant"), (F.col("c_nationkey") % 2 + 1).cast("double").alias("one_two"),
+        F.when(F.col("c_mktsegment") != "MACHINERY", (F.col("c_acctbal") > 5000).cast("double")).alias("gaps"),
     )
     return spark.createDataFrame(list(stats.classified_columns(wide, wide.columns).items()), "variable string, kind string")

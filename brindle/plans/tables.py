@@ -73,12 +73,13 @@ def shared_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("case_control_matrix", """
-SELECT 1 AS is_case, c_acctbal AS acctbal, c_nationkey::DOUBLE AS nationkey FROM customer UNION ALL SELECT 0, s_acctbal, s_nationkey::DOUBLE FROM supplier
+SELECT 1 AS is_case, c_acctbal AS acctbal, c_nationkey::DOUBLE AS nationkey FROM customer WHERE c_acctbal > 0 UNION ALL SELECT 0, s_acctbal, s_nationkey::DOUBLE FROM supplier WHERE s_acctbal > 0
 """)
 def case_control_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers against suppliers on the numeric columns that both have, but for their keys."""
+    """Customers against suppliers on the numeric columns that both have, but for their keys; a balance of nothing or less is a gap."""
     bare = lambda name, prefix, key: table(spark, sf_dir, name).drop(key).toDF(*[c.removeprefix(prefix) for c in table(spark, sf_dir, name).columns if c != key])
-    return A.case_control_matrix(bare("customer", "c_", "c_custkey"), bare("supplier", "s_", "s_suppkey"))
+    gapped = lambda df: df.withColumn("acctbal", F.when(F.col("acctbal") > 0, F.col("acctbal")))
+    return A.case_control_matrix(gapped(bare("customer", "c_", "c_custkey")), gapped(bare("supplier", "s_", "s_suppkey")))
 
 
 @query("pair_correlations", """

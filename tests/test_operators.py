@@ -202,7 +202,7 @@ def test_trim_regression_and_dispatch(spark):
     fit = stats.simple_regression(line, [], "y", "x").first()
     assert fit.n == 4 and fit.df == 2 and fit.slope == pytest.approx(2.15) and 0.99 < fit.r2 < 1
     wide = spark.createDataFrame([(i % 2, i % 2 + 1, float(i), i % 3, 1) for i in range(8)], "b int, c int, n double, `o (x)` int, k int")
-    assert stats.classified_columns(wide, wide.columns) == {"b": "binary", "c": "numeric", "n": "numeric", "o (x)": "ordinal"}
+    assert stats.classified_columns(wide, wide.columns) == {"b": "binary", "n": "numeric", "o (x)": "ordinal"}  # two values that are not 0 and 1 are skipped
 
 
 def test_resized_mean_and_sampling(spark):
@@ -222,9 +222,11 @@ def test_recorded_names_and_odd_signals(spark):
     assert [r[0] for r in names.select(recording.legal_channel(F.col("n"))).collect()] == ["F4", "Fp1", "T5", None, None]
     odd = spark.createDataFrame([("r", "flat", [1.0] * 40), ("r", "short", [1.0, 2.0]), ("r", "none", None), ("r", "empty", [])], "rec string, ch string, x array<double>")
     got = {(r.ch, r.metric): r.value for r in recording.feature_long(odd, "rec", "ch", "x", 16, 1, 7).collect()}
-    assert got["flat", "mpf_mean"] is None and got["flat", "power_std"] == 0 and got["flat", "slow_percentage"] == 0 and got["flat", "median"] == 1
-    assert got["short", "median"] == 1.5 and got["short", "mpf_mean"] is None and got["none", "mean"] is None and got["empty", "mean"] is None
-    assert got[None, "slow_median_percentage"] is None and got[None, "slow_per_minute"] == 0
+    assert got["flat", "mean_mpf"] is None and got["flat", "psd_std"] == 0 and got["flat", "pswe_percentage"] == 0 and got["flat", "median"] == 1
+    assert got["short", "median"] == 1.5 and got["short", "mean_mpf"] is None and got["none", "mean"] is None and got["empty", "mean"] is None
+    assert got[None, "pswe_median_percentage"] is None and got[None, "pswe_events_per_minute"] == 0
+    assert (got[None, "min"], got[None, "max"], got[None, "median"]) == (1.0, 2.0, 1.0) and got[None, "mean"] == pytest.approx(43 / 42)
+    assert sum(ch is None for ch, _ in got) == 23 and sum(ch == "flat" for ch, _ in got) == 23
     powers = spectral.band_powers(odd, ["ch"], "x", 16.0, {"theta": (4, 8)}).collect()
     assert {r.ch for r in powers if r.theta is None} == {"none", "empty"}
     assert recording.feature_long(odd.limit(0), "rec", "ch", "x", 16, 1, 7).count() == 0
