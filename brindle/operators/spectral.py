@@ -134,27 +134,3 @@ def average_reference(df: DataFrame, at: list[str], value: str) -> DataFrame:
     """value less the mean over channels at the same position; the mean is joined back, so one position may hold many channels."""
     mean = df.groupBy(*at).agg(F.avg(value).alias("reference__"))
     return df.join(mean, at).withColumn("referenced", F.col(value) - F.col("reference__")).drop("reference__")
-
-
-def cleaned(rows: DataFrame, key: str, signal: str, rate: float, low: float = 1.0, notch: float = 50.0, target: float = 256.0) -> DataFrame:
-    """Signals without what is under low or above Nyquist - 0.1 Hz, without multiples of the mains frequency, resampled to target Hz.
-
-    Zero-phase, by the spectrum of each row: a plainer filter than a windowed FIR, with the same pass band.
-    """
-    import numpy as np
-    import pyarrow as pa
-
-    def clean(x: list[float]) -> list[float]:
-        n = len(x)
-        f, s = np.fft.rfftfreq(n, 1 / rate), np.fft.rfft(np.array(x, float))
-        keep = (f >= low) & (f <= rate / 2 - 0.1)
-        for m in np.arange(notch, rate / 2, notch):
-            keep &= np.abs(f - m) > 0.5
-        out = int(round(n * target / rate))
-        return (np.fft.irfft(np.where(keep, s, 0)[: out // 2 + 1], out) * out / n).tolist() if out else []
-
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([clean(x) if x else x for x in batch.column(1).to_pylist()], pa.list_(pa.float64()))], names=[key, signal])
-
-    return rows.select(key, signal).mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, `{signal}` array<double>")

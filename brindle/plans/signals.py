@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.operators import recording, spectral, windows
+from brindle.operators import blocks, recording, spectral, windows
 from brindle.operators.aggregates import kurtosis_g2, skewness_g1
 from brindle.plans.catalog import query
 from brindle.session import table
@@ -212,3 +213,37 @@ def average_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of one label are channels, their components positions: each less the mean over channels at its position."""
     rows = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("n", "x"))
     return spectral.average_reference(rows, ["label", "n"], "x").select("vec_id", "n", F.round("referenced", 6).alias("referenced"))
+
+
+# A series goes on beyond its ends as its odd reflection.
+_REFLECTED = _SAMPLES + """, ends AS (SELECT event_type, max(n) AS last, arg_min(value, n) AS x0, arg_max(value, n) AS x1 FROM samples GROUP BY event_type),
+series AS (SELECT event_type, n, value AS x FROM samples UNION ALL SELECT s.event_type, -n, 2 * x0 - value FROM samples s JOIN ends USING (event_type) WHERE n BETWEEN 1 AND 40 UNION ALL SELECT s.event_type, 2 * last - n, 2 * x1 - value FROM samples s JOIN ends USING (event_type) WHERE n BETWEEN last - 40 AND last - 1)"""
+
+
+def _event_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values of each event type in the order of time, in blocks of 512."""
+    return blocks.blocked(_samples(spark, sf_dir), ["event_type"], "n", "value", 512)
+
+
+@query("block_filter", _REFLECTED + """ SELECT event_type, n::BIGINT AS n, round(y, 6) AS x FROM (SELECT event_type, n, (lead(x, 2) OVER w + 2 * lead(x, 1) OVER w + 4 * x - lag(x, 1) OVER w + 0.5 * lag(x, 2) OVER w) / 6 AS y FROM series WINDOW w AS (PARTITION BY event_type ORDER BY n)) JOIN ends USING (event_type) WHERE n BETWEEN 0 AND last""")
+def block_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter of five taps, which are not symmetric, over series of any length in blocks with halos."""
+    made = blocks.filtered(_event_blocks(spark, sf_dir), ["event_type"], np.array([1, 2, 4, -1, 0.5]) / 6)
+    return blocks.samples_of(made, ["event_type"]).select("event_type", "n", F.round("x", 6).alias("x"))
+
+
+@query("block_resample", _REFLECTED + """, tap AS (SELECT m, CASE WHEN m = 0 THEN 1.0 ELSE sin(pi() * m / 3) / (pi() * m / 3) END / 3 * (0.54 + 0.46 * cos(pi() * m / 12)) AS h FROM (SELECT unnest(range(-12, 13)) AS m)),
+kernel AS (SELECT m, 2 * h / sum(h) OVER () AS h FROM tap), grid AS (SELECT event_type, unnest(range(0, (2 * (last + 1) + 2) // 3)) AS k FROM ends)
+SELECT g.event_type, k::BIGINT AS n, round(sum(x * h), 6) AS x FROM grid g JOIN kernel ON (3 * k - m) % 2 = 0 JOIN series s ON s.event_type = g.event_type AND s.n = (3 * k - m) // 2 GROUP BY ALL""")
+def block_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same series at two samples for every three, by polyphase filtering in blocks."""
+    made = blocks.resampled(_event_blocks(spark, sf_dir), ["event_type"], 3, 2, zeros=4)
+    return blocks.samples_of(made, ["event_type"]).select("event_type", "n", F.round("x", 6).alias("x"))
+
+
+@query("cleaned_levels")
+def cleaned_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples, mean and deviation of each series after the whole cleaning chain, as if taken at 64 Hz; kernels of hundreds of taps, which tests hold against whole convolutions."""
+    long_blocks = blocks.blocked(_samples(spark, sf_dir), ["event_type"], "n", "value", 4096)
+    made = blocks.samples_of(blocks.cleaned(long_blocks, ["event_type"], 64, low=2.0, notch=20.0, target=48), ["event_type"])
+    return made.groupBy("event_type").agg(F.count(F.lit(1)).alias("samples"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev_pop("x"), 6).alias("std"))
