@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.operators import blocks, recording, spectral, windows
+from brindle.operators import blocks, channels, recording, spectral, windows
 from brindle.operators.aggregates import kurtosis_g2, skewness_g1
 from brindle.plans.catalog import query
 from brindle.session import table
@@ -247,3 +247,75 @@ def cleaned_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     long_blocks = blocks.blocked(_samples(spark, sf_dir), ["event_type"], "n", "value", 4096)
     made = blocks.samples_of(blocks.cleaned(long_blocks, ["event_type"], 64, low=2.0, notch=20.0, target=48), ["event_type"])
     return made.groupBy("event_type").agg(F.count(F.lit(1)).alias("samples"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev_pop("x"), 6).alias("std"))
+
+
+_NOISY = """WITH x AS (SELECT label, vec_id, i - 1 AS n, embedding[i]::DOUBLE AS x FROM embeddings, generate_series(1, 64) AS t(i)),
+r1 AS (SELECT label, vec_id, n, x - avg(x) OVER (PARTITION BY label, n) AS y FROM x), d1 AS (SELECT label, vec_id, stddev_pop(y) AS d FROM r1 GROUP BY ALL), m1 AS (SELECT *, abs(d - median(d) OVER (PARTITION BY label)) AS far FROM d1),
+b1 AS (SELECT label, vec_id, (d - median(d) OVER (PARTITION BY label)) / (1.4826 * median(far) OVER (PARTITION BY label)) AS z FROM m1), good AS (SELECT label, vec_id FROM b1 WHERE abs(z) <= 2),
+r2 AS (SELECT label, vec_id, n, x - (SELECT avg(y.x) FROM x y JOIN good USING (label, vec_id) WHERE y.label = x.label AND y.n = x.n) AS y FROM x), d2 AS (SELECT label, vec_id, stddev_pop(y) AS d FROM r2 GROUP BY ALL),
+m2 AS (SELECT *, abs(d - median(d) OVER (PARTITION BY label)) AS far FROM d2), b2 AS (SELECT label, vec_id, d, (d - median(d) OVER (PARTITION BY label)) / (1.4826 * median(far) OVER (PARTITION BY label)) AS z FROM m2),
+flags AS (SELECT b2.label, b2.vec_id, b2.d, b2.z, abs(b1.z) > 2 OR abs(b2.z) > 2 AS bad FROM b1 JOIN b2 USING (label, vec_id))"""
+
+
+def _channel_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as recordings of one block, vectors as channels."""
+    zero = F.lit(0).cast("long")
+    return table(spark, sf_dir, "embeddings").select("label", "vec_id", zero.alias("block"), zero.alias("start"), F.col("embedding").cast("array<double>").alias("signal"))
+
+
+@query("noisy_channels", _NOISY + " SELECT label, vec_id, round(d, 8) AS deviation, round(z, 5) AS z, bad FROM flags")
+def noisy_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Channels of an unusual deviation in two rounds of reference; the limit is 2, so that some of these tables' are."""
+    found = channels.noisy_channels(_channel_blocks(spark, sf_dir), "label", "vec_id", 64, limit=2.0, least=None, rounds=2)
+    return found.select("label", "vec_id", F.round("deviation", 8).alias("deviation"), F.round("z", 5).alias("z"), "bad")
+
+
+@query("robust_reference", _NOISY + ", mean AS (SELECT x.label, n, avg(x) AS m FROM x JOIN flags USING (label, vec_id) WHERE NOT bad GROUP BY ALL) SELECT x.vec_id, x.n::BIGINT AS n, round(x - m, 7) AS x FROM x JOIN mean USING (label, n)")
+def robust_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each channel less the mean of the recording's good channels."""
+    rows = _channel_blocks(spark, sf_dir)
+    bad = channels.noisy_channels(rows, "label", "vec_id", 64, limit=2.0, least=None, rounds=2).filter("bad")
+    done = channels.robust_reference(rows, bad, "label", "vec_id")
+    return blocks.samples_of(done, ["vec_id"]).select("vec_id", "n", F.round("x", 7).alias("x"))
+
+
+def _head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as channels of a montage, as many to a recording as it has electrodes."""
+    names = F.array(*map(F.lit, channels.PLACES))
+    n = F.lit(len(channels.PLACES))
+    rows = _channel_blocks(spark, sf_dir)
+    return rows.select(F.floor(F.col("vec_id") / n).alias("recording"), F.element_at(names, (F.col("vec_id") % n + 1).cast("int")).alias("channel"), "block", "start", "signal")
+
+
+@query("restored_channels")
+def restored_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of the channels whose range is too wide, as the others of the recording make them by spherical splines; a test holds them against a direct solve."""
+    rows = _head(spark, sf_dir)
+    bad = rows.filter(spectral.peak_to_peak(F.col("signal")) > 0.62).select("recording", "channel")
+    done = channels.restored(rows, bad, "recording", "channel").join(bad, ["recording", "channel"], "left_semi")
+    return blocks.samples_of(done, ["recording", "channel"]).withColumn("x", F.round("x", 6))
+
+
+@query("scalp_map")
+def scalp_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps of the channels' ranges over the head for every recording."""
+    values = _head(spark, sf_dir).select("recording", "channel", spectral.peak_to_peak(F.col("signal")).alias("range"))
+    return channels.scalp_map(values, ["recording"], "channel", "range", 16).select("recording", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.round("value", 6).alias("value"))
+
+
+@query("rejection_thresholds", """
+WITH e AS (SELECT label, vec_id, vec_id % 5 AS fold, embedding::DOUBLE[] AS x, list_max(embedding::DOUBLE[]) - list_min(embedding::DOUBLE[]) AS ptp FROM embeddings),
+ends AS (SELECT label, min(ptp) AS low, max(ptp) AS high FROM e GROUP BY label),
+cand AS (SELECT label, j, CASE WHEN j = 10 THEN high ELSE low + (high - low) * j / 10.0::DOUBLE END AS thr FROM ends, generate_series(1, 10) AS t(j)),
+s AS (SELECT label, fold, vec_id, ptp, i AS pos, x[i] AS x FROM e, generate_series(1, 64) AS t(i)),
+med AS (SELECT label, fold, pos, median(x) AS m FROM s GROUP BY ALL),
+mean AS (SELECT m.label, m.fold, m.pos, c.j, c.thr, any_value(m.m) AS m, avg(s.x) AS t FROM med m JOIN cand c ON c.label = m.label JOIN s ON s.label = m.label AND s.pos = m.pos AND s.fold <> m.fold AND s.ptp <= c.thr GROUP BY ALL),
+err AS (SELECT label, fold, j, thr, sqrt(avg((t - m)^2)) AS e FROM mean GROUP BY ALL),
+tot AS (SELECT label, j, thr, avg(e) AS e, count(*) AS folds FROM err GROUP BY ALL)
+SELECT label, round(thr, 8) AS threshold, round(e, 8) AS error FROM tot JOIN (SELECT label, count(DISTINCT fold) AS want FROM e GROUP BY label) w USING (label) WHERE folds = want QUALIFY row_number() OVER (PARTITION BY label ORDER BY round(e, 12), j) = 1
+""")
+def rejection_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels are channels and their vectors epochs, in five folds: the peak-to-peak limit of least cross-validated error."""
+    epochs = table(spark, sf_dir, "embeddings").select("label", "vec_id", (F.col("vec_id") % 5).alias("fold"), F.col("embedding").cast("array<double>").alias("x"))
+    found = channels.rejection_thresholds(epochs, ["label"], "vec_id", "fold", "x")
+    return found.select("label", F.round("threshold", 8).alias("threshold"), F.round("error", 8).alias("error"))
