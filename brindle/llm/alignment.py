@@ -2,7 +2,9 @@
 
 1. Both tokenizers encode the whole text, a byte-level BPE (A) with a leading space and a piece model (B) that adds it; tokens
    become bytes and their ends byte offsets. A text whose joined bytes are not those of space and text, on either side, has no
-   tokens here.
+   tokens here. A space after a character that is no white space always begins a token on both sides (A's pattern takes spaces
+   in front only, and no piece of B has a space after another character, which is looked up in its vocabulary), so what lies
+   between such places is encoded once and remembered.
 2. The shorter list of ends drives a search into the longer one: from the place in proportion, steps of 1, 2, 4 ... bracket an
    end, and a binary search finds its rank. Ends in both lists slice the tokens into groups. The ranks of a token's own two
    ends give the range of the longer list's tokens that overlap it, so the links, which are as many as the tokens of both
@@ -20,7 +22,8 @@ other columns are ignored.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -31,8 +34,10 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import bounded_batches, cut, kept_table
 
-#: Pairs whose counts are broadcast at most; characters of the texts that are encoded together.
-HOT, TOGETHER = 1 << 17, 1 << 19
+#: Pairs whose counts are broadcast at most; characters of the texts that are aligned together, and of remembered segments.
+HOT, TOGETHER, REMEMBERED = 1 << 17, 1 << 19, 1 << 22
+_SPACE_AFTER_BLANK = re.compile(r"\s ")
+_SEGMENT_START = re.compile(r"(?<=\S)(?= )")
 _NAMES = ("id", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times")
 
 
@@ -90,25 +95,96 @@ def gallop(short: np.ndarray, long: np.ndarray, near: np.ndarray, low: np.ndarra
     return right
 
 
-def align(a_ids: list[list[int]], b_ids: list[list[int]], a_size: np.ndarray, b_size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+class Segments:
+    """Ids of both tokenizers for texts, by remembered segments; what is remembered is forgotten at REMEMBERED characters."""
+
+    def __init__(self, encode_a: Callable, a_table: list[bytes], encode_b: Callable, b_table: list[bytes]) -> None:
+        self.encode, self.tables = (encode_a, encode_b), (a_table, b_table)
+        self.sizes = [np.array(list(map(len, t)), np.int64) for t in self.tables]
+        self.names = list(map(str, range(max(map(len, self.tables)))))
+        #: Whether a piece of B holds a space after another character: then texts are not cut.
+        self.whole = any(b" " in p.lstrip(b" ") for p in b_table)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.size = 0
+        self.right = np.empty(0, bool)
+        self.ids = [np.empty(0, np.int64) for _ in "ab"]
+        self.starts = [np.zeros(1, np.int64) for _ in "ab"]
+
+    def cut(self, text: str) -> list[str]:
+        """The segments of space and text, each without its first space."""
+        if self.whole:
+            return [text]
+        if _SPACE_AFTER_BLANK.search(text) or text[:1] == " ":
+            return [p[1:] for p in _SEGMENT_START.split(" " + text)]
+        return text.split(" ")
+
+    def learn(self, pieces: list[str]) -> None:
+        """Remembers the ids of pieces, from those of the text that they make after a letter, with single spaces between; one by one where bytes differ."""
+        if not pieces:
+            return
+        text = "x " + " ".join(pieces)
+        want = (" " + text).encode()
+        found = [np.array(encode([text])[0], np.int64) for encode in self.encode]
+        same = all(b"".join(map(table.__getitem__, ids.tolist())) == want for table, ids in zip(self.tables, found, strict=True))
+        if not same and len(pieces) > 1:
+            for p in pieces:
+                self.learn([p])
+            return
+        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces)), strict=True))
+        self.size += len(text)
+        self.right = np.append(self.right, np.full(len(pieces), same))
+        stops = 2 + np.cumsum([0] + [1 + len(p.encode()) for p in pieces])
+        for k, (ids, sizes) in enumerate(zip(found, self.sizes, strict=True)):
+            ends = np.searchsorted(np.cumsum(sizes[ids]), stops) + 1 if same else np.zeros(2, np.int64)
+            self.starts[k] = np.concatenate([self.starts[k], len(self.ids[k]) + ends[1:] - ends[0]])
+            self.ids[k] = np.concatenate([self.ids[k], ids[ends[0] : ends[-1]]])
+
+    def encoded(self, texts: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Whether each text's bytes are right on both sides; and for A and B the ids of these texts in a row, with how many each has."""
+        if self.size > REMEMBERED:
+            self.forget()
+        cut = [self.cut(t) if t else [] for t in texts]
+        new = [p for p in dict.fromkeys(p for c in cut for p in c) if p not in self.known]
+        if new:
+            apart = [not p[-1:].strip() or "▁" in p for p in new]  # what follows them need not begin a token, or their bytes differ
+            self.learn([p for p, own in zip(new, apart, strict=True) if not own])
+            for p, own in zip(new, apart, strict=True):
+                if own:
+                    self.learn([p])
+        count = np.array(list(map(len, cut)))
+        segment = np.fromiter(map(self.known.__getitem__, (p for c in cut for p in c)), np.int64, count.sum())
+        text = np.repeat(np.arange(len(texts)), count)
+        right = (count > 0) & (np.bincount(text, ~self.right[segment], len(texts)) == 0)
+        kept = right[text]
+        segment, text = segment[kept], text[kept]
+        sides = []
+        for ids, starts in zip(self.ids, self.starts, strict=True):
+            n = (starts[1:] - starts[:-1])[segment]
+            place = np.arange(n.sum()) + np.repeat(starts[segment] - (np.cumsum(n) - n), n)
+            sides.append((ids[place], np.bincount(text, n, len(texts))[right].astype(np.int64)))
+        return right, sides
+
+
+def align(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, a_size: np.ndarray, b_size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each text the ends of groups as counts of A and of B tokens, and the links as places of A and of B tokens.
 
-    Each text has tokens, and their sizes in bytes have one sum on both sides.
+    a and b hold the ids of all texts in a row, n_a and n_b how many each has; their sizes in bytes have one sum on both sides.
     """
-    a, b = ([np.array(ids, np.int64) for ids in side] for side in (a_ids, b_ids))
-    swapped = [len(x) > len(y) for x, y in zip(a, b, strict=True)]
-    ends_a, ends_b = [np.cumsum(a_size[x]) for x in a], [np.cumsum(b_size[y]) for y in b]
-    base = np.cumsum([0, *(e[-1] for e in ends_a)])
-    short = [(y if s else x) + k for x, y, s, k in zip(ends_a, ends_b, swapped, base[:-1], strict=True)]
-    long = [(x if s else y) + k for x, y, s, k in zip(ends_a, ends_b, swapped, base[:-1], strict=True)]
-    shorts, longs = np.array([len(x) for x in short]), np.array([len(x) for x in long])
+    swapped = (n_a > n_b).tolist()
+    ends = [np.split(np.cumsum(size[ids]), np.cumsum(n)[:-1]) for size, ids, n in ((a_size, a, n_a), (b_size, b, n_b))]  # of one text after the other
+    short = [y if s else x for x, y, s in zip(*ends, swapped, strict=True)]
+    long = [x if s else y for x, y, s in zip(*ends, swapped, strict=True)]
+    shorts, longs = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
     text = np.repeat(np.arange(len(short)), shorts)
     first_short, first_long = np.cumsum(shorts) - shorts, np.cumsum(longs) - longs
     own = np.arange(len(text)) - first_short[text]
     low, high = first_long[text], (first_long + longs - 1)[text]
-    ends, far = np.concatenate(short), np.concatenate(long)
-    rank = gallop(ends, far, low + own * longs[text] // shorts[text], low, high)
-    hit = far[rank] == ends
+    near, far = np.concatenate(short), np.concatenate(long)
+    rank = gallop(near, far, low + own * longs[text] // shorts[text], low, high)
+    hit = far[rank] == near
     begin = np.concatenate([[0], rank[:-1] + hit[:-1]])  # the first token of the long list that overlaps each of the short one
     width = rank - begin + 1
     link_short = np.repeat(own, width)
@@ -123,10 +199,10 @@ def align(a_ids: list[list[int]], b_ids: list[list[int]], a_size: np.ndarray, b_
         yield (*(groups[::-1] if swapped[k] else groups), *(pair[::-1] if swapped[k] else pair))
 
 
-def group_text(a: list[int], b: list[int], a_ends: np.ndarray, b_ends: np.ndarray) -> str:
-    """The groups as ``a1,a2|b1;a3|b2,b3``."""
-    x, y = list(map(str, a)), list(map(str, b))
+def group_text(a: list[int], b: list[int], a_ends: np.ndarray, b_ends: np.ndarray, names: list[str]) -> str:
+    """The groups as ``a1,a2|b1;a3|b2,b3``; names has the digits of each id."""
     out, i, j = [], 0, 0
+    x, y = list(map(names.__getitem__, a)), list(map(names.__getitem__, b))
     for k, m in zip(a_ends.tolist(), b_ends.tolist(), strict=True):
         out.append(f"{x[i]}|{y[j]}" if k - i == 1 and m - j == 1 else f"{','.join(x[i:k])}|{','.join(y[j:m])}")
         i, j = k, m
@@ -141,25 +217,18 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "do
     bounded_batches(docs.sparkSession, 1)
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def block(texts: list[str], encode_a, encode_b, a_table: list[bytes], b_table: list[bytes], a_size: np.ndarray, b_size: np.ndarray) -> list[tuple]:
-        none = (0, 0, 0, 0, "", [], [])
-        a_ids, b_ids = encode_a(texts), encode_b(texts)
-        right = []
-        for k, t in enumerate(texts):
-            whole = (" " + t).encode()
-            if t and b"".join(map(a_table.__getitem__, a_ids[k])) == whole and b"".join(map(b_table.__getitem__, b_ids[k])) == whole:
-                right.append(k)
-        out = [none] * len(texts)
-        if right:
-            for k, (ga, gb, la, lb) in zip(right, align([a_ids[k] for k in right], [b_ids[k] for k in right], a_size, b_size), strict=True):
-                a, b = a_ids[k], b_ids[k]
-                pairs, times = np.unique((np.array(a, np.int64)[la] << 32) + np.array(b, np.int64)[lb], return_counts=True)
-                out[k] = (len(a), len(b), len(ga), len(la), group_text(a, b, ga, gb), pairs, times)
+    def block(texts: list[str], segments: Segments) -> list[tuple]:
+        out: list[tuple] = [(0, 0, 0, 0, "", [], [])] * len(texts)
+        right, ((a, n_a), (b, n_b)) = segments.encoded(texts)
+        if right.any():
+            ids_a, ids_b = (np.split(ids, np.cumsum(n)[:-1]) for ids, n in ((a, n_a), (b, n_b)))
+            for k, x, y, (ga, gb, la, lb) in zip(np.flatnonzero(right).tolist(), ids_a, ids_b, align(a, b, n_a, n_b, *segments.sizes), strict=True):
+                pairs, times = np.unique((x[la] << 32) + y[lb], return_counts=True)
+                out[k] = (len(x), len(y), len(ga), len(la), group_text(x.tolist(), y.tolist(), ga, gb, segments.names), pairs, times)
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (encode_a, a_table), (encode_b, b_table) = _byte_level(a_path), _pieces(b_path)
-        sizes = [np.array(list(map(len, t)), np.int64) for t in (a_table, b_table)]
+        segments = Segments(*_byte_level(a_path), *_pieces(b_path))
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -169,7 +238,7 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "do
                 while stop < len(texts) and (stop == at or total + len(texts[stop]) <= TOGETHER):
                     total += len(texts[stop])
                     stop += 1
-                n_a, n_b, n_groups, n_links, groups, pairs, times = zip(*block(texts[at:stop], encode_a, encode_b, a_table, b_table, *sizes), strict=True)
+                n_a, n_b, n_groups, n_links, groups, pairs, times = zip(*block(texts[at:stop], segments), strict=True)
                 lists = lambda x, t: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate([np.asarray(v, np.int64) for v in x]), pa.int64()).cast(t))
                 counts = [pa.array(v, pa.int64()) for v in (n_a, n_b, n_groups, n_links)]
                 columns = [pa.array(np.arange(row, row + stop - at)), batch.column(0).slice(at, stop - at), *counts, pa.array(groups, pa.string()), lists(pairs, pa.int64()), lists(times, pa.int64())]

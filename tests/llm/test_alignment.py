@@ -59,6 +59,7 @@ def test_gallop_finds_ranks():
 
 def test_query_against_every_pair(spark, tmp_path):
     odd = [None, "", " ", "a", "\u2581 x", "<|endoftext|> <s> </s> <0x41>", "\u00e9\u65e5\u672c \U0001f600 tab\tline\n\n", "  lead and trail  ", "\ufb01 \u212b", "\x00", "aaaa" * 200]
+    odd += [" \n  a b\n c \t d  ", "x\u0085 y\u00a0 z\u2003 w", "a\x1c b\x1f c", "don't  stop 12 3,4  '\u2019 ll", "a\u200b \u180e b \ufeff c", "\n", " \n ", "a " * 40 + " "]
     prose = ["the cat sat on the mat's edge " * k for k in range(1, 5)]
     rows = [(i, t) for i, t in enumerate(odd + prose)] + [(3, "a"), (None, "the cat")]
     spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, row long, pairs string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
@@ -78,6 +79,20 @@ def test_documents_with_and_without_frequent_pairs(spark, llm_dir, monkeypatch,
     assert all(r.n_links == r.n_a + r.n_b - r.n_groups for r in kept.collect())
 
 
+def test_segments_give_the_ids_of_whole_texts(llm_dir, spark):
+    """Every code point of the lower planes beside letters, digits and blanks, and the texts of the table."""
+    segments = alignment.Segments(*alignment._byte_level(A), *alignment._pieces(B))
+    chars = [chr(c) for c in [*range(0x0, 0xD800, 7), *range(0xE000, 0x11000, 31)]]
+    texts = [f"a{c} b {c}c 1{c} {c} {c}{c}  {c} x" for c in chars] + [r.text for r in spark.read.parquet(f"{llm_dir}/documents.parquet").collect() if r.text]
+    encode_a, encode_b = segments.encode
+    for at in range(0, len(texts), 500):
+        part = texts[at : at + 500]
+        right, ((a, n_a), (b, n_b)) = segments.encoded(part)
+        kept = [t for t, r in zip(part, right, strict=True) if r]
+        for want, ids, n in ((encode_a(kept), a, n_a), (encode_b(kept), b, n_b)):
+            assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert alignment.link_statistics(docs, A, B).count() == 0
