@@ -60,3 +60,29 @@ def sample_per_group(df: DataFrame, keys: list[str], ids: list[str], n: int, see
 def hash_split(df: DataFrame, ids: list[str], test_percent: int = 20, seed: int = 42) -> DataFrame:
     """df with the boolean test; a row's side depends on its ids alone."""
     return df.withColumn("test", portable_hash(seed, *ids) % 100 < test_percent)
+
+
+def grams(text: Column, size: int) -> Column:
+    """The different stretches of ``size`` characters in text; none in a shorter or null text."""
+    n = F.char_length(text) - size + 1
+    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(text, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+
+
+def containing(left: DataFrame, text: str, right: DataFrame, needle: str, size: int = 3) -> DataFrame:
+    """left joined to right where text holds needle, letter for letter; nulls and empty needles meet nothing.
+
+    Different texts are indexed by their grams of up to ``size`` characters, needles look up their rarest gram alone, and what
+    they meet is checked. So there is no nested loop: work follows the rows of the needles' rarest grams.
+    """
+    texts = left.select(F.col(text).alias("text__")).filter("text__ IS NOT NULL").distinct()
+    needles = right.select(F.col(needle).alias("needle__")).filter("needle__ != ''").distinct()
+    spans = F.flatten(F.array(*[F.transform(grams(F.col("text__"), k), lambda g: g) for k in range(1, size + 1)]))
+    wide = F.least(F.char_length("needle__"), F.lit(size))
+    own = F.coalesce(*[F.when(wide == k, grams(F.col("needle__"), k)) for k in range(1, size + 1)])
+    asked = needles.select("needle__", F.explode(own).alias("gram"))
+    index = texts.select("text__", F.explode(spans).alias("gram")).join(asked.select("gram").distinct(), "gram", "left_semi")
+    counts = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = asked.join(counts, "gram", "left").groupBy("needle__").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    pairs = rarest.join(index, "gram").filter(F.contains("text__", "needle__")).select("text__", "needle__")
+    met = left.join(pairs, F.col(text) == F.col("text__")).drop("text__")
+    return met.join(right.withColumnRenamed(needle, "needle__"), "needle__").withColumnRenamed("needle__", needle)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from brindle.session import kept
+
 
 def positioned(df: DataFrame, keys: list[str], *order: str, name: str = "n", bucket: Column | None = None) -> DataFrame:
     """df with 0, 1, 2 ... within each key, in the given order.
@@ -89,19 +92,39 @@ def segments(df: DataFrame, duration: str, length: float, least: float = 0) -> D
     return spread.withColumn("start_time", start).withColumn("end_time", F.least(start + F.lit(float(length)), d.cast("double")))
 
 
-def retry_segments(duration: float, works: set[tuple[float, float]], length: float = 3600.0, shrink: float = 300.0) -> list[tuple[float, float, bool]]:
-    """The segments that a resumable job takes over one recording's metadata: a failing segment shrinks by ``shrink`` until it
-    works or is given up, then the next one starts after it at full length. works holds the spans that succeed. Spans never
-    overlap."""
-    out, start = [], 0.0
-    while start < duration:
-        size = length
-        while size > 0 and (start, min(start + size, duration)) not in works:
-            size -= shrink
-        if size > 0:
-            out.append((start, min(start + size, duration), True))
-            start += size
-        else:
-            out.append((start, min(start + length, duration), False))
-            start += length
-    return out
+def adaptive_segments(
+    recordings: DataFrame, keys: list[str], duration: str, attempt: Callable[[DataFrame], DataFrame], length: float = 3600.0, shrink: float = 300.0, done: DataFrame | None = None
+) -> DataFrame:
+    """keys, segment, start_time, end_time and ok: the segments that a resumable job takes over every recording.
+
+    attempt gets segments (the columns of recordings, start_time and end_time) and adds the boolean ok, which tells whether the
+    work on a segment succeeded; null is no. A segment that fails is tried again, shorter by ``shrink``, until it works or
+    nothing is left of it; then a row with ok = false stands for its full length. The next one begins where it ends, at full
+    length, so segments of a recording never overlap. All recordings take a step at once: the frontier is a table, kept after
+    each step, and a step is one attempt of every recording that is not at its end. done holds the rows of an earlier run; its
+    recordings go on after their last segment. A duration that is null or not above 0 has no segment.
+    """
+    columns = recordings.columns
+    d = F.col(duration).cast("double")
+    begun = recordings.filter(d > 0)
+    first = [F.lit(0.0).alias("start_time"), F.lit(0).cast("long").alias("segment")]
+    if done is not None:
+        last = done.groupBy(*keys).agg(F.max("end_time").alias("start__"), F.max("segment").alias("segment__"))
+        begun = begun.join(last, keys, "left").filter(F.coalesce("start__", F.lit(0.0)) < d)
+        first = [F.coalesce("start__", F.lit(0.0)).alias("start_time"), (F.coalesce("segment__", F.lit(-1)) + 1).cast("long").alias("segment")]
+    frontier = kept(begun.select(*columns, *first, F.lit(float(length)).alias("size__")))
+    names = [*keys, "segment", "start_time", "end_time", "ok"]
+    found = [] if done is None else [done.select(*names)]
+    empty = frontier.limit(0).select(*keys, "segment", "start_time", F.col("start_time").alias("end_time"), F.lit(True).alias("ok"))
+    while not frontier.isEmpty():
+        end = lambda size: F.least(F.col("start_time") + size, d)
+        tried = kept(attempt(frontier.withColumn("end_time", end(F.col("size__")))).withColumn("ok", F.coalesce("ok", F.lit(False))))
+        shorter = F.col("size__") - F.lit(float(shrink))
+        over = F.col("ok") | (shorter <= 0)
+        stop = F.when(F.col("ok"), F.col("end_time")).otherwise(end(F.lit(float(length))))
+        found.append(tried.filter(over).withColumn("end_time", stop).select(*names))
+        ahead = tried.select(  # the next segment of what is over, the shorter one of what is not
+            *columns, F.when(over, stop).otherwise(F.col("start_time")).alias("start_time"), (F.col("segment") + over.cast("int")).alias("segment"), F.when(over, float(length)).otherwise(shorter).alias("size__")
+        )
+        frontier = kept(ahead.filter(F.col("start_time") < d))
+    return reduce(lambda a, b: a.unionByName(b), found) if found else empty

@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.operators import cohort, ml
+from brindle.operators import cohort, ml, network
 from brindle.plans.catalog import query
 from brindle.session import table
 
@@ -104,3 +104,34 @@ def pca95(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, kept = ml.prepared(_matrix(spark, sf_dir), _NAMES)
     model, _ = ml.components(rows, kept)
     return model.transform(rows).select("vec_id", vector_to_array("pca").alias("components"))
+
+
+def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """The prepared and scaled features with the boolean train."""
+    rows, kept = ml.prepared(_matrix(spark, sf_dir), _NAMES)
+    split = cohort.hash_split(rows, ["vec_id"]).withColumn("train", ~F.col("test"))
+    return ml.scaled(split, kept, "train"), kept
+
+
+@query("ml_autoencoder")
+def ml_autoencoder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code of every row by an autoencoder d-128-32-128-d that learned from the training part, and the error of its reconstruction; tests check gradients and losses."""
+    ready, kept = _split(spark, sf_dir)
+    made = network.trained(ready.filter("train"), kept, None, [128, 32, 128], epochs=20)
+    rows = network.coded(network.applied(ready, made, kept, "again"), made, kept)
+    far = F.zip_with(F.array(*[F.col(c) for c in kept]), "again", lambda a, b: (a - b) * (a - b))
+    return rows.select("vec_id", "train", "code", (F.aggregate(far, F.lit(0.0), lambda t, v: t + v) / len(kept)).alias("error"))
+
+
+@query("ml_relu_fit")
+def ml_relu_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A classifier of 64 and 32 ReLU units and a sigmoid on the codes of an autoencoder: AUC and accuracy on the test part."""
+    ready, kept = _split(spark, sf_dir)
+    encoder = network.trained(ready.filter("train"), kept, None, [128, 32, 128], epochs=20)
+    size = min(w.shape[1] for w in encoder.weights)
+    codes = [f"code{i}" for i in range(size)]
+    rows = network.coded(ready, encoder, kept).select("vec_id", "y", "train", *[F.col("code")[i].alias(c) for i, c in enumerate(codes)])
+    made = network.trained(rows.filter("train"), codes, "y", [64, 32], epochs=20)
+    tested = network.applied(rows.filter("NOT train"), made, codes, "p").select("y", F.col("p")[0].alias("score"))
+    right = tested.agg(F.avg(((F.col("score") >= 0.5).cast("int") == F.col("y")).cast("double")).alias("accuracy"))
+    return ml.publishable(ml.auc(tested, [], "y", "score").join(right), "auc")  # one row by one row

@@ -56,8 +56,38 @@ def test_epochs_segments_and_partial_windows(spark):
     assert got == [(3600.0, 0, 0.0, 3600.0), (3601.0, 0, 0.0, 3600.0), (3601.0, 1, 3600.0, 3601.0), (600.0, 0, 0.0, 600.0)]
 
 
-def test_retried_segments_never_overlap():
-    assert windows.retry_segments(7000, {(0.0, 3000.0), (3000.0, 6600.0)}) == [(0.0, 3000.0, True), (3000.0, 6600.0, True), (6600.0, 7000.0, False)]
+def test_adaptive_segments_shrink_fail_and_resume(spark):
+    """One recording fails at full length, one never works, one is short, two have no duration; then a run goes on from its first rows."""
+    rec = spark.createDataFrame([("a", 7000.0), ("never", 4000.0), ("short", 100.0), ("none", None), ("zero", 0.0)], "r string, d double")
+    works = {("a", 0.0, 3000.0), ("a", 3000.0, 6600.0), ("short", 0.0, 100.0)}
+    seen = []
+
+    def attempt(df):
+        ok = F.lit(None).cast("boolean")
+        for r, s, e in works:
+            ok = F.when((F.col("r") == r) & (F.col("start_time") == s) & (F.col("end_time") == e), True).otherwise(ok)
+        seen.append(df.count())
+        return df.withColumn("ok", ok)
+
+    full = windows.adaptive_segments(rec, ["r"], "d", attempt, shrink=600)
+    rows = sorted(map(tuple, full.collect()))
+    assert rows == [("a", 0, 0.0, 3000.0, True), ("a", 1, 3000.0, 6600.0, True), ("a", 2, 6600.0, 7000.0, False), ("never", 0, 0.0, 3600.0, False), ("never", 1, 3600.0, 4000.0, False), ("short", 0, 0.0, 100.0, True)]
+    assert seen[0] == 3 and seen[1] == 2
+    again = windows.adaptive_segments(rec, ["r"], "d", attempt, shrink=600, done=full.filter("segment = 0"))
+    assert sorted(map(tuple, again.collect())) == rows
+    assert windows.adaptive_segments(rec, ["r"], "d", attempt, done=full).count() == len(rows) and windows.adaptive_segments(rec.limit(0), ["r"], "d", attempt).count() == 0
+
+
+def test_containment_by_grams(spark):
+    from brindle.operators import cohort
+
+    rng = random.Random(2)
+    texts = [(i, "".join(rng.choice("abc") for _ in range(rng.randint(0, 9)))) for i in range(80)] + [(90, None), (91, "abcabc"), (92, "abcabc"), (93, "a\U0001f600b")]
+    needles = [("".join(rng.choice("abc") for _ in range(rng.randint(0, 5))), k) for k in range(40)] + [(None, 50), ("abcabc", 51), ("a", 52), ("\U0001f600", 53), ("zzz", 54)]
+    left, right = spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame(needles, "needle string, k int")
+    out = cohort.containing(left, "text", right, "needle")
+    assert sorted((r.id, r.k) for r in out.collect()) == sorted((i, k) for i, t in texts for n, k in needles if t is not None and n and n in t)
+    assert sorted(out.columns) == ["id", "k", "needle", "text"] and "NestedLoop" not in out._jdf.queryExecution().toString()
 
 
 def test_matching_takes_each_person_once(spark):
