@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -167,6 +168,18 @@ def without_columns(df: DataFrame, fragments: list[str]) -> DataFrame:
     return unique.select(*[F.col(f"c{i}").alias(df.columns[i]) for i in kept])
 
 
+def split_at(df: DataFrame, marker: str) -> tuple[list[str], list[str]]:
+    """The names before the first column whose name contains marker, and that one with those after it; all before without one."""
+    at = next((i for i, c in enumerate(df.columns) if marker in c), len(df.columns))
+    return df.columns[:at], df.columns[at:]
+
+
+def templated(template: str, **parts: Column) -> Column:
+    """A path from a template with {names}; null if a part is."""
+    pieces = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[parts[p].cast("string") if k % 2 else F.lit(p) for k, p in enumerate(pieces)])
+
+
 def first_of_each_name(df: DataFrame) -> DataFrame:
     """df with the first of the columns of each name."""
     kept = [i for i, c in enumerate(df.columns) if c not in df.columns[:i]]

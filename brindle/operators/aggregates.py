@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -145,6 +146,23 @@ def histogram(df: DataFrame, name: str, bins: int, keys: list[str]) -> DataFrame
     return rows.groupBy(*keys, F.least(F.floor(place), F.lit(bins - 1)).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def density(df: DataFrame, name: str, keys: list[str], points: int = 64) -> DataFrame:
+    """x and density by keys on points equal steps from the least to the largest value of all: Gaussian kernels of Scott's width.
+
+    Different values are counted before they meet the points. Groups of fewer than two values, or without spread, have no row.
+    """
+    x = quoted(name).cast("double")
+    rows = df.filter(x.isNotNull()).select(F.struct(*keys or [F.lit(0).alias("all")]).alias("key__"), x.alias("x__"))
+    ends = rows.agg(F.min("x__").alias("low__"), F.max("x__").alias("high__"))
+    widths = rows.groupBy("key__").agg(F.count(F.lit(1)).alias("n__"), F.stddev_samp("x__").alias("sd__")).filter("n__ > 1 AND sd__ > 0")
+    widths = widths.withColumn("h__", F.col("sd__") * F.pow(F.col("n__").cast("double"), F.lit(-0.2)))
+    counts = rows.groupBy("key__", "x__").agg(F.count(F.lit(1)).alias("c__")).join(widths, "key__").join(F.broadcast(ends))  # one row
+    at = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: F.col("low__") + (F.col("high__") - F.col("low__")) * k / (points - 1))
+    near = counts.withColumn("x", F.explode(at)).withColumn("z__", (F.col("x") - F.col("x__")) / F.col("h__"))
+    part = F.col("c__") * F.exp(-F.col("z__") * F.col("z__") / 2) / (F.col("n__") * F.col("h__") * math.sqrt(2 * math.pi))
+    return near.groupBy("key__", "x").agg(F.sum(part).alias("density")).select(*[F.col("key__")[k].alias(k) for k in keys], "x", "density")
+
+
 def box_plot(df: DataFrame, name: str, keys: list[str], reach: float = 1.5) -> DataFrame:
     """Quartiles, the whiskers' ends (the outermost values within reach times the quartiles' distance) and how many lie beyond."""
     x = quoted(name)

@@ -16,12 +16,21 @@ BIPOLAR = {
 }
 
 
-def legal_channel(name: Column) -> Column:
-    """The electrode that a recorded name means ("EEG F3-Ref", "F3", "F4-C4"); null for all others."""
-    bare = F.regexp_replace(F.trim(name), r"(?i)^EEG\s+|-(REF|LE|AVG)$", "")
+def legal_channel(name: Column, strict: bool = True) -> Column:
+    """The electrode that a recorded name means, null for all others.
+
+    strict: names without "EEG" mean none; without it and blanks at the ends, a name is an electrode or a bipolar pair, letter
+    for letter ("EEG F3", "EEG F4-C4", but not "EEG FP1"). Otherwise any case goes, and bare names and names with a reference
+    ("fp1", "EEG F3-Ref") do too.
+    """
     pairs = F.create_map(*[F.lit(x) for kv in BIPOLAR.items() for x in kv])
-    electrode = F.coalesce(F.try_element_at(pairs, bare), bare)
-    return F.when(electrode.isin(LEGAL_CHANNELS), electrode)
+    if strict:
+        bare = F.trim(F.replace(name, F.lit("EEG"), F.lit("")))
+        electrode = F.coalesce(F.try_element_at(pairs, bare), bare)
+        return F.when(name.contains("EEG") & electrode.isin(LEGAL_CHANNELS), electrode)
+    bare = F.upper(F.regexp_replace(F.trim(name), r"(?i)^EEG\s+|-(REF|LE|AVG)$", ""))
+    known = {c.upper(): c for c in LEGAL_CHANNELS} | {k.upper(): v for k, v in BIPOLAR.items()}
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), bare)
 
 
 def _samples(column, i: int):

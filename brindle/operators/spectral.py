@@ -134,3 +134,32 @@ def average_reference(df: DataFrame, at: list[str], value: str) -> DataFrame:
     """value less the mean over channels at the same position; the mean is joined back, so one position may hold many channels."""
     mean = df.groupBy(*at).agg(F.avg(value).alias("reference__"))
     return df.join(mean, at).withColumn("referenced", F.col(value) - F.col("reference__")).drop("reference__")
+
+
+def spectrogram(rows: DataFrame, keys: list[str], signal: str, rate: float, size: int = 256, overlap: int = 128) -> DataFrame:
+    """keys, time (the middle of a segment), frequency and power: the Hann density of overlapping segments of each row's signal.
+
+    A signal that is null or shorter than a segment has no row.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    taper = np.array(hann(size))
+    times = lambda n: (np.arange(n) * (size - overlap) + size / 2) / rate
+    frequencies = np.arange(size // 2 + 1) * rate / size
+    doubled = np.where((np.arange(len(frequencies)) > 0) & (np.arange(len(frequencies)) * 2 < size), 2.0, 1.0) / (rate * (taper**2).sum())
+
+    def run(batches):
+        for batch in batches:
+            for i, v in enumerate(batch.column(len(keys))):
+                x = v.values.to_numpy(zero_copy_only=False).astype(float) if v.is_valid else np.empty(0)
+                if len(x) < size:
+                    continue
+                cut = np.lib.stride_tricks.sliding_window_view(x, size)[:: size - overlap]
+                power = np.abs(np.fft.rfft(cut * taper, axis=1)) ** 2 * doubled
+                own = [pa.repeat(batch.column(k)[i], power.size) for k in range(len(keys))]
+                found = [np.repeat(times(len(cut)), len(frequencies)), np.tile(frequencies, len(cut)), power.reshape(-1)]
+                yield pa.RecordBatch.from_arrays([*own, *map(pa.array, found)], names=[*keys, "time", "frequency", "power"])
+
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    return rows.select(*keys, signal).mapInArrow(run, f"{kinds}, time double, frequency double, power double")

@@ -134,6 +134,25 @@ def t_and_cohen(df: DataFrame, keys: list[str], group: str, value: str, first: o
     )
 
 
+def t_of_pairs(df: DataFrame, keys: list[str], group: str, value: str) -> DataFrame:
+    """keys, group1, group2, t, df and cohen_d for every pair of groups in name order; one aggregate, whose few rows are paired."""
+    own = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(*keys, group).agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v")).filter("n >= 2")
+    side = lambda k: own.select(*keys, F.col(group).alias(f"group{k}"), *[F.col(c).alias(f"{c}{k}") for c in "nmv"])
+    n1, n2, diff = F.col("n1"), F.col("n2"), F.col("m1") - F.col("m2")
+    pooled = F.sqrt(((n1 - 1) * F.col("v1") + (n2 - 1) * F.col("v2")) / (n1 + n2 - 2))
+    t = diff / F.nullif(pooled * F.sqrt(1 / n1 + 1 / n2), F.lit(0.0))
+    pairs = side(1).join(side(2), keys).filter("group1 < group2")
+    return pairs.select(*keys, "group1", "group2", t.alias("t"), (n1 + n2 - 2).cast("long").alias("df"), (-diff / F.nullif(pooled, F.lit(0.0))).alias("cohen_d"))
+
+
+def fitted_points(df: DataFrame, keys: list[str], y: str, x: str) -> DataFrame:
+    """df's complete pairs with fit and residual by the regression of their group: what a scatter plot with its line draws. Null keys go."""
+    lines = simple_regression(df, keys, y, x).select(*keys, "slope", "intercept")
+    fit = F.col("intercept") + F.col("slope") * F.col(x)
+    points = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).join(lines, keys)
+    return points.withColumn("fit", fit).withColumn("residual", F.col(y) - fit).drop("slope", "intercept")
+
+
 def adjusted(df: DataFrame, p: str, scope: list[str], tiebreak: list[str]) -> DataFrame:
     """Benjamini-Hochberg p-values within each scope (one correction call), and whether they are under 0.05.
 

@@ -316,17 +316,16 @@ def contained_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("adaptive_segments", """
-WITH RECURSIVE o AS (SELECT o_orderkey, o_totalprice / 80 AS duration, 900.0::DOUBLE * (o_orderkey % 5) AS works FROM orders),
+WITH RECURSIVE o AS (SELECT o_orderkey, o_totalprice / 64 AS duration, 900.0::DOUBLE * (o_orderkey % 5) AS works FROM orders),
 steps AS (SELECT o_orderkey, duration, works, 0.0::DOUBLE AS start_time, 3600.0::DOUBLE AS size, 0::BIGINT AS segment, 0.0::DOUBLE AS from_time, NULL::DOUBLE AS end_time, NULL::BOOLEAN AS ok FROM o
   UNION ALL
   SELECT o_orderkey, duration, works, CASE WHEN fine THEN stop WHEN size <= 900 THEN least(start_time + 3600, duration) ELSE start_time END, CASE WHEN fine OR size <= 900 THEN 3600 ELSE size - 900 END,
     CASE WHEN fine OR size <= 900 THEN segment + 1 ELSE segment END, start_time, CASE WHEN fine THEN stop WHEN size <= 900 THEN least(start_time + 3600, duration) END, CASE WHEN fine THEN true WHEN size <= 900 THEN false END
   FROM (SELECT *, least(start_time + size, duration) AS stop, least(start_time + size, duration) - start_time <= works AS fine FROM steps WHERE start_time < duration))
-SELECT o_orderkey, segment - 1 AS segment, round(from_time, 4) AS start_time, round(end_time, 4) AS end_time, ok FROM steps WHERE ok IS NOT NULL
+SELECT o_orderkey, segment - 1 AS segment, from_time AS start_time, end_time, ok FROM steps WHERE ok IS NOT NULL
 """)
 def adaptive_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of durations made of prices; a segment works if it is no longer than the order's key allows, and for one in five none does."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 80).alias("duration"), (F.lit(900.0) * (F.col("o_orderkey") % 5)).alias("works"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 64).alias("duration"), (F.lit(900.0) * (F.col("o_orderkey") % 5)).alias("works"))
     attempt = lambda df: df.withColumn("ok", F.col("end_time") - F.col("start_time") <= F.col("works"))
-    out = windows.adaptive_segments(orders, ["o_orderkey"], "duration", attempt, 3600, 900)
-    return out.select("o_orderkey", "segment", F.round("start_time", 4).alias("start_time"), F.round("end_time", 4).alias("end_time"), "ok")
+    return windows.adaptive_segments(orders, ["o_orderkey"], "duration", attempt, 3600, 900)

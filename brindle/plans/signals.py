@@ -186,12 +186,27 @@ def feature_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("value", F.round("value", 6))
 
 
-@query("legal_channels", "SELECT c_custkey, CASE c_nationkey % 3 WHEN 0 THEN 'F4' WHEN 1 THEN 'T5' END AS electrode FROM customer")
+@query("legal_channels", """
+SELECT c_custkey, CASE c_nationkey % 7 WHEN 0 THEN 'F4' WHEN 1 THEN 'T5' END AS electrode, CASE c_nationkey % 7 WHEN 0 THEN 'F4' WHEN 1 THEN 'T5' WHEN 2 THEN 'Fp1' WHEN 3 THEN 'F3' WHEN 4 THEN 'Cz' END AS loose FROM customer
+""")
 def legal_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recorded names of three notations, one of no electrode, and the electrode of each."""
-    n = F.col("c_nationkey") % 3
-    name = F.when(n == 0, "EEG F4-Ref").when(n == 1, "T5-O1").otherwise("ECG")
-    return table(spark, sf_dir, "customer").select("c_custkey", recording.legal_channel(name).alias("electrode"))
+    """Recorded names of seven notations and the electrode of each, by the strict rule and by the loose one."""
+    n = F.col("c_nationkey") % 7
+    name = F.when(n == 0, "EEG F4").when(n == 1, " EEG T5-O1").when(n == 2, "EEG FP1").when(n == 3, "EEG F3-Ref").when(n == 4, "Cz").when(n == 5, "ECG").otherwise("EEG F4-X1")
+    return table(spark, sf_dir, "customer").select("c_custkey", recording.legal_channel(name).alias("electrode"), recording.legal_channel(name, strict=False).alias("loose"))
+
+
+@query("spectrogram", """
+WITH m AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS x FROM embeddings, generate_series(1, 64) AS t(i) GROUP BY label, i),
+c AS (SELECT label, w, i - w * 8 - 1 AS j, x * (0.5 - 0.5 * cos(2 * pi() * (i - w * 8 - 1) / 16)) AS y FROM m, range(7) AS t(w) WHERE i BETWEEN w * 8 + 1 AND w * 8 + 16),
+p AS (SELECT label, w, k, (sum(y * cos(2 * pi() * k * j / 16))^2 + sum(y * sin(2 * pi() * k * j / 16))^2) * CASE WHEN k IN (0, 8) THEN 1 ELSE 2 END / (16 * 16 * 0.375) AS power FROM c, range(9) AS b(k) GROUP BY label, w, k)
+SELECT label, (w * 8 + 8) / 16.0::DOUBLE AS time, k::DOUBLE AS frequency, round(power, 9) AS power FROM p
+""")
+def spectrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Power by time and frequency of the mean vector of each label, as four seconds at 16 Hz."""
+    x = table(spark, sf_dir, "embeddings").select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
+    signals = x.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("s")).select("label", F.transform("s", lambda s: s["x"]).alias("x"))  # 64 values
+    return spectral.spectrogram(signals, ["label"], "x", 16.0, 16, 8).withColumn("power", F.round("power", 9))
 
 
 @query("fft_magnitudes", """

@@ -58,12 +58,21 @@ def per_channel_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_type", "n1", "n2", F.round("u", 1).alias("u"), F.round("z", 6).alias("z"))
 
 
-@query("per_channel_p_values")
+_SIMPSON = "list_sum(list_transform(range(2001), lambda i: (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * {f})) * {top} / 6000"
+_NORMAL = "1 - 2 / sqrt(2 * pi()) * " + _SIMPSON.format(f="exp(0 - (z * i / 2000)^2 / 2)", top="z")
+_STUDENT = "1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * " + _SIMPSON.format(f="(1 + (t * i / 2000)^2 / df)^(-(df + 1) / 2)", top="abs(t)")
+
+
+@query("per_channel_p_values", "WITH long AS (SELECT event_type, value, CASE WHEN user_id % 2 = 0 THEN 'a' ELSE 'b' END AS side FROM events)" + _MWU_SQL.format(keys="event_type", first="a", second="b").replace("\nSELECT event_type", ",\nr AS (SELECT event_type") + f"""),
+p AS (SELECT *, {_NORMAL} AS p_value FROM r), o AS (SELECT *, row_number() OVER (ORDER BY p_value, event_type) AS j, count(*) OVER () AS tests FROM p), a AS (SELECT *, least(min(p_value * tests / j) OVER (ORDER BY j DESC), 1) AS adj FROM o)
+SELECT event_type, n1, n2, u, z, round(p_value, 5) AS p_value, round(adj, 5) AS adj_p_value, adj < 0.05 AS significant, CASE WHEN adj < 0.001 THEN '***' WHEN adj < 0.01 THEN '**' WHEN adj < 0.05 THEN '*' ELSE 'ns' END AS stars FROM a""")
 def per_channel_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """U tests per channel with corrected p-values and marks; the normal tail has no SQL form."""
+    """U tests per channel with corrected p-values and marks; SQL integrates the normal density."""
     rows = table(spark, sf_dir, "events").select("event_type", "value", F.when(F.col("user_id") % 2 == 0, "a").otherwise("b").alias("side"))
     tested = stats.mann_whitney(rows, ["event_type"], "side", "value", "a", "b").withColumn("p_value", stats.normal_two_sided(F.col("z")))
-    return stats.adjusted(tested, "p_value", [], ["event_type"]).withColumn("stars", C.stars(F.col("adj_p_value")))
+    r = lambda c, n: F.round(c, n).alias(c)
+    marked = stats.adjusted(tested, "p_value", [], ["event_type"]).withColumn("stars", C.stars(F.col("adj_p_value")))
+    return marked.select("event_type", "n1", "n2", r("u", 1), r("z", 6), r("p_value", 5), r("adj_p_value", 5), "significant", "stars")
 
 
 @query("t_test_cohen_d", _LONG_SQL + """, s AS (SELECT variable, count(*) FILTER (side = 'F')::DOUBLE AS n1, count(*) FILTER (side = 'O')::DOUBLE AS n2, avg(value) FILTER (side = 'F') AS m1, avg(value) FILTER (side = 'O') AS m2,
@@ -75,18 +84,19 @@ def t_test_cohen_d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("variable", F.round("t", 6).alias("t"), "df", F.round("cohen_d", 6).alias("cohen_d"))
 
 
-@query("t_test_p_values")
+@query("t_test_p_values", _LONG_SQL + f""", g AS (SELECT variable, flag, count(*)::DOUBLE AS n, avg(value) AS m, var_samp(value) AS v FROM long GROUP BY ALL),
+s AS (SELECT a.variable, a.flag AS group1, b.flag AS group2, a.m - b.m AS diff, a.n + b.n - 2 AS df, 1 / a.n + 1 / b.n AS w, sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2)) AS sd FROM g a JOIN g b ON a.variable = b.variable AND a.flag < b.flag),
+y AS (SELECT *, diff / (sd * sqrt(w)) AS t FROM s), p AS (SELECT *, {_STUDENT} AS p_value FROM y),
+o AS (SELECT *, row_number() OVER (PARTITION BY variable ORDER BY p_value, group1, group2) AS j, count(*) OVER (PARTITION BY variable) AS tests FROM p), a AS (SELECT *, least(min(p_value * tests / j) OVER (PARTITION BY variable ORDER BY j DESC), 1) AS adj FROM o)
+SELECT variable, group1, group2, round(t, 6) AS t, df::BIGINT AS df, round(-diff / sd, 6) AS cohen_d, round(p_value, 5) AS p_value, round(adj, 5) AS adj_p_value, adj < 0.05 AS significant FROM a""")
 def t_test_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of return flags on every variable, with p-values by the incomplete beta function."""
-    long, out = _long(spark, sf_dir), None
-    for a, b in (("A", "N"), ("A", "R"), ("N", "R")):
-        part = stats.t_and_cohen(long, ["variable"], "flag", "value", a, b).select("variable", F.lit(a).alias("group1"), F.lit(b).alias("group2"), "t", "df", "cohen_d")
-        out = part if out is None else out.unionByName(part)
-    tested = out.withColumn("p_value", stats.student_two_sided(F.col("t"), F.col("df").cast("double")))
-    return stats.adjusted(tested, "p_value", ["variable"], ["group1", "group2"])
+    """All pairs of return flags on every variable from one aggregate, with p-values by the incomplete beta function; SQL integrates Student's density."""
+    tested = stats.t_of_pairs(_long(spark, sf_dir), ["variable"], "flag", "value")
+    tested = tested.withColumn("p_value", stats.student_two_sided(F.col("t"), F.col("df").cast("double")))
+    r = lambda c, n: F.round(c, n).alias(c)
+    return stats.adjusted(tested, "p_value", ["variable"], ["group1", "group2"]).select("variable", "group1", "group2", r("t", 6), "df", r("cohen_d", 6), r("p_value", 5), r("adj_p_value", 5), "significant")
 
 
-_SIMPSON = "list_sum(list_transform(range(2001), lambda i: (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * {f})) * {top} / 6000"
 _COMPARE_SQL = """
 WITH long AS (SELECT 'balance' AS variable, c_mktsegment AS grp, c_acctbal AS value FROM customer
   UNION ALL SELECT 'mean order', c_mktsegment, avg(o_totalprice) FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_mktsegment)""" + _K2_SQL + """,
@@ -98,8 +108,7 @@ r AS (SELECT variable, group1, group2, sum(rank * one)::DOUBLE AS r1, sum(tie::D
 x AS (SELECT variable, group1, group2, exp(-k2 / 2) < 0.05 AS by_rank, n1 + n2 - 2 AS df, r1 - n1 * (n1 + 1) / 2 AS u, sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) AS sd, m1 - m2 AS diff,
   n1, n2, sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS su FROM pairs JOIN r USING (variable, group1, group2) JOIN k USING (variable)),
 y AS (SELECT *, diff / (sd * sqrt(1 / n1 + 1 / n2)) AS t, greatest(abs(u - n1 * n2 / 2) - 0.5, 0) / su AS z FROM x),
-p AS (SELECT *, CASE WHEN by_rank THEN 1 - 2 / sqrt(2 * pi()) * """ + _SIMPSON.format(f="exp(0 - (z * i / 2000)^2 / 2)", top="z") + """
-  ELSE 1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * """ + _SIMPSON.format(f="(1 + (t * i / 2000)^2 / df)^(-(df + 1) / 2)", top="abs(t)") + """ END AS p_value FROM y),
+p AS (SELECT *, CASE WHEN by_rank THEN """ + _NORMAL + " ELSE " + _STUDENT + """ END AS p_value FROM y),
 b AS (SELECT *, row_number() OVER (ORDER BY p_value, variable, group1, group2) AS j, count(*) OVER () AS tests FROM p),
 a AS (SELECT *, least(min(p_value * tests / j) OVER (ORDER BY j DESC), 1) AS adj FROM b)
 SELECT variable, group1, group2, CASE WHEN by_rank THEN 'Mann-Whitney U' ELSE 'T-test' END AS test, round(CASE WHEN by_rank THEN u ELSE t END, 4) AS statistic, round(p_value, 5) AS p_value,

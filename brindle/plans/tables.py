@@ -139,3 +139,36 @@ def _clinical(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.avg("o_totalprice").alias("y"))
     wide = table(spark, sf_dir, "customer").join(y, "c_custkey")
     return wide.select((F.col("c_acctbal") > 0).cast("double").alias("positive"), (F.col("c_nationkey") % 3).cast("double").alias("level (0-2)"), F.col("c_acctbal").alias("balance"), "y")
+
+
+@query("tidied_columns", """
+SELECT c_custkey, trim('  ' || c_name || ' ') AS c_name, c_mktsegment, c_acctbal, 'figures/' || c_mktsegment || '/' || c_nationkey || '.png' AS path FROM customer WHERE c_mktsegment <> 'MACHINERY'
+UNION ALL SELECT c_custkey, c_name, c_mktsegment, c_acctbal, NULL FROM customer WHERE c_mktsegment = 'MACHINERY'
+""")
+def tidied_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with padded names and a name twice: the first of each name, trimmed, those of the columns before the balance that speak of keys, names or segments, the balance, and a path from a template."""
+    raw = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("  "), "c_name", F.lit(" ")).alias("c_name"), "c_nationkey", "c_mktsegment", F.lit("again").alias("c_name"), "c_acctbal")
+    tidy = C.trimmed(C.first_of_each_name(raw))
+    before, after = C.split_at(tidy, "acctbal")
+    segment = F.when(F.col("c_mktsegment") != "MACHINERY", F.col("c_mktsegment"))
+    path = C.templated("figures/{segment}/{nation}.png", segment=segment, nation=F.col("c_nationkey"))
+    return tidy.select(*C.columns_like(tidy.select(*before), "custkey", "name", "segment"), *after, path.alias("path"))
+
+
+@query("scatter_with_fit", """
+WITH r AS (SELECT l_returnflag, regr_slope(l_extendedprice, l_quantity) AS a, regr_intercept(l_extendedprice, l_quantity) AS b FROM lineitem WHERE l_linenumber <> 3 GROUP BY 1)
+SELECT l_returnflag, l_quantity, l_extendedprice, round(b + a * l_quantity, 3) AS fit, round(l_extendedprice - b - a * l_quantity, 3) AS residual FROM lineitem JOIN r USING (l_returnflag) WHERE l_linenumber <> 3
+""")
+def scatter_with_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices over quantities with the line of their return flag; lines of number 3 lack a quantity."""
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", F.when(F.col("l_linenumber") != 3, F.col("l_quantity")).alias("l_quantity"), "l_extendedprice")
+    return stats.fitted_points(rows, ["l_returnflag"], "l_extendedprice", "l_quantity").withColumns({c: F.round(c, 3) for c in ("fit", "residual")})
+
+
+@query("density_table", """
+WITH e AS (SELECT min(c_acctbal) AS low, max(c_acctbal) AS high FROM customer), g AS (SELECT k, low + (high - low) * k / 31.0::DOUBLE AS x FROM e, generate_series(0, 31) AS t(k)),
+w AS (SELECT c_mktsegment, count(*) AS n, stddev_samp(c_acctbal) * pow(count(*), -0.2) AS h FROM customer GROUP BY 1)
+SELECT c_mktsegment, round(x, 4) AS x, round(sum(exp(0 - ((x - c_acctbal) / h)^2 / 2)) / any_value(n * h * sqrt(2 * pi())), 9) AS density FROM customer JOIN w USING (c_mktsegment), g GROUP BY c_mktsegment, x
+""")
+def density_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.density(table(spark, sf_dir, "customer"), "c_acctbal", ["c_mktsegment"], 32).select("c_mktsegment", F.round("x", 4).alias("x"), F.round("density", 9).alias("density"))

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.functions.columns import coerce_numeric
+
 
 def inventory(spark: SparkSession, folder: str, suffix: str = "", least_bytes: int = 0) -> DataFrame:
     """path, size and file_name of the files below a folder; contents are not read."""
@@ -20,11 +22,12 @@ def with_patient(files: DataFrame, pattern: str = r"\d{3}-(\d{3})", group: int =
     return files.withColumn("patient_number", F.nullif(F.regexp_extract("file_name", pattern, group), F.lit(""))).orderBy("patient_number", "path")
 
 
-def csv_union(spark: SparkSession, folder: str) -> DataFrame:
+def csv_union(spark: SparkSession, folder: str, typed: bool = False) -> DataFrame:
     """All CSV files below a folder, united by column name, with csv_file_name in front; files without a header line are skipped.
 
     Spark reads files of one schema by position, so files are read in groups of equal headers. One small job reads the first
-    lines; the driver gets one line for each different header.
+    lines; the driver gets one line for each different header. typed: columns whose every value in all files is a number or
+    null become doubles; otherwise all are text.
     """
     lines = spark.read.text(folder, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
     first = lines.filter((F.col("start") == 0) & (F.trim("value") != "")).groupBy("path").agg(F.first("value").alias("header"))
@@ -37,7 +40,8 @@ def csv_union(spark: SparkSession, folder: str) -> DataFrame:
     for _, paths in sorted(groups.items()):
         part = spark.read.csv(sorted(paths), header=True)
         parts.append(part.select(F.col("_metadata.file_name").alias("csv_file_name"), *[F.col(f"`{c}`") for c in part.columns]))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return coerce_numeric(united, united.columns[1:]) if typed else united
 
 
 def dictionary(spark: SparkSession, path: str) -> DataFrame:

@@ -246,7 +246,9 @@ def test_recorded_names_and_odd_signals(spark):
     from brindle.operators import recording
 
     names = spark.createDataFrame([("EEG F4-Ref",), (" Fp1 ",), ("T5-O1",), ("ECG",), (None,)], "n string")
-    assert [r[0] for r in names.select(recording.legal_channel(F.col("n"))).collect()] == ["F4", "Fp1", "T5", None, None]
+    assert [r[0] for r in names.select(recording.legal_channel(F.col("n"), strict=False)).collect()] == ["F4", "Fp1", "T5", None, None]
+    strict = spark.createDataFrame([("EEG F4",), ("EEG F3-Ref",), ("Fp1",), ("EEG FP1",), (" F4-C4 EEG",), (None,)], "n string")
+    assert [r[0] for r in strict.select(recording.legal_channel(F.col("n"))).collect()] == ["F4", None, None, None, "F4", None]
     odd = spark.createDataFrame([("r", "flat", [1.0] * 40), ("r", "short", [1.0, 2.0]), ("r", "none", None), ("r", "empty", [])], "rec string, ch string, x array<double>")
     got = {(r.ch, r.metric): r.value for r in recording.feature_long(odd, "rec", "ch", "x", 16, 1, 7).collect()}
     assert got["flat", "mean_mpf"] is None and got["flat", "psd_std"] == 0 and got["flat", "pswe_percentage"] == 0 and got["flat", "median"] == 1

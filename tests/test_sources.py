@@ -119,6 +119,9 @@ def test_csv_files_with_different_headers(spark, tmp_path):
     assert got.columns[0] == "csv_file_name"
     assert sorted((r.csv_file_name, r.x, r.y, r.z) for r in got.collect() if r.x is None) == [("b.csv", None, "3", "4"), ("b.csv", None, "5", "6")]
     assert got.count() == 3
+    (tmp_path / "c.csv").write_text("y,w\n7.5,north\n")
+    typed = files.csv_union(spark, str(tmp_path), typed=True)
+    assert dict(typed.dtypes) == {"csv_file_name": "string", "x": "double", "y": "double", "z": "double", "w": "string"} and typed.filter("y = 7.5").first().w == "north"
 
 
 def test_dictionary_and_sheets(spark, tmp_path):
