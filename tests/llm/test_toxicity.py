@@ -70,7 +70,7 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 5), (2, "", 5), (None, "x", 5), (3, "a" * 5000, 5), (3, "a" * 5000, 5)], "doc_id long, text string, score int")
     no_labels = spark.createDataFrame([(1, None)], "doc_id long, toxic int")
     model = toxicity.fit(docs, no_labels)
-    assert [r.score for r in toxicity.score_documents(docs, model).collect()] == [0.5] * 5
+    assert all(0 <= r.score < 0.3 and r.predicted == 0 for r in toxicity.score_documents(docs, model).collect())  # predicted follows the score
     trained = toxicity.train(["good day", "bad blob"] * 20, [0, 1] * 20, [1.0] * 40)
     kept = toxicity.drop_toxic(docs, trained)
     assert kept.columns == docs.columns and kept.count() <= 5
