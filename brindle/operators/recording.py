@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.operators import spectral, windows
 from brindle.operators.aggregates import with_quantiles
+from brindle.session import kept
 
 # The channels of the 10-20 montage that are kept, and the electrode that stands for each bipolar pair.
 LEGAL_CHANNELS = ["Fp1", "Fp2", "F3", "F4", "C3", "C4", "P3", "P4", "O1", "O2", "F7", "F8", "T3", "T4", "T5", "T6", "Fz", "Cz", "Pz", "A1", "A2", "Fpz", "Oz"]
@@ -134,7 +135,7 @@ def feature_long(rows: DataFrame, recording: str, channel: str, signal: str, rat
     """
     keys = [recording, channel]
     bands = {f"{b}_power": limits for b, limits in spectral.BANDS.items()}
-    seconds = second_spectra(rows, keys, signal, rate, low, high)
+    seconds = kept(second_spectra(rows, keys, signal, rate, low, high))  # one row a second, which several sums read
     spectra = seconds.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("seconds"), F.avg("power").alias("psd_mean"), F.avg("spread").alias("psd_std"), F.avg("mpf").alias("mean_mpf"),
         F.median("mpf").alias("median_mpf"), F.avg("dominant").alias("dfv_mean"), F.stddev_pop("dominant").alias("dfv_std"),
