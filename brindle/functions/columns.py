@@ -36,7 +36,7 @@ def prefixed(df: DataFrame, prefix: str, key: str) -> DataFrame:
 
 
 def to_front(df: DataFrame, name: str) -> DataFrame:
-    return df.select(name, *[c for c in df.columns if c != name])
+    return df.select(quoted(name), *[quoted(c) for c in df.columns if c != name])
 
 
 def capitalised(text: Column) -> Column:

@@ -115,10 +115,10 @@ steps AS (SELECT *, (power + lag(power) OVER (PARTITION BY vec_id, band ORDER BY
 power AS (SELECT vec_id, any_value(label) AS label, band, COALESCE(sum(area) FILTER (inside), 0) AS power, sum(area) AS whole FROM steps GROUP BY vec_id, band)"""
 
 
-def _bands(spark: SparkSession, sf_dir: str, relative: bool = False) -> DataFrame:
+def _bands(spark: SparkSession, sf_dir: str, relative: bool = False, window: float | None = None) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"), (F.col("embedding")[0] > 0.1).alias("high"))
     bands = {name: (low, min(high, 32)) for name, (low, high) in spectral.BANDS.items()}
-    return spectral.band_powers(rows, ["vec_id", "label", "high"], "x", 64.0, bands, relative)
+    return spectral.band_powers(rows, ["vec_id", "label", "high"], "x", 64.0, bands, relative, window)
 
 
 @query("welch_band_powers", _WELCH + " SELECT vec_id, " + ", ".join(f"round(max(power) FILTER (band = '{b}'), 8) AS {b}_power" for b in spectral.BANDS) + " FROM power GROUP BY vec_id")
@@ -133,6 +133,15 @@ def relative_band_powers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bands(spark, sf_dir, relative=True).select("vec_id", *[F.round(b, 6).alias(f"{b}_share") for b in spectral.BANDS])
 
 
+_HALF = _WELCH.replace("('delta', 1, 4, 64), ('theta', 4, 8, 32), ('alpha', 8, 12, 16), ('beta', 12, 30, 10), ('gamma', 30, 32, 4)", "('delta', 1, 4, 32), ('theta', 4, 8, 32), ('alpha', 8, 12, 32), ('beta', 12, 30, 32), ('gamma', 30, 32, 32)")
+
+
+@query("fixed_window_powers", _HALF + " SELECT vec_id, " + ", ".join(f"round(max(power) FILTER (band = '{b}'), 8) AS {b}_power" for b in spectral.BANDS) + " FROM power GROUP BY vec_id")
+def fixed_window_powers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Power in each band from segments of half a second, whatever the band."""
+    return _bands(spark, sf_dir, window=0.5).select("vec_id", *[F.round(b, 8).alias(f"{b}_power") for b in spectral.BANDS])
+
+
 @query("band_channel_matrix", _WELCH + """, g AS (SELECT p.*, CASE WHEN e.embedding[1] > 0.1 THEN 'case' ELSE 'control' END AS side FROM power p JOIN embeddings e USING (vec_id))
 SELECT side, band, label, round(avg(power), 8) AS mean, count(*)::BIGINT AS n FROM g WHERE label IN (SELECT label FROM g GROUP BY label HAVING count(DISTINCT side) = 2) GROUP BY ALL""")
 def band_channel_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:

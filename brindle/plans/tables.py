@@ -172,3 +172,15 @@ SELECT c_mktsegment, round(x, 4) AS x, round(sum(exp(0 - ((x - c_acctbal) / h)^2
 """)
 def density_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.density(table(spark, sf_dir, "customer"), "c_acctbal", ["c_mktsegment"], 32).select("c_mktsegment", F.round("x", 4).alias("x"), F.round("density", 9).alias("density"))
+
+
+@query("prefixed_sheets", """
+SELECT s_suppkey AS id, n_name AS nation_n_name, r_name AS "region_r.name", CASE WHEN s_acctbal > 0 THEN s_name END AS s_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey
+""")
+def prefixed_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers with the sheets of their nation and region, whose columns bear the sheet's name; one name has a dot."""
+    rows = table(spark, sf_dir, "supplier").select(F.when(F.col("s_acctbal") > 0, F.col("s_name")).alias("s_name"), F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("id"))
+    nation = C.prefixed(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), "n_name", F.col("n_regionkey").alias("region")), "nation_", "nation")
+    region = C.prefixed(table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("nation_region"), F.col("r_name").alias("r.name")), "region_", "nation_region")
+    joined = rows.join(nation, "nation", "left").join(region, "nation_region", "left").drop("nation", "nation_region")
+    return C.to_front(joined.select("s_name", "nation_n_name", C.quoted("region_r.name"), "id"), "id")
