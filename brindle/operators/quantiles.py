@@ -1,10 +1,12 @@
 """Exact order statistics of groups of any size.
 
-A small group (MOST rows at most) is counted by distinct value, and the counts are summed up in order. For each rank that is
-asked of a larger group, a mergeable sketch of all rows gives two values that bracket the rank; a counting pass tells how many
-rows lie under and within the bracket, and whether the rank does. Brackets of more than MOST rows are sketched again, from the
-rows within alone, so that every round leaves a hundredth or less. Then only the rows within are counted by value. No task gets
-a large group whole, and nothing is approximate: a bracket that misses its rank is not taken.
+A small group (MOST rows or about MOST distinct values at most) is counted by distinct value, and the counts are summed up in
+order. For each rank that is asked of a larger group, a mergeable sketch of all rows gives two values that bracket the rank; a
+counting pass tells how many rows lie under and within the bracket, and whether the rank does. Brackets of more than MOST rows
+are sketched again, from the rows within alone, so that every round leaves a hundredth or less. Then only the rows within are
+counted by value. Rows meet brackets where they are: brackets are broadcast, as a group that has some is of more than MOST rows.
+No task gets a large group whole, and nothing is approximate: a bracket that misses its rank is not taken, and the estimated
+number of distinct values only chooses between two exact ways.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ def _bracketed(rows: DataFrame, states: DataFrame, most: int, accuracy: int, edg
         open_, closed = states.filter(wide), states.filter(~wide)
         if open_.isEmpty():
             break
-        met = rows.join(open_, "key").filter(_inside(F.col("value")))
+        met = rows.join(F.broadcast(open_), "key").filter(_inside(F.col("value")))
         marks = met.groupBy("key", "p").agg(F.percentile_approx("value", [k / edges for k in range(edges + 1)], accuracy).alias("marks"))
         place = (F.col("rank") - F.col("below")) / F.col("inside") * edges
         slack = edges * 2 / accuracy + 1
@@ -40,7 +42,7 @@ def _bracketed(rows: DataFrame, states: DataFrame, most: int, accuracy: int, edg
             "new_lo": F.when(low >= 1, F.col("marks")[low.cast("int")]).otherwise(F.col("lo")), "new_hi": F.when(high < edges, F.col("marks")[high.cast("int")]).otherwise(F.col("hi")),
         }).drop("marks")
         tried = narrow.withColumnsRenamed({"lo": "old_lo", "hi": "old_hi", "new_lo": "lo", "new_hi": "hi"}).withColumnsRenamed({"below": "old_below", "inside": "old_inside"})
-        counted = rows.join(tried.select("key", "p", "lo", "hi"), "key").groupBy("key", "p").agg(
+        counted = rows.join(F.broadcast(tried.select("key", "p", "lo", "hi")), "key").groupBy("key", "p").agg(
             F.count_if(F.col("lo").isNotNull() & (F.col("value") < F.col("lo"))).alias("below"), F.count_if(_inside(F.col("value"))).alias("inside")
         )
         right = (F.col("below") <= F.col("rank")) & (F.least(F.col("rank") + 1, F.col("n") - 1) < F.col("below") + F.col("inside"))
@@ -70,8 +72,8 @@ def quantiles(df: DataFrame, keys: list[str], value: str | Column, shares: list[
 
     total = F.sum("c").over(Window.partitionBy("key"))
     ranks = [(f"{end}{i}", f(spot(total, s))) for i, s in enumerate(shares) for end, f in (("lo", F.floor), ("hi", F.ceil))]
-    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    large = counts.filter(F.col("n") > most)
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("value").alias("values"))
+    large = kept(counts.filter((F.col("n") > most) & (F.col("values") > most)).select("key", "n"))
 
     def small(chosen: DataFrame) -> DataFrame:
         lines = chosen.groupBy("key", "value").agg(F.count(F.lit(1)).alias("c"))
@@ -81,17 +83,16 @@ def quantiles(df: DataFrame, keys: list[str], value: str | Column, shares: list[
 
     if large.isEmpty():
         return named(small(rows))
-    large = kept(large)
     point = F.explode(F.array(*[F.struct(F.lit(i).alias("p"), F.lit(float(s)).alias("s")) for i, s in enumerate(shares)])).alias("point")
     states = large.select("key", "n", point).select(
         "key", F.col("point.p").alias("p"), F.floor(F.col("point.s") * (F.col("n") - 1)).alias("rank"), "n", F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi")
     )
     states = _bracketed(rows, kept(states), most, accuracy, edges)
-    met = rows.join(states.select("key", "p", "lo", "hi"), "key").filter(_inside(F.col("value")))
-    lines = met.groupBy("key", "p", "value").agg(F.count(F.lit(1)).alias("c")).join(states.select("key", "p", "rank", "below", F.col("n").alias("all")), ["key", "p"])
+    met = rows.join(F.broadcast(states.select("key", "p", "lo", "hi")), "key").filter(_inside(F.col("value")))
+    lines = met.groupBy("key", "p", "value").agg(F.count(F.lit(1)).alias("c")).join(F.broadcast(states.select("key", "p", "rank", "below", F.col("n").alias("all"))), ["key", "p"])
     upto = Window.partitionBy("key", "p").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     reached = lines.withColumn("upto", F.col("below") + F.sum("c").over(upto))
     at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("value")))
     ends = reached.groupBy("key", "p").agg(F.first("all").alias("n"), at(F.col("rank")).alias("lo"), at(F.least(F.col("rank") + 1, F.col("all") - 1)).alias("hi"))
     wide = ends.groupBy("key").agg(F.first("n").alias("n"), *[F.max(F.when(F.col("p") == i, F.col(end))).alias(f"{end}{i}") for i in range(len(shares)) for end in ("lo", "hi")])
-    return named(small(rows.join(large.select("key"), "key", "left_anti")).unionByName(wide))
+    return named(small(rows.join(F.broadcast(large.select("key")), "key", "left_anti")).unionByName(wide))

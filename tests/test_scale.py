@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -41,6 +42,26 @@ def test_quantiles_without_keys_or_rows(spark):
     assert quantiles.quantiles(df.limit(0), [], "id", [0.5]).count() == 0
 
 
+def test_rows_of_a_large_group_are_not_shuffled_to_their_brackets(spark, monkeypatch):
+    """No join of the rows by their key alone is a shuffle, and a group of few different values needs no bracket."""
+    plans, kept = [], quantiles.kept
+    monkeypatch.setattr(quantiles, "kept", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(6000).select((F.col("id") % 2).alias("k"), ((F.col("id") * 7) % 6000).alias("v"))
+        got = quantiles.quantiles(rows, ["k"], "v", [0.25, 0.5], 100, 200, 16)
+        plans.append(got._jdf.queryExecution().executedPlan().toString())
+        assert {r.k: r.q for r in got.collect()} == {0: [1499.5, 2999.0], 1: [1500.5, 3000.0]}
+        assert len(plans) > 3 and not [p for p in plans if re.search(r"SortMergeJoin \[key#\d+\]", p)]
+        plans.clear()
+        few = quantiles.quantiles(rows.withColumn("v", F.col("v") % 5), ["k"], "v", [0.25, 0.5], 100, 200, 16)
+        assert {r.k: r.q for r in few.collect()} == {0: [1.0, 2.0], 1: [1.0, 2.0]}
+        assert len(plans) == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_summaries_of_null_keys_and_empty_groups(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), (None, 5.0), ("b", None)], "k string, v double")
     assert {r.k: (r.n, r.median) for r in aggregates.six_numbers(df, "v", ["k"]).collect()} == {"a": (2, 1.5), None: (1, 5.0), "b": (0, None)}
