@@ -121,3 +121,20 @@ def test_comparison_of_eight_with_many_is_exact(spark):
     got = stats.compare_groups(spark.createDataFrame(rows, "variable string, g string, x double"), "variable", "g", "x").first()
     u = sum(a > b for _, g, a in rows if g == "a" for _, h, b in rows if h == "b")
     assert got.test == "Mann-Whitney U" and got.p_value == pytest.approx(stats.exact_mann_whitney(u, 8, 70))
+
+
+def test_typed_profile_of_a_large_column_takes_no_task_with_all_rows(spark, monkeypatch):
+    plans, kept = [], quantiles.kept
+    monkeypatch.setattr(quantiles, "kept", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+    monkeypatch.setattr(aggregates, "quantiles", lambda *a: quantiles.quantiles(*a, 100, 200, 16))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(4001).select(((F.col("id") * 7) % 4001).alias("a"), (F.col("id") % 3).alias("b"), F.lit("x").alias("t"))
+        got = aggregates.typed_profile(df)
+        plans.append(got._jdf.queryExecution().executedPlan().toString())
+        rows = {r.variable: (r["count"], r.unique, r.median, r.iqr) for r in got.collect()}
+        assert rows == {"a": (4001, 4001, 2000.0, 2000.0), "b": (4001, 3, 1.0, 2.0), "t": (4001, 1, None, None)}
+        assert not [p for p in plans if re.search(r"SortMergeJoin \[key#\d+\]", p)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
