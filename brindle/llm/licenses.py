@@ -3,9 +3,9 @@
 A document is cut at blank lines into paragraphs, so that a hard-wrapped notice stays whole, and paragraphs of more than 48
 words into overlapping windows, so that no notice drowns in a long one. A multinomial logistic regression over hashed word 1- and 2-grams gives each paragraph the probability of every
 licence family and of the class unknown. It is trained on templates (whole, with words left out, and between words of
-ordinary text) and on a bounded sample of ordinary paragraphs (``ORDINARY``, the smallest hashes among the paragraphs of the
-``SAMPLED`` documents of the smallest hashes). A family counts only if its probability reaches a level calibrated on ordinary
-paragraphs kept out of training: what all but one in a thousand of them stay under. Every family is held against its templates: it stands if the window contains at least 70 %
+ordinary text) and on three fourths of all ordinary windows of the corpus, those without a word pair of a template. The rest
+calibrate the level. A family counts only if its probability reaches a level calibrated on the ordinary
+windows kept out of training: what all but one in a thousand of them stay under. Every family is held against its templates: it stands if the window contains at least 70 %
 of the word pairs of one of them; everything else is unknown. Families named side by side do not compete: a family's
 probability is taken without the other families that have a contained template with a word pair of their own, found in no
 other family's templates, and a family that is not the likeliest needs such a pair itself. As both conditions must hold, only
@@ -114,37 +114,56 @@ class Model:
     level: float
 
 
-def ordinary_paragraphs(docs: DataFrame, id_col: str, text_col: str, sampled: int, ordinary: int) -> DataFrame:
-    """At most ``ordinary`` distinct windows (words, order) of the ``sampled`` documents with the smallest hashes of their texts, without a word pair of a template."""
-    hashed = docs.filter(F.length(text_col) > 0).withColumn("order__", F.xxhash64(text_col))
-    last = hashed.select("order__").orderBy("order__").limit(sampled).agg(F.max("order__")).first()[0]  # one number a row, whatever the texts
+def ordinary_paragraphs(docs: DataFrame, id_col: str, text_col: str, sampled: int | None = None, ordinary: int | None = None) -> DataFrame:
+    """Windows (words, order, held) without a word pair of a template; held are their words that templates have.
+
+    All windows of all rows; with the limits, at most ``ordinary`` distinct ones of the ``sampled`` documents with the smallest hashes.
+    """
+    rows = docs.filter(F.length(text_col) > 0)
+    if sampled is not None:
+        hashed = rows.withColumn("order__", F.xxhash64(text_col))
+        last = hashed.select("order__").orderBy("order__").limit(sampled).agg(F.max("order__")).first()[0]  # one number a row, whatever the texts
+        rows = hashed.filter(F.col("order__") <= F.lit(last)).drop("order__")
     known = sorted({p for _, pairs in template_pairs(docs.sparkSession) for p in pairs})
-    plain = paragraphs(hashed.filter(F.col("order__") <= F.lit(last)).drop("order__"), id_col, text_col).filter(F.size("words") > 1)
-    plain = plain.filter(~F.arrays_overlap(word_pairs(F.col("words")), F.array(*map(F.lit, known)))).select("words", F.xxhash64("words").alias("order"))
-    return cut(plain.dropDuplicates(["order"]).orderBy("order").limit(ordinary))
+    words = sorted({w for p in known for w in p.split()})
+    windows = paragraphs(rows, id_col, text_col).filter(F.size("words") > 1).select("words")
+    windows = _once(windows, held=F.array_intersect(F.array(*map(F.lit, words)), F.col("words")))
+    less = F.size("words") - 1
+    in_order = F.zip_with(F.slice("words", F.lit(1), less), F.slice("words", F.lit(2), less), lambda a, b: F.concat_ws(" ", a, b))
+    plain = windows.filter((F.size("held") < 2) | ~F.arrays_overlap(in_order, F.array(*map(F.lit, known)))).select("words", F.xxhash64("words").alias("order"), "held")
+    return plain if ordinary is None else cut(plain.dropDuplicates(["order"]).orderBy("order").limit(ordinary))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ordinary: int = ORDINARY, sampled: int = SAMPLED) -> Model:
-    """Trains on variants of the templates and on at most ``ordinary`` paragraphs of docs; a fourth of these calibrates the level."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ordinary: int = ORDINARY) -> Model:
+    """Trains on variants of the templates and on three fourths of all ordinary windows of docs; the others calibrate the level.
+
+    Of a window, only words and pairs that templates have are learned from, so that windows with the same ones are one row with a
+    weight: one pass over docs counts them all. Together they weigh as much as three fourths of ``ordinary`` rows, or as they are.
+    """
     spark: SparkSession = docs.sparkSession
     rows = [(FAMILIES.index(f), t) for f, texts in TEMPLATES.items() for t in texts]
     templates = spark.createDataFrame(rows, "label int, text string").select("label", words_of(F.col("text")).alias("words"))
-    plain = ordinary_paragraphs(docs, id_col, text_col, sampled, ordinary)
-    near = plain.orderBy("order").limit(64).agg(F.sort_array(F.collect_list("words")).alias("ordinary"))
+    aside = F.pmod(F.col("order"), F.lit(4)) == 0
+    plain = cut(ordinary_paragraphs(docs, id_col, text_col).groupBy(F.col("held").alias("words"), aside.alias("aside")).agg(F.count(F.lit(1)).alias("n")))
+    total = plain.filter("NOT aside").agg(F.sum("n")).first()[0] or 1
+    near = plain.select("words").distinct().orderBy(F.xxhash64("words")).limit(64).agg(F.sort_array(F.collect_list("words")).alias("ordinary"))
     variants = templates.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1))))
     drawn = lambda w, i: (F.col("k") < 4) | (F.pmod(F.xxhash64(w, i, F.col("k")), F.lit(10)) > 0)
     around = F.coalesce(F.try_element_at("ordinary", F.pmod(F.xxhash64("k", "words"), F.lit(64)).cast("int") + 1), F.array().cast("array<string>"))
     half = (F.size(around) / 2).cast("int")
     placed = F.when(F.col("k") % 2 == 0, F.filter("words", drawn)).otherwise(F.concat(F.slice(around, F.lit(1), F.least(half, F.lit(16))), F.filter("words", drawn), F.slice(around, half + 1, F.lit(16))))
-    made = variants.join(F.broadcast(near)).select("label", placed.alias("words"))
-    aside = F.pmod(F.col("order"), F.lit(4)) == 0
-    rows = made.unionByName(plain.filter(~aside).select(F.lit(0).alias("label"), "words")).filter(F.size("words") > 0)
-    features = _features()
-    ready = cut(features.transform(rows.repartition(2)).select(F.col("label").cast("double"), "features"))
-    classifier = LogisticRegression(family="multinomial", regParam=2e-4, maxIter=20, standardization=False).fit(ready)
-    scored = classifier.transform(features.transform(plain.filter(aside).select("words")))
+    known = F.array(*map(F.lit, sorted({p for _, pairs in template_pairs(spark) for p in pairs})))
+    made = variants.join(F.broadcast(near)).select("label", placed.alias("words"), F.lit(1.0).alias("weight")).filter(F.size("words") > 0)
+    made = made.withColumn("pairs", F.array_intersect(word_pairs(F.col("words")), known))
+    single = plain.withColumn("pairs", F.array().cast("array<string>"))  # an ordinary window has no pair of a template
+    weight = F.col("n") * F.lit(min(1.0, 0.75 * ordinary / total))
+    rows = made.unionByName(single.filter("NOT aside").select(F.lit(0).alias("label"), "words", weight.alias("weight"), "pairs"))
+    features = PipelineModel(_features().stages[1:])
+    ready = cut(features.transform(rows.repartition(2)).select(F.col("label").cast("double"), "features", "weight"))
+    classifier = LogisticRegression(family="multinomial", regParam=2e-4, maxIter=20, standardization=False, weightCol="weight").fit(ready)
+    scored = classifier.transform(features.transform(single.filter("aside")))
     best = F.array_max(F.slice(vector_to_array("probability"), F.lit(2), F.lit(len(FAMILIES))))
-    level = scored.agg(F.percentile(best, F.lit(0.999))).first()[0]
+    level = scored.agg(F.percentile(best, F.lit(0.999), F.col("n"))).first()[0]
     return Model(classifier, 0.5 if level is None else min(0.95, level))
 
 

@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.ml.feature import HashingTF
+from pyspark.sql import functions as F
 
 from brindle.llm import licenses
 
@@ -207,3 +208,13 @@ def test_level_is_calibrated_and_an_empty_table_has_a_model(spark, llm_dir, mode
     empty = licenses.fit(docs.limit(0))
     assert empty.level == 0.5
     assert families(spark, empty, ["Released under the MIT License.", "nothing at all", None])[1] == ([], 0)
+
+
+def test_the_model_learns_from_every_document(spark):
+    """1,000 documents of smaller hashes are plain; words of licences occur in ordinary windows of the others alone."""
+    texts = spark.range(2400).select("id", F.concat(F.lit("a story of rivers number "), "id").alias("plain"), F.concat(F.lit("rivers software hills notice number "), "id").alias("other"))
+    plain = texts.filter(F.xxhash64("plain") < 0).select("id", F.col("plain").alias("text")).limit(1000).toDF("doc_id", "text").localCheckpoint()
+    other = texts.filter(F.xxhash64("other") > 0).select((F.col("id") + 10_000).alias("doc_id"), F.col("other").alias("text"))
+    assert plain.count() == 1000
+    one, two = licenses.fit(plain), licenses.fit(plain.unionByName(other))
+    assert not np.allclose(one.classifier.coefficientMatrix.toArray(), two.classifier.coefficientMatrix.toArray(), atol=1e-6)
