@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from brindle.functions.columns import numeric_columns, quoted
-from brindle.operators.quantiles import quantiles
+from brindle.operators.quantiles import MOST, quantiles
+from brindle.session import kept
 
 
 def skewness_g1(x: Column) -> Column:
@@ -56,15 +57,32 @@ def unpivoted(df: DataFrame, ids: list[str], names: list[str], name: str = "vari
     return df.select(*ids, *[quoted(c).cast("double").alias(c) for c in names]).unpivot(ids, names, name, value)
 
 
+def unique_counts(long: DataFrame, plain: DataFrame) -> DataFrame:
+    """variable and unique: how many distinct values each has, from the long form and, in plain, count and about (estimated distinct values).
+
+    Rows of a variable of about MOST values or more are dealt by value, MOST to a task at most on average, before any task collects
+    distinct ones: a task that read a large file would hold nearly all of its values. A frequent value is dealt to 16 tasks. The estimate
+    only chooses between two exact ways.
+    """
+    large = plain.filter(F.col("about") > MOST)
+    n = large.agg(F.sum("count")).first()[0]
+    if n:
+        parts = max(math.ceil(n / MOST), int(long.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        named = F.broadcast(large.select("variable"))
+        dealt = long.filter("value IS NOT NULL").join(named, "variable").withColumn("turn", F.monotonically_increasing_id() % 16).repartition(parts, "value", "turn")
+        long = long.join(named, "variable", "left_anti").unionByName(dealt.drop("turn"))
+    return long.groupBy("variable").agg(F.count_distinct("value").alias("unique"))
+
+
 def profile(df: DataFrame, names: list[str]) -> DataFrame:
     """count, mean, std, median, unique, min, max and iqr of columns, from their long form. Quartiles are exact at any size."""
     v = F.col("value")
     long = unpivoted(df, [], names)
-    plain = long.groupBy("variable").agg(
-        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.count_distinct(v).alias("unique"), F.min(v).alias("min"), F.max(v).alias("max")
-    )
+    plain = kept(long.groupBy("variable").agg(
+        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.approx_count_distinct(v).alias("about"), F.min(v).alias("min"), F.max(v).alias("max")
+    ))
     q = quantiles(long, ["variable"], "value", [0.25, 0.5, 0.75]).select("variable", F.col("q")[1].alias("median"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
-    return plain.join(q, "variable", "left").select("variable", "count", "mean", "std", "median", "unique", "min", "max", "iqr")
+    return plain.join(unique_counts(long, plain), "variable").join(q, "variable", "left").select("variable", "count", "mean", "std", "median", "unique", "min", "max", "iqr")
 
 
 def six_numbers(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
@@ -106,7 +124,7 @@ def resized_mean(df: DataFrame, key: str, values: str) -> DataFrame:
 def typed_profile(df: DataFrame) -> DataFrame:
     """variable, count, unique and, for numbers, mean, std, median, min, max and iqr; halves are rounded to even, at two places.
 
-    Texts and dates have nulls there. Their values are counted by (column, value) first, so that no task holds all of a column.
+    Texts and dates have nulls there. No task holds all values of a column.
     """
     numbers = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
     others = [c for c in df.columns if c not in numbers]
@@ -116,8 +134,8 @@ def typed_profile(df: DataFrame) -> DataFrame:
         out = profile(df, numbers).select("variable", "count", "unique", *[F.bround(c, 2).alias(c) for c in shown])
     if others:
         long = df.select(*[quoted(c).cast("string").alias(c) for c in others]).unpivot([], others, "variable", "value")
-        counts = long.groupBy("variable", "value").agg(F.count("value").alias("n"))
-        texts = counts.groupBy("variable").agg(F.sum("n").alias("count"), F.count("value").alias("unique")).select("variable", "count", "unique", *[F.lit(None).cast("double").alias(c) for c in shown])
+        plain = kept(long.groupBy("variable").agg(F.count("value").alias("count"), F.approx_count_distinct("value").alias("about")))
+        texts = plain.join(unique_counts(long, plain), "variable").select("variable", "count", "unique", *[F.lit(None).cast("double").alias(c) for c in shown])
         out = texts if out is None else out.unionByName(texts)
     return out
 

@@ -42,6 +42,7 @@ def _bracketed(rows: DataFrame, states: DataFrame, most: int, accuracy: int, edg
             "new_lo": F.when(low >= 1, F.col("marks")[low.cast("int")]).otherwise(F.col("lo")), "new_hi": F.when(high < edges, F.col("marks")[high.cast("int")]).otherwise(F.col("hi")),
         }).drop("marks")
         tried = narrow.withColumnsRenamed({"lo": "old_lo", "hi": "old_hi", "new_lo": "lo", "new_hi": "hi"}).withColumnsRenamed({"below": "old_below", "inside": "old_inside"})
+        tried = kept(tried)  # merged in another order, a sketch gives other marks, and what is counted must be what is taken
         counted = rows.join(F.broadcast(tried.select("key", "p", "lo", "hi")), "key").groupBy("key", "p").agg(
             F.count_if(F.col("lo").isNotNull() & (F.col("value") < F.col("lo"))).alias("below"), F.count_if(_inside(F.col("value"))).alias("inside")
         )

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 import re
 from collections import defaultdict
 
@@ -138,3 +139,29 @@ def test_typed_profile_of_a_large_column_takes_no_task_with_all_rows(spark, monk
         assert not [p for p in plans if re.search(r"SortMergeJoin \[key#\d+\]", p)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_distinct_values_of_a_large_column_are_dealt_before_they_are_counted(spark, monkeypatch):
+    """No task that reads a large file collects its distinct values: rows of such a column are dealt by value first, a frequent value to many tasks."""
+    monkeypatch.setattr(aggregates, "MOST", 500, raising=False)
+    x = F.when(F.col("id") % 2 == 0, -5.0).when(F.col("id") % 7 != 0, (F.col("id") / 2).cast("double"))
+    df = spark.range(0, 4000, 1, 1).select(x.alias("x"), (F.col("id") % 3).alias("few"), F.lit(None).cast("double").alias("none"), F.concat(F.lit("t"), F.col("id")).alias("t"), F.lit("u").alias("u"))
+    got = aggregates.typed_profile(df)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"RepartitionByExpression \[value#\d+, turn#\d+L\], 8", plan)) == 2
+    want = len({i / 2 for i in range(1, 4000, 2) if i % 7}) + 1
+    rows = {r.variable: (r["count"], r.unique, r.min, r.max) for r in got.collect()}
+    assert rows == {"x": (2000 + want - 1, want, -5.0, 1999.5), "few": (4000, 3, 0.0, 2.0), "none": (0, 0, None, None), "t": (4000, 4000, None, None), "u": (4000, 1, None, None)}
+    assert aggregates.profile(df.limit(0), ["x"]).collect() == []
+
+
+def test_brackets_are_the_ones_that_were_counted(spark, monkeypatch):
+    """A sketch gives other marks each time its parts merge in another order (here: at random); medians stay exact."""
+    plans, kept, sketch = [], quantiles.kept, F.percentile_approx
+    monkeypatch.setattr(quantiles, "kept", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or kept(df))
+    moved = F.udf(lambda marks: [m + k for k in [random.randint(-40, 40)] for m in marks], "array<double>").asNondeterministic()
+    monkeypatch.setattr(F, "percentile_approx", lambda *a: moved(sketch(*a)))
+    df = spark.range(4001).select(((F.col("id") * 7) % 4001).cast("double").alias("a"))
+    for _ in range(3):
+        assert quantiles.quantiles(df, [], "a", [0.25, 0.5, 0.75], 100, 200, 16).first()["q"] == [1000.0, 2000.0, 3000.0]
+    assert max(p.count("percentile_approx(") for p in plans) == 1
